@@ -57,23 +57,22 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt) of every document."""
+    """(doc_id, piece, start, length, ids_crc32) of every document."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
         encode = byte_encoder(vocabulary).encode
-        source, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32", "salt")}
+        source, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32")}
         for row, text in enumerate(common.strings(batch.column(1))):
             ids = np.array([*encode(text, allowed_special="all"), 0], dtype="<u4")
             for k, (s, n) in enumerate(cut_points(len(ids), capacity)):
                 source.append(row)
-                crc = zlib.crc32(ids[s : s + n].tobytes())
-                for name, v in (("piece", k), ("start", s), ("length", n), ("ids_crc32", crc), ("salt", crc * 2654435761 + k)):
+                for name, v in (("piece", k), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(ids[s : s + n].tobytes()))):
                     out[name].append(v)
         return {"doc_id": batch.column(0).take(pa.array(source, pa.int64())), **out}
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.arrow_map(rows, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, salt long")
+    return common.arrow_map(rows, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:
@@ -213,7 +212,7 @@ def pack_pieces(parts: DataFrame, n_pieces: int, capacity: int = CAPACITY, group
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = parts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, {_PACKED}"
-    key = F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups))
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
     one = parts.withColumn("grp", key).groupBy("grp").applyInArrow(_packer(columns, capacity), schema)
     if groups == 1:
         return one.drop("underfull")
