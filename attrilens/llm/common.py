@@ -57,12 +57,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """mapInArrow of a function from one record batch to a dict of columns."""
+def arrow_schema(schema: str) -> pa.Schema:
+    """Arrow form of a DDL schema; on the driver only."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """mapInArrow of a function from one record batch to a dict of columns."""
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op5_bpe_encoding
+from .fingerprints import op2_document_fingerprints
 from .packing import op3_best_fit_packing
 from .simhash_dedup import op9_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_bpe_encoding": op5_bpe_encoding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
