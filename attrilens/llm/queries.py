@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe_encoding
 from .fingerprints import op2_document_fingerprints
 from .packing import op3_best_fit_packing
+from .pu_classifier import op10_quality_classifier
+from .quality_rules import op7_quality_rules
 from .simhash_dedup import op9_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_bpe_encoding": op5_bpe_encoding,
+    "op7_quality_rules": op7_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
