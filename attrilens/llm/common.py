@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,6 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a compressed table in the shared checkpoint folder, removed when the application ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    sc = spark.sparkContext
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended and its folder gone
+            target = sc._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

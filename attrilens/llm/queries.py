@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe_encoding
 from .fingerprints import op2_document_fingerprints
+from .html_extract import op6_html_extraction
 from .packing import op3_best_fit_packing
 from .pu_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .simhash_dedup import op9_simhash_near_dedup
+from .suffix_tree import op8_suffix_tree_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_bpe_encoding": op5_bpe_encoding,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
+    "op8_suffix_tree_scores": op8_suffix_tree_scores,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
