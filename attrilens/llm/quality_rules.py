@@ -4,9 +4,9 @@ Base measures are counted on the whole text. The method then encodes each text
 with two public vocabularies and measures characters per token, the share of
 byte-fallback tokens and token entropy. For each language (the script of most
 letters where the language is null) and each octave of token counts, the
-median and the median absolute deviation of each measure over all documents
-that pass the base rules set the bands; a document is rejected if it stands
-outside them. Groups of fewer than ``least_group`` documents use the bands of
+median and the distance from there to the upper quartile of each measure, over
+all documents that pass the base rules, set the bands; a document is rejected
+if it stands outside them. Groups of fewer than ``least_group`` documents use the bands of
 their language, then those of all documents.
 
 Defined results: null and empty texts have no words, fail the base rules and
@@ -133,18 +133,18 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
 
 
-def _bands(passing: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and median absolute deviation of each measure, by group."""
-    middle = passing.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *[F.percentile_approx(m, 0.5).alias(f"mid_{m}") for m in MEASURES])
-    spread = passing.join(middle, keys).groupBy(*keys).agg(*[F.percentile_approx(F.abs(F.col(m) - F.col(f"mid_{m}")), 0.5).alias(f"dev_{m}") for m in MEASURES])
-    return middle.join(spread, keys)
+def _band_columns() -> list[Column]:
+    """Median and spread of each measure; the spread is taken above the median, where rejected kinds are rare."""
+    out = []
+    for m in MEASURES:
+        q = F.percentile_approx(m, [0.5, 0.75])
+        out += [q[0].alias(f"mid_{m}"), (q[1] - q[0]).alias(f"dev_{m}")]
+    return out
 
 
-def _whole_band(passing: DataFrame) -> dict:
-    """The bands of all documents: ten numbers."""
-    middle = passing.agg(*[F.percentile_approx(m, 0.5).alias(f"mid_{m}") for m in MEASURES]).first().asDict()
-    away = [F.percentile_approx(F.abs(F.col(m) - F.lit(middle[f"mid_{m}"]).cast("double")), 0.5).alias(f"dev_{m}") for m in MEASURES]
-    return middle | passing.agg(*away).first().asDict()
+def _bands(passing: DataFrame, keys: list[str]) -> DataFrame:
+    """Bands by group, from sketches that are merged: no group meets in one task."""
+    return passing.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *_band_columns())
 
 
 def verdicts(marked: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
@@ -153,7 +153,7 @@ def verdicts(marked: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     passing = marked.where("not base_failed and fertility is not null")
     fine = common.cut(_bands(passing, ["grp", "octave"]))
     whole = common.cut(_bands(passing, ["grp"]))
-    everything = _whole_band(passing)
+    everything = passing.agg(*_band_columns()).first()
     out = marked.join(fine.select("grp", "octave", *[F.when(F.col("size") >= least_group, F.struct(f"mid_{m}", f"dev_{m}")).alias(f"f_{m}") for m in MEASURES]), ["grp", "octave"], "left")
     out = out.join(whole.select("grp", *[F.when(F.col("size") >= least_group, F.struct(f"mid_{m}", f"dev_{m}")).alias(f"w_{m}") for m in MEASURES]), "grp", "left")
     for m in MEASURES:

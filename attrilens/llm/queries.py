@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op5_bpe_encoding
 from .fingerprints import op2_document_fingerprints
 from .html_extract import op6_html_extraction
+from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op3_best_fit_packing
 from .pu_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -16,6 +17,7 @@ from .simhash_dedup import op9_simhash_near_dedup
 from .suffix_tree import op8_suffix_tree_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_bpe_encoding": op5_bpe_encoding,
@@ -26,4 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": OP1_SQL,
+}
