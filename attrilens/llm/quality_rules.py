@@ -6,8 +6,8 @@ byte-fallback tokens and token entropy. For each language (the script of most
 letters where the language is null) and each octave of token counts, the
 median and the distance from there to the upper quartile of each measure, over
 all documents that pass the base rules, set the bands; a document is rejected
-if it stands outside them. Groups of fewer than ``least_group`` documents use the bands of
-their language, then those of all documents.
+if it stands outside them. Groups of fewer than ``least_group`` documents use
+the bands of their octave, then of their language, then of all documents.
 
 Defined results: null and empty texts have no words, fail the base rules and
 have null measures; repeated rows are measured each; an empty table gives an
@@ -32,7 +32,7 @@ SPACES = " \t\n\r\x0b\x0c"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Rejection bands in robust deviations: fertility and entropy together, fertility alone; byte share above the median.
 JOINT_LOW, FERTILITY_LOW, FERTILITY_HIGH, BYTE_EXCESS = -6.0, -8.0, 14.0, 0.10
-LEAST_GROUP = 30
+LEAST_GROUP, PRIOR_SIZE = 30, 20
 MEASURES = ("fertility", "byte_fertility", "entropy", "byte_entropy", "byte_share")
 
 _PIECES: dict = {}
@@ -100,7 +100,7 @@ def token_measures(text: str, pieces: np.ndarray, byte_ids: np.ndarray, is_byte:
     return len(text) / len(pieces), len(text) / len(byte_ids), entropy(pieces), entropy(byte_ids), float(is_byte[pieces].mean())
 
 
-_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, grp string, octave int, fertility double, byte_fertility double, entropy double, byte_entropy double, byte_share double, text_key long"
+_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, grp string, half int, fertility double, byte_fertility double, entropy double, byte_entropy double, byte_share double, text_key long"
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str | None = None, bytes_vocabulary: str | None = None) -> DataFrame:
@@ -117,7 +117,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             pieces = np.array(model.encode(text), np.int64)
             group = lang if lang is not None else script(text)
             if base[0] and len(pieces):
-                rows.append((*base, group, int(np.log2(len(pieces))), *token_measures(text, pieces, np.array(encode(text), np.int64), is_byte)))
+                rows.append((*base, group, int(2 * np.log2(len(pieces))), *token_measures(text, pieces, np.array(encode(text), np.int64), is_byte)))
             else:
                 rows.append((*base, group, 0, *[None] * 5))
         names = [x.split(" ")[0] for x in _SCHEMA.split(", ")][:-1]
@@ -147,18 +147,23 @@ def _bands(passing: DataFrame, keys: list[str]) -> DataFrame:
     return passing.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *_band_columns())
 
 
-def verdicts(marked: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def verdicts(marked: DataFrame, least_group: int = LEAST_GROUP, prior_size: int = PRIOR_SIZE) -> DataFrame:
     """Add base_failed, the deviations and kept to measured documents."""
-    marked = marked.withColumn("base_failed", base_failed())
+    marked = marked.withColumns({"base_failed": base_failed(), "octave": F.floor(F.col("half") / 2).cast("int")})
     passing = marked.where("not base_failed and fertility is not null")
-    fine = common.cut(_bands(passing, ["grp", "octave"]))
-    whole = common.cut(_bands(passing, ["grp"]))
     everything = passing.agg(*_band_columns()).first()
-    out = marked.join(fine.select("grp", "octave", *[F.when(F.col("size") >= least_group, F.struct(f"mid_{m}", f"dev_{m}")).alias(f"f_{m}") for m in MEASURES]), ["grp", "octave"], "left")
-    out = out.join(whole.select("grp", *[F.when(F.col("size") >= least_group, F.struct(f"mid_{m}", f"dev_{m}")).alias(f"w_{m}") for m in MEASURES]), "grp", "left")
+    out = marked
+    levels = {"half": ["grp", "half"], "octave": ["grp", "octave"], "grp": ["grp"]}
+    for name, keys in levels.items():
+        bands = common.cut(_bands(passing, keys))
+        out = out.join(bands.select(*keys, F.when(F.col("size") >= least_group, F.struct("size", *[f"{k}_{m}" for k in ("mid", "dev") for m in MEASURES])).alias(f"by_{name}")), keys, "left")
     for m in MEASURES:
-        mid = F.coalesce(F.col(f"f_{m}.mid_{m}"), F.col(f"w_{m}.mid_{m}"), F.lit(everything[f"mid_{m}"]).cast("double"))
-        dev = F.coalesce(F.col(f"f_{m}.dev_{m}"), F.col(f"w_{m}.dev_{m}"), F.lit(everything[f"dev_{m}"]).cast("double"))
+        mid = F.coalesce(*[F.col(f"by_{k}.mid_{m}") for k in levels], F.lit(everything[f"mid_{m}"]).cast("double"))
+        dev = F.coalesce(F.col(f"by_grp.dev_{m}"), F.lit(everything[f"dev_{m}"]).cast("double"))
+        # A small group's spread is drawn towards the wider one of its language.
+        for k in ("octave", "half"):
+            size, own = F.col(f"by_{k}.size"), F.col(f"by_{k}.dev_{m}")
+            dev = F.coalesce((size * own + prior_size * dev) / (size + prior_size), dev)
         out = out.withColumn(f"z_{m}", F.col(m) - mid if m == "byte_share" else F.coalesce(F.try_divide(F.col(m) - mid, 1.4826 * dev), F.lit(0.0)))
     fertility, information = F.least("z_fertility", "z_byte_fertility"), F.least("z_entropy", "z_byte_entropy")
     odd = (fertility + information < JOINT_LOW) | (fertility < FERTILITY_LOW) | (F.greatest("z_fertility", "z_byte_fertility") > FERTILITY_HIGH) | (F.col("z_byte_share") > BYTE_EXCESS)
