@@ -13,6 +13,7 @@ from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op3_best_fit_packing
 from .pu_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
+from .secret_scan import OP4_SQL, op4_secret_scan
 from .simhash_dedup import op9_simhash_near_dedup
 from .suffix_tree import op8_suffix_tree_scores
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_bpe_encoding": op5_bpe_encoding,
     "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
@@ -30,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op4_secret_scan": OP4_SQL,
 }
