@@ -8,14 +8,18 @@ dropped if an earlier line, by document and position, equals it or is within
 the edit bound, whether or not that earlier line is itself kept. Blank lines
 always stay.
 
-1. Equal lines: the least place of each distinct line, by a 128-bit hash.
-2. A necessary condition thins the lines: one edit cannot touch both the first
-   and the last ``anchor`` words, so only distinct lines that share a first or a
-   last run of words with another distinct line go on.
+1. Equal lines: the least place of each distinct line that occurs again, by a
+   128-bit hash.
+2. A necessary condition thins the lines. One edit leaves the first or the last
+   2**k words of a line alone (the largest power with both in the line), so only
+   lines that share such a run with another distinct line go on. Shared runs set
+   bits of a filter of bounded size, which every line is tested against where it
+   is read; its false hits cost work and change nothing.
 3. Deletion neighbourhood: each such line emits the hash of every variant with
-   one word removed, with the place of the removal, and of itself whole. Lines
-   that share a variant at one place differ in that word; a line whole that
-   equals another's variant lacks that word. Each group of equal keys is
+   one word removed (outside a shared run), with the place of the removal, and of
+   itself whole. Lines that share a variant at one place differ in that word; a
+   line whole that equals another's variant lacks that word. Keys that one line
+   alone has are thinned out by a second filter. Each group of equal keys is
    reduced to its earliest line (a minimum, combined before the shuffle), so a
    group of any size costs a row for each member and no pairs are formed.
 4. The edit distance of each line to its group's earliest is verified on the
@@ -28,8 +32,8 @@ over their words, so work stays linear in the line.
 Defined results: null and empty texts stay as they are; rows that repeat an id
 and text count as one document (the same places); rows that share an id with
 different texts are ordered by text hash; a document whose lines all go has an
-empty text; null ids come first; an empty table gives an empty result; other
-columns stay as they are, whatever their names.
+empty text; null ids come first; ids are integers; an empty table gives an
+empty result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,95 +44,154 @@ from pyspark.sql import functions as F
 from . import common
 
 #: A line has an edit bound of one from this many words on: similarity 7/8 at least.
-MIN_WORDS, ANCHOR, SHORT_WORDS = 8, 4, 256
-BLANK = r"^[ \t\x0b\f\r]*$"
+MIN_WORDS, SHORT_WORDS = 8, 256
+#: Filters have this many bits for each key, and at most 2**28 (32 MB).
+BITS_PER_KEY, MOST_BITS = 64, 28
+#: A place is id * 10**18 + (text hash below 10**9) * 10**9 + position, in 38 digits: it sorts by id, text and position.
+_DOC, _POS, _NULL_ID = 10**9, 10**9, -(10**19)
+_PLACE = "decimal(38,0)"
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    """Lower case, white space as single spaces."""
+    spaced = F.translate(F.lower(line), "\t\r\x0b\x0c", "    ")
+    return F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced))
 
 
 def n_words(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
+def _document(id_col: Column, text: Column) -> Column:
+    """Order-preserving number of a document."""
+    number = F.coalesce(id_col.cast(_PLACE), F.lit(str(_NULL_ID)).cast(_PLACE))
+    return (number * F.lit(_DOC) + F.pmod(F.xxhash64(text), F.lit(_DOC))).cast(_PLACE)
+
+
+def _settled(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """Columns worked out once a row: a generator keeps filters above from copying their expressions."""
+    row = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_row")
+    return df.select(*keep, row).select(*keep, *[F.col(f"_row.{k}").alias(k) for k in columns])
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at: struct of id, text hash and position; line in normal form), blank lines left out."""
+    """(doc, pos, line in normal form), blank lines left out."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
-    lines = rows.select(F.struct("id", "th", "pos").alias("at"), normal(F.col("raw")).alias("line"))
-    return lines.where("line <> ''")
+    rows = docs.select(_document(F.col(id_col), text).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
+    return _settled(rows, ["doc", "pos"], line=normal(F.col("raw"))).where("line <> ''")
+
+
+def _place() -> Column:
+    return (F.col("doc") * F.lit(_POS) + F.col("pos")).cast(_PLACE).alias("place")
 
 
 def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2")]
 
 
-def _distinct(lines: DataFrame, min_words: int, anchor: int) -> DataFrame:
-    """Each distinct line's hash, first place, and the hashes of its first and last words if it has an edit bound."""
-    n = n_words(F.col("line"))
-    own = lines.select("at", *_hashes(F.col("line")), F.when(n >= min_words, F.xxhash64(F.substring_index("line", " ", anchor))).alias("head"), F.when(n >= min_words, F.xxhash64(F.substring_index("line", " ", -anchor))).alias("tail"))
-    return own.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.count(F.lit(1)).alias("copies"))
+class Filter:
+    """A set of 64-bit keys as bits of one array, tested in place through a scalar subquery."""
+
+    def __init__(self, keys: DataFrame, n: int):
+        size = 1 << min(MOST_BITS, max(16, (BITS_PER_KEY * max(n, 1) - 1).bit_length()))
+        self.words = size >> 6
+        held = keys.select(self._word(F.col("key")).alias("w"), self._bit(F.col("key")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        every = keys.sparkSession.range(self.words).select(F.col("id").cast("int").alias("w"))
+        # One row of at most 2**22 numbers.
+        dense = every.join(held, "w", "left").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0)).alias("b")))).alias("x"))
+        self.bits = dense.select(F.col("x.b").alias("bits")).scalar()
+
+    def _word(self, key: Column) -> Column:
+        return F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(self.words - 1)).cast("int")
+
+    def _bit(self, key: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+
+    def has(self, key: Column) -> Column:
+        return F.get(self.bits, self._word(key)).bitwiseAND(self._bit(key)) != 0
+
+
+def _with_runs(lines: DataFrame, min_words: int) -> DataFrame:
+    """Lines with an edit bound, their word counts, shortest run, and the keys of their first and last runs.
+
+    f2 and l2 are the keys of half runs, for lines of just two runs: a line of one word less has those.
+    """
+    own = ["doc", "pos", "line"]
+    counted = _settled(lines, own, words=n_words(F.col("line"))).where(F.col("words") >= min_words)
+    power = F.floor(F.log2(F.col("words").cast("double")) + 1e-9).cast("int") - 1
+    sized = _settled(counted, [*own, "words"], size=F.call_function("shiftleft", F.lit(1), power))
+    half = F.when(F.col("words") == F.col("size") * 2, F.shiftright("size", 1))
+    sized = _settled(sized, [*own, "words", "size"], half=half)
+    key = lambda side, size, sign: F.xxhash64(F.lit(side), size, F.call_function("substring_index", F.col("line"), F.lit(" "), size * sign))
+    size, half = F.col("size"), F.col("half")
+    keys = {"f1": key("first", size, 1), "f2": F.when(half.isNotNull(), key("first", half, 1)), "l1": key("last", size, -1), "l2": F.when(half.isNotNull(), key("last", half, -1))}
+    return _settled(sized, [*own, "words"], run=F.coalesce(half, size), **keys)
 
 
-def _thinned(distinct: DataFrame) -> DataFrame:
-    """(h1, h2, first) of lines that share their first or last words with another distinct line."""
-    ends = distinct.where("head is not null").select("h1", "h2", "first", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("head").alias("key")), F.struct(F.lit(1).alias("side"), F.col("tail").alias("key")))).alias("end")).select("h1", "h2", "first", "end.side", "end.key")
-    shared = ends.groupBy("side", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return ends.join(shared, ["side", "key"], "left_semi").groupBy("h1", "h2").agg(F.min("first").alias("first"))
+def _shared(rows: DataFrame) -> Filter:
+    """Filter of the keys (key, line) that two distinct lines have."""
+    keys = common.stored(rows.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key"))
+    return Filter(keys, keys.count())
 
 
-def _with_text(lines: DataFrame, thinned: DataFrame) -> DataFrame:
-    """Thinned lines with their text, read from their first places."""
-    own = lines.select(F.col("at").alias("first"), "line", *_hashes(F.col("line")))
-    return own.join(thinned, ["h1", "h2", "first"]).groupBy("h1", "h2", "first").agg(F.min("line").alias("line")).withColumn("words", n_words(F.col("line")))
+def _near_candidates(lines: DataFrame, min_words: int) -> DataFrame:
+    """Distinct lines that share a run with another: (h1, h2, place, line, words, lo, hi), lo to hi the places to remove."""
+    tested = _with_runs(lines, min_words)
+    keys = tested.select(F.xxhash64("line").alias("line"), F.explode(F.filter(F.array("f1", "f2", "l1", "l2"), lambda k: k.isNotNull())).alias("key"))
+    shared = _shared(keys)
+    either = lambda a, b: shared.has(F.col(a)) | F.coalesce(shared.has(F.col(b)), F.lit(False))
+    marked = _settled(tested, ["doc", "pos", "line", "words", "run"], by_first=either("f1", "f2"), by_last=either("l1", "l2")).where("by_first or by_last")
+    lo = F.when(F.col("by_last"), F.lit(0)).otherwise(F.col("run"))
+    hi = F.when(F.col("by_first"), F.col("words") - 1).otherwise(F.col("words") - 1 - F.col("run"))
+    return marked.select(*_hashes(F.col("line")), _place(), "line", "words", lo.alias("lo"), hi.alias("hi")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("words").alias("words"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
 
 
 def _short_variants(lines: DataFrame, short_words: int) -> DataFrame:
-    """Keys of lines up to short_words + 1 words: the parts left and right of each removed word, and the whole."""
-    at = F.posexplode(F.sequence(F.lit(0), F.col("words").cast("int"))).alias("k", "i")
-    rows = lines.where(F.col("words") <= short_words + 1).select("h1", "h2", "first", "line", "words", at)
-    left = F.when(F.col("i") > 0, F.call_function("substring_index", F.col("line"), F.lit(" "), F.col("i"))).otherwise("")
-    right = F.when(F.col("i") < F.col("words") - 1, F.call_function("substring_index", F.col("line"), F.lit(" "), F.col("i") + 1 - F.col("words"))).otherwise("")
+    """Variants of lines up to short_words + 1 words: the parts left and right of each removed word."""
+    rows = lines.where(F.col("words") <= short_words + 1).select("h1", "h2", "place", "line", "words", F.explode(F.sequence("lo", "hi")).alias("i"))
+    cut = lambda n: F.call_function("substring_index", F.col("line"), F.lit(" "), n)
+    left = F.when(F.col("i") > 0, cut(F.col("i"))).otherwise("")
+    right = F.when(F.col("i") < F.col("words") - 1, cut(F.col("i") + 1 - F.col("words"))).otherwise("")
     removed = F.when((F.col("i") > 0) & (F.col("i") < F.col("words") - 1), F.concat(left, F.lit(" "), right)).otherwise(F.concat(left, right))
-    whole = F.col("i") == F.col("words")
-    return rows.select("h1", "h2", "first", whole.alias("whole"), "i", F.when(whole, F.col("words")).otherwise(F.col("words") - 1).alias("size"), F.xxhash64(F.when(whole, F.col("line")).otherwise(removed)).alias("v"))
+    return _settled(rows, ["h1", "h2", "place", "i"], v=F.xxhash64(F.lit(0), F.xxhash64(removed), F.col("words") - 1))
 
 
-def _long_variants(lines: DataFrame, short_words: int) -> DataFrame:
-    """The same for lines from short_words words on, by running exclusive-ors of word hashes with their places."""
-    words = lines.where(F.col("words") >= short_words).select("h1", "h2", "first", "words", F.posexplode(F.split("line", " ")).alias("i", "word"))
-    words = words.select("h1", "h2", "first", "words", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+def _long_variants(lines: DataFrame, short_words: int) -> tuple[DataFrame, DataFrame]:
+    """The same for lines from short_words words on, and their whole keys, by running exclusive-ors of word hashes with their places."""
+    words = lines.where(F.col("words") >= short_words).select("h1", "h2", "place", "words", "lo", "hi", F.posexplode(F.split("line", " ")).alias("i", "word"))
+    words = words.select("h1", "h2", "place", "words", "lo", "hi", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
     line = Window.partitionBy("h1", "h2")
     order = line.orderBy("i")
     before = F.coalesce(F.bit_xor("here").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifted = F.bit_xor("moved").over(line).bitwiseXOR(F.bit_xor("moved").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    hashed = words.withColumns({"gone": before.bitwiseXOR(shifted), "all": F.bit_xor("here").over(line)})
-    keys = F.explode(F.when(F.col("i") == 0, F.array(F.struct(F.lit(False).alias("whole"), F.col("i"), (F.col("words") - 1).alias("size"), F.col("gone").alias("v")), F.struct(F.lit(True).alias("whole"), F.col("words").cast("int").alias("i"), F.col("words").alias("size"), F.col("all").alias("v")))).otherwise(F.array(F.struct(F.lit(False).alias("whole"), F.col("i"), (F.col("words") - 1).alias("size"), F.col("gone").alias("v"))))).alias("key")
-    return hashed.select("h1", "h2", "first", keys).select("h1", "h2", "first", "key.whole", "key.i", "key.size", "key.v")
+    removed = words.withColumn("gone", before.bitwiseXOR(shifted)).where("i between lo and hi")
+    whole = words.groupBy("h1", "h2", "place", "words").agg(F.bit_xor("here").alias("all"))
+    return (
+        removed.select("h1", "h2", "place", "i", F.xxhash64(F.lit(1), "gone", F.col("words") - 1).alias("v")),
+        whole.select("h1", "h2", "place", F.xxhash64(F.lit(1), "all", "words").alias("v")),
+    )
 
 
 def _near(lines: DataFrame, short_words: int) -> DataFrame:
-    """(h1, h2) of lines within one word edit of an earlier line."""
-    rows = []
-    for k, part in enumerate((_short_variants(lines, short_words), _long_variants(lines, short_words))):
-        rows.append(part.select("h1", "h2", "first", "whole", F.xxhash64(F.lit(k), "v", "size").alias("key"), F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("i")).alias("i")))
-    keyed = rows[0].union(rows[1])
-    # Same removed place: replaced words. Each group keeps its earliest line alone.
-    by_place = keyed.groupBy("key", "i").agg(F.min(F.struct("first", "h1", "h2")).alias("least"), F.max(F.struct("first", "h1", "h2")).alias("most"))
-    whole = by_place.where("i = -1").select("key", F.col("least").alias("kept_whole"))
-    removed = by_place.where("i >= 0").groupBy("key").agg(F.min("least").alias("kept_removed"))
-    both = whole.join(removed, "key")
-    # A whole line against the earliest line that becomes it; lines that become it against the whole line.
-    one = both.where("kept_removed.first < kept_whole.first").select(F.col("kept_whole.h1").alias("h1"), F.col("kept_whole.h2").alias("h2"), F.col("kept_removed.h1").alias("o1"), F.col("kept_removed.h2").alias("o2"))
-    groups = by_place.where("i >= 0 and least.first < most.first").select("key", "i", "least")
-    members = keyed.where("i >= 0")
-    two = members.join(groups, ["key", "i"]).where("least.first < first").select("h1", "h2", F.col("least.h1").alias("o1"), F.col("least.h2").alias("o2"))
-    three = members.join(both.select("key", "kept_whole"), "key").where("kept_whole.first < first").select("h1", "h2", F.col("kept_whole.h1").alias("o1"), F.col("kept_whole.h2").alias("o2"))
-    found = one.union(two).union(three).distinct()
-    text = lines.select("h1", "h2", F.split("line", " ").alias("a"))
-    earlier = lines.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.split("line", " ").alias("b"))
-    return found.join(text, ["h1", "h2"]).join(earlier, ["o1", "o2"]).where(within_one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
+    """Places of the lines within one word edit of an earlier line."""
+    long_removed, long_whole = _long_variants(lines, short_words)
+    removed = _short_variants(lines, short_words).union(long_removed)
+    short_whole = lines.where(F.col("words") <= short_words + 1).select("h1", "h2", "place", F.xxhash64(F.lit(0), F.xxhash64("line"), "words").alias("v"))
+    whole = common.stored(short_whole.union(long_whole))
+    wholes = Filter(whole.select(F.col("v").alias("key")), whole.count())
+    at_place = F.xxhash64("v", "i")
+    replaced = _shared(removed.select(at_place.alias("key"), F.col("h1").alias("line")))
+    # Variants that another line shares, or that may be a line whole.
+    kept = common.stored(removed.where(replaced.has(at_place) | wholes.has(F.col("v"))))
+    least = kept.groupBy("v", "i").agg(F.min("place").alias("other"), F.max("place").alias("most")).where("other < most").drop("most")
+    found = kept.join(least, ["v", "i"]).where("other < place").select("place", "other")
+    pairs = kept.select("v", F.col("place").alias("long")).join(whole.select("v", F.col("place").alias("short")), "v")
+    # A line that becomes an earlier whole line, and a whole line that an earlier line becomes.
+    found = found.union(pairs.groupBy("long").agg(F.min("short").alias("short")).where("short < long").select("long", "short"))
+    found = found.union(pairs.groupBy("short").agg(F.min("long").alias("long")).where("long < short").select("short", "long"))
+    text = lines.select("place", F.split("line", " ").alias("a"))
+    earlier = lines.select(F.col("place").alias("other"), F.split("line", " ").alias("b"))
+    return found.distinct().join(text, "place").join(earlier, "other").where(within_one_edit(F.col("a"), F.col("b"))).select("place").distinct()
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -142,29 +205,30 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (_agree(a, b) + _agree(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR, short_words: int = SHORT_WORDS) -> DataFrame:
-    """(id, th, pos, near): places of lines that go; near if the first of its equals goes for an earlier near line."""
-    if 2 * anchor > min_words:
-        raise ValueError("first and last words must not overlap")
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short_words: int = SHORT_WORDS) -> DataFrame:
+    """(doc, pos, near): lines that go, doc the place of a document's first line; near if the first of its equals goes for an earlier near line."""
+    if min_words < 4:
+        raise ValueError("a line with an edit bound needs room for two runs of two words")
     lines = _lines(docs, id_col, text_col)
-    distinct = common.stored(_distinct(lines, min_words, anchor))
-    texts = common.stored(_with_text(lines, _thinned(distinct)))
-    near = _near(texts, short_words).join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).select("first.*", F.lit(True).alias("near"))
-    again = distinct.where("copies > 1").select("h1", "h2", "first")
-    copies = lines.select("at", *_hashes(F.col("line"))).join(again, ["h1", "h2"]).where("at <> first").select("at.*", F.lit(False).alias("near"))
-    return copies.union(near)
+    again = common.stored(lines.select(*_hashes(F.col("line")), _place()).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
+    repeated = Filter(again.select(F.col("h1").alias("key")), again.count())
+    copies = lines.where(repeated.has(F.xxhash64("line"))).select(*_hashes(F.col("line")), _place()).join(again, ["h1", "h2"]).where("place <> first").select("place", F.lit(False).alias("near"))
+    near = _near(common.stored(_near_candidates(lines, min_words)), short_words).withColumn("near", F.lit(True))
+    gone = copies.union(near).withColumn("pos", F.pmod(F.col("place"), F.lit(str(_POS)).cast(_PLACE)).cast(_PLACE))
+    return gone.select((F.col("place") - F.col("pos")).cast(_PLACE).alias("doc"), F.col("pos").cast("int").alias("pos"), "near")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """docs with text reduced to the lines that stay, and _n_lines, _n_equal, _n_near counted."""
     gone = dropped_lines(docs, id_col, text_col, **parameters)
     # One row a document; its size is bounded by the document's own lines.
-    by_doc = gone.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone"), F.count_if(~F.col("near")).alias("_equal"), F.count_if("near").alias("_near"))
+    by_doc = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_gone"), F.count_if(~F.col("near")).alias("_equal"), F.count_if("near").alias("_near"))
     text = F.col(text_col).cast("string")
-    joined = docs.withColumn("_own_th", F.xxhash64(text)).join(by_doc, docs[id_col].eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th")), "left")
+    joined = docs.withColumn("_own", (_document(F.col(id_col), text) * F.lit(_POS)).cast(_PLACE)).join(by_doc, F.col("_own") == F.col("_doc"), "left")
     parts = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return joined.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).alias("_n_lines"), F.coalesce("_equal", F.lit(0)).cast("long").alias("_n_equal"), F.coalesce("_near", F.lit(0)).cast("long").alias("_n_near"))
+    counts = [F.coalesce(F.size(parts), F.lit(0)).alias("_n_lines"), F.coalesce("_equal", F.lit(0)).cast("long").alias("_n_equal"), F.coalesce("_near", F.lit(0)).cast("long").alias("_n_near")]
+    return joined.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], *counts)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
