@@ -1,13 +1,9 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""All registered queries over the driver's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import analysis
+from .analysis import significance_table
+from .registry import ORACLE_SQL, QUERIES
 
-
-def significance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
-
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "significance_table"]
