@@ -147,9 +147,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index: (trigram, key) for the trigrams that rules need."""
-    lower = F.lower("text")
-    held = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(lower, t))
-    return keyed.select("key", F.explode(held).alias("trigram"))
+    # The generator makes the lower-case text a column of its own, so it is worked out once a row.
+    lowered = keyed.select("key", F.explode(F.array(F.lower("text"))).alias("lower"))
+    held = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("lower"), t))
+    return lowered.select("key", F.explode(held).alias("trigram"))
 
 
 def candidates(keyed: DataFrame, queries: dict[str, Query]) -> DataFrame:
