@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis
+from . import analysis, dataset, serving
 from .analysis import significance_table
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "significance_table"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "dataset", "serving", "significance_table"]
