@@ -54,12 +54,15 @@ _PLACE = "decimal(38,0)"
 
 def normal(line: Column) -> Column:
     """Lower case, white space as single spaces."""
-    spaced = F.translate(F.lower(line), "\t\r\x0b\x0c", "    ")
-    return F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced))
+    lower = F.lower(line)
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(lower, r"[ \t\r\x0b\x0c]+", " ")).otherwise(lower))
 
 
 def n_words(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    return F.size(F.split(text, " "))
 
 
 def _document(id_col: Column, text: Column) -> Column:
@@ -111,21 +114,19 @@ class Filter:
         return F.get(self.bits, self._word(key)).bitwiseAND(self._bit(key)) != 0
 
 
-def _with_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """Lines with an edit bound, their word counts, shortest run, and the keys of their first and last runs.
+def _marks(lines: DataFrame, min_words: int) -> DataFrame:
+    """A few numbers for each line: its hashes and place, and with an edit bound its words, shortest run and run keys.
 
     f2 and l2 are the keys of half runs, for lines of just two runs: a line of one word less has those.
     """
-    own = ["doc", "pos", "line"]
-    counted = _settled(lines, own, words=n_words(F.col("line"))).where(F.col("words") >= min_words)
+    counted = _settled(lines, ["doc", "pos", "line"], words=n_words(F.col("line")))
+    bound = F.col("words") >= min_words
     power = F.floor(F.log2(F.col("words").cast("double")) + 1e-9).cast("int") - 1
-    sized = _settled(counted, [*own, "words"], size=F.call_function("shiftleft", F.lit(1), power))
-    half = F.when(F.col("words") == F.col("size") * 2, F.shiftright("size", 1))
-    sized = _settled(sized, [*own, "words", "size"], half=half)
-    key = lambda side, size, sign: F.xxhash64(F.lit(side), size, F.call_function("substring_index", F.col("line"), F.lit(" "), size * sign))
-    size, half = F.col("size"), F.col("half")
-    keys = {"f1": key("first", size, 1), "f2": F.when(half.isNotNull(), key("first", half, 1)), "l1": key("last", size, -1), "l2": F.when(half.isNotNull(), key("last", half, -1))}
-    return _settled(sized, [*own, "words"], run=F.coalesce(half, size), **keys)
+    sized = _settled(counted, ["doc", "pos", "line", "words"], size=F.when(bound, F.call_function("shiftleft", F.lit(1), power)))
+    size, half = F.col("size"), F.when(F.col("words") == F.col("size") * 2, F.shiftright("size", 1))
+    key = lambda side, n, sign: F.when(n.isNotNull(), F.xxhash64(F.lit(side), n, F.call_function("substring_index", F.col("line"), F.lit(" "), n * sign)))
+    keys = {"f1": key("first", size, 1), "f2": key("first", half, 1), "l1": key("last", size, -1), "l2": key("last", half, -1)}
+    return sized.select(*_hashes(F.col("line")), _place(), F.when(bound, F.col("words")).alias("words"), F.coalesce(half, size).alias("run"), *[v.alias(k) for k, v in keys.items()])
 
 
 def _shared(rows: DataFrame) -> Filter:
@@ -134,16 +135,19 @@ def _shared(rows: DataFrame) -> Filter:
     return Filter(keys, keys.count())
 
 
-def _near_candidates(lines: DataFrame, min_words: int) -> DataFrame:
+def _near_candidates(lines: DataFrame, marks: DataFrame) -> DataFrame:
     """Distinct lines that share a run with another: (h1, h2, place, line, words, lo, hi), lo to hi the places to remove."""
-    tested = _with_runs(lines, min_words)
-    keys = tested.select(F.xxhash64("line").alias("line"), F.explode(F.filter(F.array("f1", "f2", "l1", "l2"), lambda k: k.isNotNull())).alias("key"))
+    tested = marks.where("words is not null")
+    keys = tested.select(F.col("h1").alias("line"), F.explode(F.filter(F.array("f1", "f2", "l1", "l2"), lambda k: k.isNotNull())).alias("key"))
     shared = _shared(keys)
     either = lambda a, b: shared.has(F.col(a)) | F.coalesce(shared.has(F.col(b)), F.lit(False))
-    marked = _settled(tested, ["doc", "pos", "line", "words", "run"], by_first=either("f1", "f2"), by_last=either("l1", "l2")).where("by_first or by_last")
+    marked = _settled(tested, ["h1", "h2", "place", "words", "run"], by_first=either("f1", "f2"), by_last=either("l1", "l2")).where("by_first or by_last")
     lo = F.when(F.col("by_last"), F.lit(0)).otherwise(F.col("run"))
     hi = F.when(F.col("by_first"), F.col("words") - 1).otherwise(F.col("words") - 1 - F.col("run"))
-    return marked.select(*_hashes(F.col("line")), _place(), "line", "words", lo.alias("lo"), hi.alias("hi")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("words").alias("words"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    found = common.stored(marked.select("h1", "h2", "place", "words", lo.alias("lo"), hi.alias("hi")).groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("words", "lo", "hi")]))
+    wanted = Filter(found.select(F.col("h1").alias("key")), found.count())
+    texts = _settled(lines, ["doc", "pos", "line"], h1=F.xxhash64("line")).where(wanted.has(F.col("h1"))).select("h1", _place(), "line")
+    return found.join(texts, ["h1", "place"])
 
 
 def _short_variants(lines: DataFrame, short_words: int) -> DataFrame:
@@ -210,10 +214,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if min_words < 4:
         raise ValueError("a line with an edit bound needs room for two runs of two words")
     lines = _lines(docs, id_col, text_col)
-    again = common.stored(lines.select(*_hashes(F.col("line")), _place()).groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
+    marks = common.stored(_marks(lines, min_words))
+    again = common.stored(marks.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
     repeated = Filter(again.select(F.col("h1").alias("key")), again.count())
-    copies = lines.where(repeated.has(F.xxhash64("line"))).select(*_hashes(F.col("line")), _place()).join(again, ["h1", "h2"]).where("place <> first").select("place", F.lit(False).alias("near"))
-    near = _near(common.stored(_near_candidates(lines, min_words)), short_words).withColumn("near", F.lit(True))
+    copies = marks.select("h1", "h2", "place").where(repeated.has(F.col("h1"))).join(again, ["h1", "h2"]).where("place <> first").select("place", F.lit(False).alias("near"))
+    near = _near(common.stored(_near_candidates(lines, marks)), short_words).withColumn("near", F.lit(True))
     gone = copies.union(near).withColumn("pos", F.pmod(F.col("place"), F.lit(str(_POS)).cast(_PLACE)).cast(_PLACE))
     return gone.select((F.col("place") - F.col("pos")).cast(_PLACE).alias("doc"), F.col("pos").cast("int").alias("pos"), "near")
 
