@@ -152,7 +152,7 @@ def normalize_for_match(c: Column) -> Column:
 def last_name(author: Column, normalise=normalize_for_match) -> Column:
     """Last token in match form; null for one token, under four letters, or a stopword."""
     tokens = F.filter(F.split(author, r"\s+"), lambda t: t != "")
-    last = normalise(F.element_at(tokens, -1))
+    last = normalise(F.try_element_at(tokens, F.lit(-1)))
     return F.when((F.size(tokens) > 1) & (F.length(last) >= 4) & ~last.isin(LAST_NAME_STOPWORDS), last)
 
 
@@ -177,7 +177,7 @@ def build_aliases(author: Column, alt: Column | None = None) -> Column:
     """Full name, last name, initial forms and the alternate name, in order, distinct."""
     full = cell(author)
     tokens = F.filter(F.split(full, r"\s+"), lambda t: t != "")
-    last, initial = F.element_at(tokens, -1), F.substring(full, 1, 1)
+    last, initial = F.try_element_at(tokens, F.lit(-1)), F.substring(full, 1, 1)
     forms = F.when(F.size(tokens) >= 2, F.array(full, last, F.concat(initial, F.lit(" "), last), F.concat(initial, F.lit(". "), last))).otherwise(F.array(full))
     if alt is not None:
         forms = F.concat(forms, F.array(cell(alt)))

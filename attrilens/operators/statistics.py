@@ -50,20 +50,13 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     if x > (a + 1) / (a + b + 2):
         return 1 - incomplete_beta(b, a, 1 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    tiny = 1e-300
-    c, d, f = 1.0, 0.0, 1.0
-    for k in range(400):
-        m = k // 2
-        if k == 0:
-            step = 1.0
-        elif k % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + step * d) or tiny)
-        c = (1 + step / c) or tiny
-        f *= c * d
-        if abs(1 - c * d) < 1e-13:
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    f = d
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + step * d), 1 + step / c
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
             break
     return front * f
 

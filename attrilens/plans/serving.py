@@ -29,7 +29,7 @@ def unit_vectors(spark, sf_dir):
 
 
 @query(f"""WITH {_VECS}, q AS (SELECT * FROM v WHERE vec_id % 20 = 0), s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.d, b.d) AS score FROM q a JOIN v b ON a.vec_id <> b.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM s), k AS (SELECT r.*, c_name, c_mktsegment FROM r JOIN customer ON c_custkey = neighbour + 1 WHERE rank <= 3 AND score > 0)
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM s), k AS (SELECT query, score, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank, c_name, c_mktsegment FROM r JOIN customer ON c_custkey = neighbour + 1 WHERE rank <= 3 AND score > 0)
 SELECT query, string_agg(rank || '. author: ' || c_name || ' | similarity: ' || printf('%.4f', score) || ' | quote: "' || c_mktsegment || '"', chr(10) ORDER BY rank) AS context FROM k GROUP BY query""")
 def neighbour_contexts(spark, sf_dir):
     """N1, X11 for the query set of ids divisible by 20, against all vectors."""
