@@ -38,29 +38,46 @@ def dictionary(authors: DataFrame, author: str, order: str, scope: list[str] | N
     return alias.select(*columns).union(full.select(*columns)).union(turned.select(*columns)).union(last.select(*columns))
 
 
-def word_runs(texts: DataFrame, key: str, body: str, longest: int, scope: list[str] | None = None, normalise=text.normalize_for_match) -> DataFrame:
-    """(scope..., key, name, place, words): runs of up to longest words of each text in match form."""
-    words = texts.select(*(scope or []), key, F.split(normalise(F.col(body)), " ").alias("w"))
-    placed = words.select(*(scope or []), key, "w", F.posexplode("w").alias("place", "_first"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("place")))
-    return placed.select(*(scope or []), key, "place", F.explode(F.transform(sizes, lambda n: F.struct(F.array_join(F.slice("w", F.col("place") + 1, n), " ").alias("name"), n.alias("words")))).alias("x")).select(*(scope or []), key, "place", "x.name", "x.words")
+def word_runs(texts: DataFrame, key: str, body: str, longest: int, scope: list[str] | None = None, normalise=text.normalize_for_match, firsts: DataFrame | None = None) -> DataFrame:
+    """(scope..., key, name, place, words): runs of up to longest words of each text in match form.
+
+    firsts, if given, has the first words (first) that a run may start with; it is broadcast.
+    """
+    own = [*(scope or []), key]
+    # The generator makes the words a column of their own, so a text is split once and not for each place.
+    words = texts.select(*own, F.explode(F.array(F.split(normalise(F.col(body)), " "))).alias("w"))
+    # Each place goes on with its own few words, not with the text's array.
+    placed = words.select(*own, F.posexplode(F.transform("w", lambda _, i: F.slice("w", i + 1, F.lit(longest)))).alias("place", "s"))
+    placed = placed.select(*own, "place", F.explode(F.array("s")).alias("s"))
+    if firsts is not None:
+        placed = placed.withColumn("first", F.col("s")[0]).join(F.broadcast(firsts), "first", "left_semi")
+    runs = F.transform("s", lambda _, i: F.struct(F.array_join(F.slice("s", F.lit(1), i + 1), " ").alias("name"), (i + 1).alias("words")))
+    return placed.select(*own, "place", F.explode(runs).alias("x")).select(*own, "place", "x.name", "x.words")
+
+
+#: A dictionary of at most so many names is broadcast; a larger one is joined by shuffle.
+BROADCAST_NAMES = 200_000
 
 
-def longest_name(names: DataFrame) -> int:
-    return names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+def _hits(texts: DataFrame, names: DataFrame, key: str, body: str, scope: list[str], normalise) -> DataFrame:
+    """Runs of words that are names. The dictionary is measured first: its longest name and its size."""
+    longest, n = names.agg(F.max(F.size(F.split("name", " "))), F.count(F.lit(1))).first()
+    small = n <= BROADCAST_NAMES
+    firsts = names.select(F.substring_index("name", " ", 1).alias("first")).distinct() if small else None
+    runs = word_runs(texts, key, body, longest or 1, scope, normalise, firsts)
+    return runs.join(F.broadcast(names) if small else names, [*scope, "name"])
 
 
 def mentioned_author(texts: DataFrame, names: DataFrame, key: str, body: str, scope: list[str] | None = None, normalise=text.normalize_for_match) -> DataFrame:
     """(key, mentioned): the best hit of each text that has one."""
     scope = scope or []
-    runs = word_runs(texts, key, body, longest_name(names), scope, normalise)
-    hits = runs.join(names, [*scope, "name"])
+    hits = _hits(texts, names, key, body, scope, normalise)
     return hits.groupBy(*scope, key).agg(F.min_by("author", F.struct("tier", "place", -F.length("name"), "author")).alias("mentioned"))
 
 
 def mentions(texts: DataFrame, names: DataFrame, key: str, body: str, scope: list[str] | None = None, normalise=text.normalize_for_match) -> DataFrame:
     """Every (key, author, tier) that a text holds."""
-    return word_runs(texts, key, body, longest_name(names), scope, normalise).join(names, [*(scope or []), "name"]).select(*(scope or []), key, "author", "tier").distinct()
+    return _hits(texts, names, key, body, scope or [], normalise).select(*(scope or []), key, "author", "tier").distinct()
 
 
 def _holds(body: Column, name: Column) -> Column:
