@@ -228,12 +228,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = dropped_lines(docs, id_col, text_col, **parameters)
     # One row a document; its size is bounded by the document's own lines.
     by_doc = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_gone"), F.count_if(~F.col("near")).alias("_equal"), F.count_if("near").alias("_near"))
-    text = F.col(text_col).cast("string")
-    joined = docs.withColumn("_own", (_document(F.col(id_col), text) * F.lit(_POS)).cast(_PLACE)).join(by_doc, F.col("_own") == F.col("_doc"), "left")
-    parts = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    counts = [F.coalesce(F.size(parts), F.lit(0)).alias("_n_lines"), F.coalesce("_equal", F.lit(0)).cast("long").alias("_n_equal"), F.coalesce("_near", F.lit(0)).cast("long").alias("_n_near")]
-    return joined.select(*[F.when(F.col("_gone").isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], *counts)
+    text = docs[text_col].cast("string")
+    own = (_document(docs[id_col], text) * F.lit(_POS)).cast(_PLACE)
+    joined = docs.join(by_doc, own == by_doc["_doc"], "left")
+    parts, places = F.split(text, "\n", -1), by_doc["_gone"]
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(places, i)), "\n")
+    counts = [F.coalesce(F.size(parts), F.lit(0)).alias("_n_lines"), F.coalesce(by_doc["_equal"], F.lit(0)).cast("long").alias("_n_equal"), F.coalesce(by_doc["_near"], F.lit(0)).cast("long").alias("_n_near")]
+    return joined.select(*[F.when(places.isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], *counts)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def _pairs(bin_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_steps: int = 4000) -> list[list[int]]:
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_steps: int = 4000, max_misses: int = 20_000) -> list[list[int]]:
     """Raise the sum of squared fills over underfull bins until bins empty or no step helps.
 
     The emptiest bin gives: one of its documents moves to a bin with room, goes
@@ -118,7 +118,8 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_s
     shorter. A step is taken only if it raises the sum of squared fills, which
     holds exactly if the bin that gains ends fuller than the giving bin was.
     The search ends when the bins reach the bound that the total length sets,
-    or every underfull bin has been tried in vain since the last bin emptied.
+    every underfull bin has been tried in vain since the last step, or the bounds on
+    steps and misses are met.
     """
     size = np.asarray(lengths, np.int64)
     fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
@@ -126,9 +127,9 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_s
     for b, items in enumerate(bins):
         bin_of[items] = b
     least = -(-int(size.sum()) // capacity)
-    alive, tried, steps = int((fill > 0).sum()), np.zeros(len(bins), bool), 0
+    alive, tried, steps, misses = int((fill > 0).sum()), np.zeros(len(bins), bool), 0, 0
     pairs = None
-    while alive > least and steps < max_steps:
+    while alive > least and steps < max_steps and misses < max_misses:
         candidates = np.flatnonzero((fill > 0) & (fill < capacity) & ~tried)
         if not len(candidates):
             break
@@ -138,8 +139,10 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_s
             n = lengths[i]
             room = np.where(fill > 0, capacity - fill, 0)
             room[b] = 0
+            # A bin gains from a step only if it ends fuller than the giving bin was.
+            floor = np.maximum(fill[b] - fill + 1, 1)
             back: list[int] = []
-            fits = np.flatnonzero(room >= n)
+            fits = np.flatnonzero((room >= n) & (floor <= n))
             if len(fits):
                 t = int(fits[np.argmin(room[fits])])
                 gain = n
@@ -148,28 +151,30 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_s
                     pairs = _pairs(bin_of)
                 gain, t = 0, -1
                 d = n - size
-                d[(d <= 0) | (d > room[bin_of])] = 0
+                d[(d < floor[bin_of]) | (d > room[bin_of])] = 0
                 j = int(np.argmax(d))
                 if d[j] > gain:
                     gain, t, back = int(d[j]), int(bin_of[j]), [j]
                 if len(pairs[0]):
+                    held = bin_of[pairs[0]]
                     d = n - size[pairs[0]] - size[pairs[1]]
-                    d[(d <= 0) | (d > room[bin_of[pairs[0]]])] = 0
+                    d[(d < floor[held]) | (d > room[held])] = 0
                     j = int(np.argmax(d))
                     if d[j] > gain:
-                        gain, t, back = int(d[j]), int(bin_of[pairs[0][j]]), [int(pairs[0][j]), int(pairs[1][j])]
-            if gain and fill[t] + gain > fill[b]:
+                        gain, t, back = int(d[j]), int(held[j]), [int(pairs[0][j]), int(pairs[1][j])]
+            if gain:
                 bin_of[i], bin_of[back] = t, b
                 fill[t] += gain
                 fill[b] -= gain
                 moved, pairs = True, None
                 steps += 1
                 break
-        if moved and not fill[b]:
-            alive -= 1
+        if moved:
+            alive -= not fill[b]
             tried[:] = False
-        elif not moved:
+        else:
             tried[b] = True
+            misses += 1
     out: list[list[int]] = [[] for _ in bins]
     for i, b in enumerate(bin_of.tolist()):
         out[b].append(i)

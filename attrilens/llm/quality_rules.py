@@ -7,7 +7,8 @@ letters where the language is null) and each octave of token counts, the
 median and the distance from there to the upper quartile of each measure, over
 all documents that pass the base rules, set the bands; a document is rejected
 if it stands outside them. Groups of fewer than ``least_group`` documents use
-the bands of their octave, then of their language, then of all documents.
+the bands of their octave, then ``COARSE`` times those of their language, then
+of all documents.
 
 Defined results: null and empty texts have no words, fail the base rules and
 have null measures; repeated rows are measured each; an empty table gives an
@@ -32,7 +33,7 @@ SPACES = " \t\n\r\x0b\x0c"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Rejection bands in robust deviations: fertility and entropy together, fertility alone; byte share above the median.
 JOINT_LOW, FERTILITY_LOW, FERTILITY_HIGH, BYTE_EXCESS = -6.0, -8.0, 14.0, 0.10
-LEAST_GROUP, PRIOR_SIZE = 30, 20
+LEAST_GROUP, PRIOR_SIZE, COARSE = 30, 30, 2.5
 MEASURES = ("fertility", "byte_fertility", "entropy", "byte_entropy", "byte_share")
 
 _PIECES: dict = {}
@@ -166,7 +167,9 @@ def verdicts(marked: DataFrame, least_group: int = LEAST_GROUP, prior_size: int
             dev = F.coalesce((size * own + prior_size * dev) / (size + prior_size), dev)
         out = out.withColumn(f"z_{m}", F.col(m) - mid if m == "byte_share" else F.coalesce(F.try_divide(F.col(m) - mid, 1.4826 * dev), F.lit(0.0)))
     fertility, information = F.least("z_fertility", "z_byte_fertility"), F.least("z_entropy", "z_byte_entropy")
-    odd = (fertility + information < JOINT_LOW) | (fertility < FERTILITY_LOW) | (F.greatest("z_fertility", "z_byte_fertility") > FERTILITY_HIGH) | (F.col("z_byte_share") > BYTE_EXCESS)
+    # Without a group of like lengths the bands are wider.
+    wide = F.when(F.coalesce("by_half.size", "by_octave.size").isNotNull(), 1.0).otherwise(COARSE)
+    odd = (fertility + information < JOINT_LOW * wide) | (fertility < FERTILITY_LOW * wide) | (F.greatest("z_fertility", "z_byte_fertility") > FERTILITY_HIGH * wide) | (F.col("z_byte_share") > BYTE_EXCESS * wide)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(True)))
 
 

@@ -203,17 +203,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = REDACTED) -> DataFrame:
     """docs with every span, overlapping ones joined, replaced by the mark; columns as in docs."""
-    text = F.col(text_col).cast("string")
+    text = docs[text_col].cast("string")
     order = Window.partitionBy("key").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = found_spans(_keyed(docs, id_col, text_col), rules).withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     after = F.lead("start").over(Window.partitionBy("key").orderBy("start"))
     cuts = runs.withColumn("next", after).groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "next"))).alias("_cuts"))
-    joined = docs.withColumn("_own", F.xxhash64(F.col(id_col), text)).join(cuts, F.col("_own") == F.col("_key"), "left")
+    joined = docs.join(cuts, F.xxhash64(docs[id_col], text) == cuts["_key"], "left")
     part = lambda start, size: F.call_function("substring", text, (start + 1).cast("int"), size.cast("int"))
-    tail = F.array_join(F.transform("_cuts", lambda c: F.concat(F.lit(mark), part(c["end"], F.coalesce(c["next"], F.length(text).cast("long")) - c["end"]))), "")
-    clean = F.when(F.col("_cuts").isNull(), text).otherwise(F.concat(part(F.lit(0), F.get("_cuts", F.lit(0))["start"]), tail))
+    tail = F.array_join(F.transform(cuts["_cuts"], lambda c: F.concat(F.lit(mark), part(c["end"], F.coalesce(c["next"], F.length(text).cast("long")) - c["end"]))), "")
+    clean = F.when(cuts["_cuts"].isNull(), text).otherwise(F.concat(part(F.lit(0), F.get(cuts["_cuts"], F.lit(0))["start"]), tail))
     return joined.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
