@@ -63,7 +63,9 @@ def repeat_words(words: list, window: int = WINDOW) -> int:
         step = min(width, window - width)
         ids = np.unique(ids[:-step] * (n + 1) + ids[step:], return_inverse=True)[1].astype(np.int64)
         width += step
-    twice = np.bincount(ids)[ids] > 1
+        twice = np.bincount(ids)[ids] > 1
+        if not twice.any():  # longer windows do not repeat either
+            return 0
     marks = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(twice)
     np.add.at(marks, at, 1)
@@ -84,7 +86,8 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
 
 
 def entropy(ids: np.ndarray) -> float:
-    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
     return float(-(share * np.log2(share)).sum())
 
 
@@ -110,7 +113,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batch: pa.RecordBatch) -> dict:
         model, is_byte = piece_model(vocabulary)
-        encode = byte_encoder(bytes_vocabulary).encode_ordinary
+        encoder = byte_encoder(bytes_vocabulary)
         texts = common.strings(batch.column(1))
         rows = []
         for text, lang in zip(texts, batch.column(2).to_pylist()):
@@ -118,7 +121,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             pieces = np.array(model.encode(text), np.int64)
             group = lang if lang is not None else script(text)
             if base[0] and len(pieces):
-                rows.append((*base, group, int(2 * np.log2(len(pieces))), *token_measures(text, pieces, np.array(encode(text), np.int64), is_byte)))
+                rows.append((*base, group, int(2 * np.log2(len(pieces))), *token_measures(text, pieces, encoder.encode_to_numpy(text, disallowed_special=()), is_byte)))
             else:
                 rows.append((*base, group, 0, *[None] * 5))
         names = [x.split(" ")[0] for x in _SCHEMA.split(", ")][:-1]
