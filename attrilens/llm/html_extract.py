@@ -36,27 +36,32 @@ ENDS_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 LIKE = {"li": "li", "dt": "dd", "dd": "dd", "option": "option", "tr": "tr", "td": "td", "th": "td"}
 BARS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}}
 MAIN_TAGS = frozenset(("article", "main"))
-BOILER_TAGS = frozenset("nav footer aside form menu dialog header address fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
+#: Boilerplate around the main element, but not inside it.
+SOFT_TAGS = frozenset("header address fieldset".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 BOILER_WORDS = re.compile(
-    r"^(ads?|advert\w*|adverts|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|side|sidebar\w*|rail|widgets?|related|recommend\w*|recirc|more|trending|popular|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|discussion|breadcrumbs?|crumbs|menus?|nav|navbar|navigation|footer\w*|foot|header|masthead|topbar|toolbar|copyright|legal|disclaimer|subscribe|subscription|newsletter|signup|login|paywall|search\w*|tags?|taglist|pager|pagination|paging|skip|print|meta|byline|author\w*|bio|outbrain|taboola|hidden|toc)$"
+    r"^(ads?|advert\w*|adverts|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|side|sidebar\w*|rail|widgets?|related|recommend\w*|recirc|trending|popular|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|discussion|breadcrumbs?|crumbs|menus?|nav|navbar|navigation|footer\w*|foot|toolbar|subscribe|subscription|newsletter|signup|login|paywall|search\w*|pager|pagination|paging|outbrain|taboola)$"
 )
+SOFT_WORDS = re.compile(r"^(header\w*|masthead|topbar|copyright|legal|disclaimer|tags?|taglist|skip|print|meta|byline|author\w*|bio|more|toc|hidden)$")
 CONTENT_WORDS = re.compile(r"^(article\w*|content|post|entry|story|main|body|text|maintext|articlebody)$")
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 STRONG, SIBLING, NEXT = 60, 6, 4
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "role", "boiler", "content", "hidden", "size", "main")
+    __slots__ = ("tag", "parent", "role", "boiler", "soft", "content", "hidden", "main")
 
     def __init__(self, tag: str, parent: Node | None, attrs: dict):
-        self.tag, self.parent, self.size = tag, parent, 0
+        self.tag, self.parent = tag, parent
         named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}" if attrs else ""
         words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()) if len(named) > 1 else ()
         self.role = (attrs.get("role") or "").lower() if attrs else ""
         self.main = tag in MAIN_TAGS or self.role in ("main", "article") or (bool(attrs) and (attrs.get("itemprop") or "") == "articleBody")
         self.boiler = tag in BOILER_TAGS or self.role in BOILER_ROLES or any(BOILER_WORDS.match(w) for w in words if w)
-        self.content = self.main or any(CONTENT_WORDS.match(w) for w in words if w)
+        self.main = self.main and not self.boiler
+        self.soft = tag in SOFT_TAGS or any(SOFT_WORDS.match(w) for w in words if w)
+        self.content = self.main or not self.boiler and any(CONTENT_WORDS.match(w) for w in words if w)
         self.hidden = tag in SILENT or bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower())
 
 
@@ -154,21 +159,28 @@ def parse(html: str) -> list[Block]:
 
 
 def _main_element(blocks: list[Block]) -> Node | None:
-    """The article or main element with most text outside boilerplate inside it."""
-    best: dict[int, tuple[int, Node]] = {}
+    """The element with most text outside boilerplate inside it: an article or main element, else one named as content."""
+    best: dict[int, list] = {}
     for b in blocks:
         node, own = b.node, len(b.text) - b.linked
         while node is not None:
-            if node.main:
-                best[id(node)] = (best.get(id(node), (0, node))[0] + own, node)
-            if node.boiler and not node.main:
+            if node.content:
+                best.setdefault(id(node), [0, node])[0] += own
+            if node.boiler:
                 own //= 4
             node = node.parent
-    if not best:
-        return None
-    most = max(v for v, _ in best.values())
-    # The innermost of those with nearly all of the text.
-    return max((n for v, n in best.values() if v >= 0.9 * most), key=_depth)
+    for named in (True, False):
+        found = [x for x in best.values() if x[1].main == named and (named or not node_is_page(x[1])) and x[0]]
+        if found:
+            most = max(v for v, _ in found)
+            near = [n for v, n in found if v >= 0.9 * most]
+            # The innermost article or main; the outermost of elements named as content, which holds the title too.
+            return max(near, key=_depth) if named else min(near, key=_depth)
+    return None
+
+
+def node_is_page(node: Node) -> bool:
+    return node.tag in ("", "html", "body")
 
 
 def _depth(node: Node) -> int:
@@ -194,6 +206,15 @@ def evidence(blocks: list[Block]) -> list[int]:
             held[id(node)] = held.get(id(node), 0) + len(b.text)
             node = node.parent
     known: dict[int, tuple[bool, bool, bool]] = {}
+    within: dict[int, bool] = {}
+
+    def inside_main(node: Node | None) -> bool:
+        if node is None or main is None:
+            return False
+        if id(node) not in within:
+            within[id(node)] = node is main or inside_main(node.parent)
+        return within[id(node)]
+
     out = []
     for b in blocks:
         key = id(b.node)
@@ -205,7 +226,7 @@ def evidence(blocks: list[Block]) -> list[int]:
                     inside = True
                 # A wrapper of the main element, or of most of a page without one, is no boilerplate.
                 wraps = id(node) in above or (main is None and held[id(node)] > 0.6 * total)
-                if node.boiler and not wraps and not (node.tag == "header" and _in_main(node, main)):
+                if not wraps and (node.boiler or node.soft and not inside_main(node)):
                     boiler = True
                 content = content or node.content
                 node = node.parent
@@ -224,15 +245,6 @@ def evidence(blocks: list[Block]) -> list[int]:
     return out
 
 
-def _in_main(node: Node, main: Node | None) -> bool:
-    node = node.parent
-    while node is not None:
-        if node is main:
-            return main is not None
-        node = node.parent
-    return False
-
-
 def minimum_cut(capacity: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Nodes on the source side of a minimum cut (Dinic's algorithm).
 
