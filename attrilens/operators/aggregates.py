@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import maths
+from .statistics import exact_quantiles
 
 
 def universe(rows: DataFrame, order: str, author="author_clean", race="race", gender="gender", fame="log10_hits") -> DataFrame:
@@ -59,9 +60,8 @@ def decile_targets(rows: DataFrame, hits: str = "google_hits", bins: int = 10) -
     """How many reference authors each decile of log10(hits + 1) has, dense from 0 to 9."""
     spark = rows.sparkSession
     logs = rows.select(maths.log10p1(F.col(hits)).alias("x")).where("x is not null")
-    # Eleven numbers.
-    found = logs.agg(F.percentile("x", F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("e")).first()["e"]
-    if found is None:
+    found = exact_quantiles(logs, "x", [k / bins for k in range(bins + 1)])
+    if not found:
         return spark.range(bins).select(F.col("id").cast("int").alias("decile"), F.lit(0).cast("long").alias("target_n"))
     edges = F.array(*[F.lit(e) for e in open_edges(found)])
     counted = logs.groupBy(maths.decile_left_closed(F.col("x"), edges).alias("decile")).agg(F.count(F.lit(1)).alias("target_n"))

@@ -93,6 +93,23 @@ def line_fit(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(y).alias("y_mean"))
 
 
+def exact_quantiles(rows: DataFrame, column: str, probabilities: list[float]) -> list[float]:
+    """Exact quantiles with linear interpolation, as a few numbers on the driver.
+
+    Distinct values are counted and numbered by range bucket, so no task and no aggregate buffer holds all values.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    places = [p * (total - 1) for p in probabilities]
+    wanted = sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places})
+    upto = running_total(counts, "x", "n", "upto")
+    found = upto.agg(*[F.min(F.when(F.col("upto") > k, F.col("x"))).alias(str(k)) for k in wanted]).first().asDict()
+    at = lambda k: found[str(k)]
+    return [at(math.floor(p)) if p == math.floor(p) else (math.ceil(p) - p) * at(math.floor(p)) + (p - math.floor(p)) * at(math.ceil(p)) for p in places]
+
+
 def quantile_edges(x: Column, bins: int = 10) -> Column:
     """Edges for W8: repeated ones are dropped when binning."""
     return F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))

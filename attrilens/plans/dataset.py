@@ -9,7 +9,7 @@ from ..operators import aggregates, filters, joins, matching, sets, statistics,
 from ..sources import scans, sinks
 from .registry import CUSTOMERS, FAME, RESPONSES, customers, famous, query, responses, rounded, table
 
-_ALPHA = "ascii(substr({0}, 1, 1))"
+_TENTHS = [k / 10 for k in range(11)]
 
 
 @query("""SELECT conv_id, turn, trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS norm, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS words FROM conversations
@@ -90,8 +90,7 @@ _EDGES = f"{FAME}, edges AS (SELECT quantile_cont(log10_hits, [0.0, 0.1, 0.2, 0.
 
 def _binned(spark, sf_dir):
     f = famous(spark, sf_dir)
-    # Eleven numbers.
-    edges = f.agg(aggregates.inclusive_edges(F.col("log10_hits")).alias("e")).first()["e"]
+    edges = statistics.exact_quantiles(f, "log10_hits", _TENTHS)
     return f.withColumn("decile", maths.decile_right_closed(F.col("log10_hits"), F.array(*[F.lit(x) for x in edges])))
 
 
@@ -120,7 +119,7 @@ def decile_targets(spark, sf_dir):
 def quota_fill(spark, sf_dir):
     """The first target_n of each decile in order."""
     f = famous(spark, sf_dir).select("author", maths.log10p1(F.col("hits")).alias("x"))
-    found = f.agg(F.percentile("x", F.array(*[F.lit(k / 10) for k in range(11)])).alias("e")).first()["e"]
+    found = statistics.exact_quantiles(f, "x", _TENTHS)
     edges = F.array(*[F.lit(e) for e in aggregates.open_edges(found)])
     placed = f.withColumn("decile", maths.decile_left_closed(F.col("x"), edges))
     targets = spark.range(10).select(F.col("id").cast("int").alias("decile"), (F.col("id") + 3).alias("target_n"))
@@ -131,7 +130,7 @@ def quota_fill(spark, sf_dir):
 def quantile_bins(spark, sf_dir):
     """From 1, repeated edges dropped."""
     f = famous(spark, sf_dir)
-    edges = f.agg(statistics.quantile_edges(F.col("n")).alias("e")).first()["e"]
+    edges = statistics.exact_quantiles(f, "n", _TENTHS)
     return f.select("author", maths.quantile_bin(F.col("n"), F.array(*[F.lit(e) for e in edges])).cast("long").alias("bin"))
 
 
@@ -193,7 +192,7 @@ _TWO = f"{_EDGES}, q AS (SELECT quantile_cont(n, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6,
 
 def _two(spark, sf_dir):
     f = _binned(spark, sf_dir)
-    edges = f.agg(aggregates.inclusive_edges(F.col("n")).alias("e")).first()["e"]
+    edges = statistics.exact_quantiles(f, "n", _TENTHS)
     return f.select("author", (F.col("decile") + 1).alias("a"), (maths.decile_right_closed(F.col("n"), F.array(*[F.lit(e) for e in edges])) + 1).alias("b"))
 
 

@@ -49,6 +49,15 @@ def test_quantile_bins_equal_pandas(spark, values):
     assert got == want
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(0, 1, 157), rng.integers(0, 6, 90).astype(float), np.array([4.0])):
+        df = spark.createDataFrame(pd.DataFrame({"v": values}))
+        probabilities = [k / 10 for k in range(11)]
+        assert np.allclose(statistics.exact_quantiles(df, "v", probabilities), np.quantile(values, probabilities))
+    assert statistics.exact_quantiles(df.where("v < 0"), "v", [0.5]) == []
+
+
 def test_average_rank(spark):
     values = [3.0, 1.0, 3.0, 2.0, 3.0, 1.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
