@@ -31,6 +31,8 @@ from . import common
 CAPACITY = 2048
 #: Expected pieces in a group of the first round, and groups gathered in the second.
 GROUP_PIECES, GATHER = 4096, 16
+#: Bins with more free space than this share of the capacity go to the second round.
+UNDERFULL = 1 / 64
 
 _ENCODERS: dict = {}
 
@@ -110,7 +112,7 @@ def _pairs(bin_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_steps: int = 4000, max_misses: int = 20_000) -> list[list[int]]:
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_steps: int = 600, max_misses: int = 300) -> list[list[int]]:
     """Raise the sum of squared fills over underfull bins until bins empty or no step helps.
 
     The emptiest bin gives: one of its documents moves to a bin with room, goes
@@ -204,7 +206,7 @@ def _packer(columns: list[str], capacity: int):
             for i in items:
                 sequence[i], offset[i] = base + b, at
                 at += lengths[i]
-            if at < capacity:
+            if capacity - at > UNDERFULL * capacity:
                 under[items] = True
         return part.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("underfull", pa.array(under))
 
