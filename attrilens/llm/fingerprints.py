@@ -1,7 +1,8 @@
 """Document fingerprints: quartile bucket digests of hashed byte triplets (operator 2).
 
-Six triplets of each five-byte window are hashed into buckets and counted. A
-digest holds, in hex, a length code and for each bucket the quartile its count
+Six triplets of each thirteen-byte window are hashed into buckets and counted:
+one of neighbouring bytes, so short texts have some, and five wider ones, which
+follow a text's own wording more than its language. A digest holds, in hex, a length code and for each bucket the quartile its count
 falls in (two bits), which keeps the shape of the histogram and drops its scale.
 
 Two digests are compared by the mean step between their bucket quartiles, set
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 512
-#: Offsets of the second and third byte of each triplet in a five-byte window.
-TRIPLETS = ((1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4))
+#: Offsets of the second and third byte of each triplet in its window.
+TRIPLETS = ((1, 2), (3, 7), (4, 9), (5, 11), (6, 12), (4, 11))
+REACH = max(j for _, j in TRIPLETS)
 LENGTH_BASE, LENGTH_CAP, LENGTH_WEIGHT = 1.25, 16, 0.2
 #: Documents for each range of ids, and the most ranges.
 RANGE_DOCS, MAX_RANGES = 2048, 4096
@@ -46,7 +48,7 @@ def counts(data: bytes, buckets: int = BUCKETS) -> np.ndarray:
     """Counts of hashed triplets by bucket."""
     out = np.zeros(buckets, np.int64)
     for at in range(0, max(1, len(data) - 2), 1 << 20):
-        part = np.frombuffer(data, np.uint8, count=min(len(data) - at, (1 << 20) + 4), offset=at).astype(np.uint32)
+        part = np.frombuffer(data, np.uint8, count=min(len(data) - at, (1 << 20) + REACH), offset=at).astype(np.uint32)
         own = min(1 << 20, len(data) - at)
         for k, (i, j) in enumerate(TRIPLETS):
             n = min(own, len(part) - j)

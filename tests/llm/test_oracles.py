@@ -110,6 +110,9 @@ def test_fingerprints(spark, sf, texts):
         assert r["near_edited"] == fingerprints.likeness(r["fingerprint"], r["edited_fingerprint"]) and 0 <= r["near_next"] <= 1
         better += r["near_edited"] > r["near_next"] or text == then
     assert len(got) == len(ids) and better >= 0.97 * len(ids)
+    long = (" ".join(texts.values()) * 9).encode()[: (1 << 20) + 5000]
+    flat = np.frombuffer(long, np.uint8)
+    assert fingerprints.counts(long).sum() == sum(len(flat) - j for _, j in fingerprints.TRIPLETS)
     assert fingerprints.likeness(fingerprints.digest(b""), fingerprints.digest(b"some text here")) == 0
 
 
@@ -167,6 +170,34 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(many[i] for i in b) <= 100 for b in bins)
 
 
+@pytest.mark.parametrize(("group_pieces", "gather"), [(15, 2), (40, 3), (10_000, 16)])
+def test_packing_groups(spark, group_pieces, gather):
+    """Groups and the second round: every piece once, gapless, unique sequence numbers, few sequences."""
+    rng = random.Random(7)
+    rows = [(i, 0, 0, rng.choice([100, 100, rng.randint(1, 90)]), rng.getrandbits(32)) for i in range(400)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack_pieces(parts, len(rows), 100, group_pieces, gather).collect()
+    assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == sorted((r[0], r[3], r[4]) for r in rows)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        p.sort()
+        assert [o for o, _ in p] == [sum(n for _, n in p[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 100
+    groups = -(-len(rows) // group_pieces)
+    assert len(places) <= sum(r[3] for r in rows) / 100 + 2 + groups
+
+
+def test_line_dedup_ids(spark):
+    """Order is by id, with ids of any size; null ids come first; equal ids by text."""
+    line = prose(random.Random(1), 10)
+    other = line.replace(line.split()[4], "changed", 1)
+    ids = [2**62, -(2**62), None, 5, 5, 7]
+    texts = [line, other, line + "\n" + "tail words", "tail words", "more words here", None]
+    got = {(r["doc_id"], r["n"]): r["text"] for r in line_dedup.dedup_lines(documents(spark, texts, ids=ids)).withColumnRenamed("n_chars", "n").collect()}
+    assert got == {(2**62, len(line)): "", (-(2**62), len(other)): "", (None, len(texts[2])): texts[2], (5, 10): "", (5, 15): "more words here", (7, None): None}
+
+
 def brute_spans(text):
     out = []
     for number, rule in enumerate(secret_scan.RULES):
