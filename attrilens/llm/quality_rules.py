@@ -86,9 +86,8 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
 
 
 def entropy(ids: np.ndarray) -> float:
-    counts = np.bincount(ids)
-    share = counts[counts > 0] / len(ids)
-    return float(-(share * np.log2(share)).sum())
+    counts = np.unique(ids, return_counts=True)[1]
+    return float(np.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
 
 
 def script(text: str) -> str:
@@ -118,7 +117,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         rows = []
         for text, lang in zip(texts, batch.column(2).to_pylist()):
             base = base_measures(text)
-            pieces = np.array(model.encode(text), np.int64)
+            pieces = np.array(model.encode(text), np.int32)
             group = lang if lang is not None else script(text)
             if base[0] and len(pieces):
                 rows.append((*base, group, int(2 * np.log2(len(pieces))), *token_measures(text, pieces, encoder.encode_to_numpy(text, disallowed_special=()), is_byte)))
