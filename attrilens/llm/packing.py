@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -19,7 +19,6 @@ other columns are ignored by ``scan`` and kept by ``redact``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 
