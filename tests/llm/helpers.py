@@ -10,7 +10,7 @@ def prose(rng: random.Random, n: int) -> str:
 
 
 def documents(spark, texts, extra=False, ids=None):
-    rows = [(ids[i] if ids else i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows = [(ids[i] if ids else i, t, None if extra and i % 4 == 1 else "en", None if extra and i % 5 == 2 else f"s{i % 3}", None if t is None or extra and i % 6 == 3 else len(t)) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     if extra:
         # Names that operators use inside.
