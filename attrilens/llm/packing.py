@@ -5,9 +5,9 @@ Documents are tokenised in Arrow batches and cut into pieces of at most
 by hash into groups of a bounded expected size. Each group is packed best-fit
 decreasing, then a local search over its underfull bins exchanges one document
 for one, two for one, or moves a document, taking steps that raise the sum of
-squared fills, until bins empty. A second round gathers the bins that stay
-underfull in each few groups and packs and searches those again, so the loss at
-group borders shrinks by that factor.
+squared fills, until bins empty or no step is left. A second round gathers every bin with free
+space of each few groups and searches those again, from a new packing of their
+pieces if that has fewer bins, so the loss at group borders shrinks by that factor.
 
 Defined results: null and empty texts are one piece, the closing id alone;
 repeated rows are packed each on their own; an empty table gives an empty
@@ -30,8 +30,6 @@ from . import common
 CAPACITY = 2048
 #: Expected pieces in a group of the first round, and groups gathered in the second.
 GROUP_PIECES, GATHER = 4096, 16
-#: Bins with more free space than this share of the capacity go to the second round.
-UNDERFULL = 1 / 64
 
 _ENCODERS: dict = {}
 
@@ -97,97 +95,112 @@ class Bins:
             insort(self.order, (self.free[b], b))
 
 
-def _pairs(bin_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of items that share a bin."""
-    order = np.argsort(bin_of, kind="stable")
-    held, left, right = bin_of[order], [], []
-    for k in range(1, len(order)):
-        same = np.flatnonzero((held[k:] == held[:-k]) & (held[k:] >= 0))
-        if not len(same):
-            break
-        left.append(order[same])
-        right.append(order[same + k])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
-
-
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, max_steps: int = 600, max_misses: int = 300) -> list[list[int]]:
+def _next_sums(sizes: list[int], capacity: int) -> np.ndarray:
+    """For each length up to capacity the least one not below it that none, one or two of the sizes add up to."""
+    kinds, copies = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+    both = np.add.outer(kinds, kinds)
+    both = np.concatenate([both[np.triu_indices(len(kinds), 1)], 2 * kinds[copies > 1]])
+    out = np.full(capacity + 1, 2 * capacity + 1, np.int32)
+    for sums in ([0], kinds, both):
+        out[sums] = sums
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
+def _that_add_up(items: list[int], lengths: list[int], total: int) -> list[int]:
+    """None, one or two of the items whose lengths add up to total."""
+    if not total:
+        return []
+    seen: dict[int, int] = {}
+    for j in items:
+        if lengths[j] == total:
+            return [j]
+    for j in items:
+        if total - lengths[j] in seen:
+            return [seen[total - lengths[j]], j]
+        seen[lengths[j]] = j
+    raise ValueError(total)
+
+
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Raise the sum of squared fills over underfull bins until bins empty or no step helps.
 
     The emptiest bin gives: one of its documents moves to a bin with room, goes
     in for a shorter one that comes back, or goes in for two that together are
     shorter. A step is taken only if it raises the sum of squared fills, which
     holds exactly if the bin that gains ends fuller than the giving bin was.
-    The search ends when the bins reach the bound that the total length sets,
-    every underfull bin has been tried in vain since the last step, or the bounds on
-    steps and misses are met.
+    The search ends when the bins reach the bound that the total length sets, or
+    every underfull bin has been tried in vain since the last step. A bin tried
+    in vain is tried again only if a step changed it or a bin that it can give to.
     """
-    size = np.asarray(lengths, np.int64)
-    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
-    bin_of = np.full(len(size), -1, np.int64)
-    for b, items in enumerate(bins):
-        bin_of[items] = b
-    least = -(-int(size.sum()) // capacity)
-    alive, tried, steps, misses = int((fill > 0).sum()), np.zeros(len(bins), bool), 0, 0
-    pairs = None
-    while alive > least and steps < max_steps and misses < max_misses:
-        candidates = np.flatnonzero((fill > 0) & (fill < capacity) & ~tried)
-        if not len(candidates):
-            break
-        b = int(candidates[np.argmin(fill[candidates])])
-        moved = False
-        for i in sorted(np.flatnonzero(bin_of == b).tolist(), key=lambda x: (-lengths[x], x)):
+    # Full bins neither give nor gain.
+    loads = [sum(lengths[i] for i in b) for b in bins]
+    done = [list(b) for b, n in zip(bins, loads) if n >= capacity]
+    held = [list(b) for b, n in zip(bins, loads) if n < capacity]
+    fill = np.array([n for n in loads if n < capacity], np.int64)
+    alive, least = len(held), -(-int(fill.sum()) // capacity)
+    if alive <= least:
+        return [b for b in done + held if b]
+    items = np.array(sorted(i for b in held for i in b), np.int64)
+    size, home = np.asarray(lengths, np.int64)[items], np.zeros(len(items), np.int64)
+    at = {i: k for k, i in enumerate(items.tolist())}
+    for b, members in enumerate(held):
+        home[[at[i] for i in members]] = b
+    sums = np.array([_next_sums([lengths[i] for i in b], capacity) for b in held])
+    hope = fill > 0
+    everyone = np.arange(len(held))
+    while alive > least and hope.any():
+        b = int(np.argmin(np.where(hope, fill, capacity + 1)))
+        room = np.where(fill > 0, capacity - fill, 0)
+        room[b] = 0
+        # A bin gains from a step only if it ends fuller than the giving bin was.
+        floor = np.maximum(fill[b] - fill + 1, 1)
+        moved, failed = False, set()
+        for i in sorted(held[b], key=lambda x: (-lengths[x], x)):
             n = lengths[i]
-            room = np.where(fill > 0, capacity - fill, 0)
-            room[b] = 0
-            # A bin gains from a step only if it ends fuller than the giving bin was.
-            floor = np.maximum(fill[b] - fill + 1, 1)
-            back: list[int] = []
-            fits = np.flatnonzero((room >= n) & (floor <= n))
-            if len(fits):
-                t = int(fits[np.argmin(room[fits])])
-                gain = n
-            else:
-                if pairs is None:
-                    pairs = _pairs(bin_of)
-                gain, t = 0, -1
-                d = n - size
-                d[(d < floor[bin_of]) | (d > room[bin_of])] = 0
-                j = int(np.argmax(d))
-                if d[j] > gain:
-                    gain, t, back = int(d[j]), int(bin_of[j]), [j]
-                if len(pairs[0]):
-                    held = bin_of[pairs[0]]
-                    d = n - size[pairs[0]] - size[pairs[1]]
-                    d[(d < floor[held]) | (d > room[held])] = 0
-                    j = int(np.argmax(d))
-                    if d[j] > gain:
-                        gain, t, back = int(d[j]), int(held[j]), [int(pairs[0][j]), int(pairs[1][j])]
-            if gain:
-                bin_of[i], bin_of[back] = t, b
-                fill[t] += gain
-                fill[b] -= gain
-                moved, pairs = True, None
-                steps += 1
-                break
-        if moved:
-            alive -= not fill[b]
-            tried[:] = False
-        else:
-            tried[b] = True
-            misses += 1
-    out: list[list[int]] = [[] for _ in bins]
-    for i, b in enumerate(bin_of.tolist()):
-        out[b].append(i)
-    return [b for b in out if b]
-
-
-def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins (lists of indices) of lengths that are each at most capacity."""
+            if n in failed:
+                continue
+            gain = n - sums[everyone, np.maximum(n - room, 0)]
+            gain[(gain < floor) | (room == 0)] = 0
+            most = int(gain.max())
+            if most <= 0:
+                failed.add(n)
+                continue
+            # The largest gain, and of those the bin with the least room.
+            t = int(np.argmin(np.where(gain == most, room, capacity + 1)))
+            back = _that_add_up(held[t], lengths, n - most)
+            held[b].remove(i)
+            for j in back:
+                held[t].remove(j)
+            held[t].append(i)
+            held[b] += back
+            home[at[i]] = t
+            home[[at[j] for j in back]] = b
+            fill[t] += most
+            fill[b] -= most
+            moved = True
+            break
+        if not moved:
+            hope[b] = False
+            continue
+        alive -= not fill[b]
+        for x in (b, t):
+            sums[x] = _next_sums([lengths[i] for i in held[x]], capacity)
+            hope[x] = 0 < fill[x] < capacity
+        for x in (b, t):
+            if 0 < fill[x] < capacity:
+                gain = size - sums[x][np.maximum(size - (capacity - fill[x]), 0)]
+                again = home[(gain >= np.maximum(fill[home] - fill[x] + 1, 1)) & (home != x)]
+                hope[again[fill[again] < capacity]] = True
+    return [b for b in done + held if b]
+
+
+def pack(lengths: list[int], capacity: int = CAPACITY, before: list[list[int]] | None = None) -> list[list[int]]:
+    """Bins (lists of indices) of lengths that are each at most capacity; not more than the bins before, if given."""
     first = Bins(capacity)
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         first.add(i, lengths[i])
-    return local_search(lengths, first.items, capacity)
+    start = first.items if before is None or len(first.items) < len(before) else before
+    return local_search(lengths, start, capacity)
 
 
 _PACKED = "sequence_id long, offset long, underfull boolean"
@@ -197,7 +210,12 @@ def _packer(columns: list[str], capacity: int):
     def run(key: tuple, part: pa.Table) -> pa.Table:
         part = part.select(columns).sort_by([("doc_id", "ascending"), ("ids_crc32", "ascending"), ("piece", "ascending")])
         lengths = part.column("length").to_pylist()
-        bins = pack(lengths, capacity)
+        before: dict[int, list[int]] = {}
+        if "sequence_id" in columns:
+            for i, k in enumerate(part.column("sequence_id").to_pylist()):
+                before.setdefault(k, []).append(i)
+            part = part.drop_columns(["sequence_id"])
+        bins = pack(lengths, capacity, list(before.values()) or None)
         sequence, offset, under = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), np.zeros(len(lengths), bool)
         base = key[0].as_py() << 32
         for b, items in enumerate(bins):
@@ -205,7 +223,7 @@ def _packer(columns: list[str], capacity: int):
             for i in items:
                 sequence[i], offset[i] = base + b, at
                 at += lengths[i]
-            if capacity - at > UNDERFULL * capacity:
+            if at < capacity:
                 under[items] = True
         return part.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("underfull", pa.array(under))
 
@@ -225,7 +243,7 @@ def pack_pieces(parts: DataFrame, n_pieces: int, capacity: int = CAPACITY, group
     # The first round's result is read twice: full bins as they are, underfull ones packed anew.
     one = common.cut(one)
     gathered = F.floor(F.shiftright("sequence_id", 32) / gather).cast("long") + F.lit(groups)
-    two = one.where("underfull").select(*columns, gathered.alias("grp")).groupBy("grp").applyInArrow(_packer(columns, capacity), schema)
+    two = one.where("underfull").select(*columns, "sequence_id", gathered.alias("grp")).groupBy("grp").applyInArrow(_packer([*columns, "sequence_id"], capacity), schema)
     return one.where("not underfull").union(two).drop("underfull")
 
 

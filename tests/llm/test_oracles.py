@@ -1,6 +1,7 @@
 """Queries with SQL against DuckDB, and the rest against brute force, on whole small tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -170,6 +172,38 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(many[i] for i in b) <= 100 for b in bins)
 
 
+def step_left(lengths, bins, capacity):
+    """Whether some document of an underfull bin can go to a fuller end elsewhere, for none, one or two documents."""
+    fills = [sum(lengths[i] for i in b) for b in bins]
+    for b, given in enumerate(bins):
+        for t, gaining in enumerate(bins):
+            if b == t or capacity in (fills[b], fills[t]):
+                continue
+            backs = {0} | {lengths[j] for j in gaining} | {lengths[j] + lengths[k] for j, k in itertools.combinations(gaining, 2)}
+            if any(max(fills[b], fills[t]) < fills[t] + lengths[i] - d <= capacity for i in given for d in backs):
+                return True
+    return False
+
+
+def test_local_search_ends_only_without_steps():
+    """No bound on steps or tries: at the end the bins meet the bound of the total length, or no step is left."""
+    for seed, n in ((0, 1000), (1, 1300), (2, 700)):
+        rng = random.Random(seed)
+        lengths = [rng.randint(300, 900) for _ in range(n)]
+        bins = packing.pack(lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+        assert len(bins) == -(-sum(lengths) // 2048) or not step_left(lengths, bins, 2048)
+
+
+def test_every_bin_with_space_is_gathered():
+    """One free token is enough for the second round, and that never needs more bins than it got."""
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    rows = pa.table({"doc_id": pa.array([1, 2, 3], pa.int64()), "piece": pa.array([0] * 3, pa.int32()), "start": pa.array([0] * 3, pa.int64()), "length": pa.array([2048, 2047, 2020], pa.int64()), "ids_crc32": pa.array([1, 2, 3], pa.int64())})
+    out = packing._packer(columns, 2048)((pa.scalar(0),), rows)
+    assert out.column("underfull").to_pylist() == [False, True, True]
+    assert len(packing.pack([6, 5, 5, 4, 4, 3, 3], 10, [[0, 3], [1, 2], [4, 5, 6]])) == 3
+
+
 @pytest.mark.parametrize(("group_pieces", "gather"), [(15, 2), (40, 3), (10_000, 16)])
 def test_packing_groups(spark, group_pieces, gather):
     """Groups and the second round: every piece once, gapless, unique sequence numbers, few sequences."""
