@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a compressed table in the shared checkpoint folder, removed when the application ends."""
+    return stored_for_now(df)[0]
+
+
+def stored_for_now(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The same, and a function that removes the table before."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
@@ -46,7 +51,7 @@ def stored(df: DataFrame) -> DataFrame:
             target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), remove
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from attrilens.llm import bpe, fingerprints, line_dedup, packing, queries, quality_rules, secret_scan, simhash_dedup, suffix_tree
 
@@ -354,6 +355,48 @@ def test_suffix_tree_is_a_distribution(spark):
     assert tree.state((9, *long)) == long
 
 
+def test_suffix_tree_tables_equal_the_tree(spark):
+    """Scores joined back to the slices are those of the tree in memory, training and held-out texts alike."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(400):
+        words = rng.choices("abcd", k=3)
+        for _ in range(rng.randrange(40)):
+            # The next word follows from the last and the third last one, most times.
+            words.append("abcd"[(ord(words[-1][0]) + 2 * ord(words[-3][0])) % 4] if rng.random() < 0.7 else rng.choice(["a", "b", f"r{rng.randrange(40)}"]))
+        texts.append(" ".join(words))
+    docs = documents(spark, texts)
+    train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in range(400)}
+    counts = Counter(w for i, t in enumerate(texts) if train[i] for w in t.split())
+    total, often, least, depth = sum(counts.values()) + sum(train.values()), 60, 25, 3
+    symbols = {w.encode(): suffix_tree.FIRST + k for k, w in enumerate(sorted(w for w, n in counts.items() if n >= often))}
+    held = [i for i in train if not train[i]]
+    tree = suffix_tree.Tree(suffix_tree.grow(docs.where(~docs.doc_id.isin(held)), symbols, total, depth, (least - 0.5) / total), suffix_tree.FIRST + len(symbols))
+    assert max(map(len, tree.states)) == depth
+    rest = {w: n for w, n in counts.items() if n < often}
+    flat, owner = suffix_tree.symbol_sequence([[symbols.get(w.encode(), suffix_tree.OTHER) for w in t.split()] for t in texts])
+    want = np.zeros(400)
+    for x, window, doc in zip(flat, suffix_tree.windows(flat, owner, depth).tolist(), owner.tolist()):
+        want[doc] += tree.log10(window, depth) if x != suffix_tree.START else 0
+    for i, t in enumerate(texts):
+        for w in t.split():
+            if w.encode() not in symbols:
+                want[i] += math.log10((rest[w] - suffix_tree.DISCOUNT if w in rest else suffix_tree.DISCOUNT * len(rest)) / sum(rest.values()))
+    found = suffix_tree.score_documents(docs, depth=depth, least_share=1, least_symbol_share=1, least_count=least, least_symbol_count=often)
+    got = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert np.allclose([got[i] for i in range(400)], want, rtol=1e-9)
+
+
+def test_suffix_tree_bounds_are_counts(spark):
+    """A word and a context seen often enough count however small their share."""
+    rng = random.Random(2)
+    rare = "left right"
+    texts = [prose(rng, 30) for _ in range(300)] + [f"{prose(rng, 14)} {rare} {prose(rng, 14)}" for _ in range(40)]
+    held = F.col("doc_id") == 339
+    few, many = ({r["doc_id"]: r["score"] for r in suffix_tree.score_documents(documents(spark, texts), held, least_share=0.02, least_symbol_share=0.02, least_count=n, least_symbol_count=n).collect()} for n in (10**9, 20))
+    assert many[339] > few[339] + 1
+
+
 def brute_simhash(text):
     words = WORD.findall(lower(text))
     if not words:
