@@ -341,60 +341,83 @@ def test_suffix_tree(spark, sf, texts):
     assert sums[0] > sums[1]
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    """Next-symbol chances sum to one in every state, and every word's share within the other words to one."""
-    docs = documents(spark, ["a b a b a c", "a b a b d", "b a c a b"] * 30)
-    symbols = {b"a": suffix_tree.FIRST, b"b": suffix_tree.FIRST + 1}
-    counts = suffix_tree.grow(docs, symbols, 500, depth=2)
-    tree = suffix_tree.Tree(counts, 5)
-    assert len(tree.states) > 3
-    for state in tree.states:
-        total = sum(tree.chance(x, state) for x in range(1, 5))
-        assert 0.97 < total <= 1.0001
-    long = max(tree.states, key=len)
-    assert tree.state((9, *long)) == long
-
-
-def test_suffix_tree_tables_equal_the_tree(spark):
-    """Scores joined back to the slices are those of the tree in memory, training and held-out texts alike."""
+def brute_tree(texts, train, depth, least, least_gain, discount, hot=1 << 17):
+    """The model in plain dictionaries: a function of a sequence and a place in it, the kept states, and the root."""
+    lists = [["<s>", *WORD.findall(lower(t)), "</s>"] for t in texts]
+    after = {}
+    for seq, used in zip(lists, train):
+        for i in range(1, len(seq)) if used else ():
+            for k in range(min(depth, i) + 1):
+                after.setdefault(tuple(seq[i - k : i]), Counter())[seq[i]] += 1
+    root = after.get((), Counter())
+    size = {c: sum(n.values()) for c, n in after.items()}
+    states = set()
+
+    def chance(symbol, context):
+        if not context:
+            return (root[symbol] + 1) / (sum(root.values()) + len(root) + 1)
+        p = chance(symbol, context[1:])
+        if context not in states:
+            return p
+        n = after[context]
+        return (max(n[symbol] - discount, 0) + discount * len(n) * p) / size[context]
+
+    for context in sorted((c for c in after if c), key=len):
+        n, m = after[context], size[context]
+        if m < least:
+            continue
+        gain = 0
+        for x, k in n.items():
+            p = 2 ** (-round(-suffix_tree.STEPS * math.log2(chance(x, context[1:]))) / suffix_tree.STEPS)
+            gain += k * math.log((max(k - 1 - discount, 0) + discount * (len(n) - (k == 1)) * p) / (m - 1) / p) if len(n) > 1 or k > 1 else 0
+        if gain >= least_gain or m >= hot:
+            states.add(context)
+    return lists, chance, states
+
+
+def brute_scores(texts, train, depth, least, least_gain, discount, hot):
+    lists, chance, states = brute_tree(texts, train, depth, least, least_gain, discount, hot)
+    return [sum(math.log10(chance(seq[i], tuple(seq[max(0, i - depth) : i]))) for i in range(1, len(seq))) for seq in lists], states
+
+
+@pytest.mark.parametrize(("depth", "least", "hot", "keys"), [(3, 2, 1 << 17, 1 << 20), (2, 5, 40, 300), (3, 2, 30, 200), (0, 2, 1 << 17, 1 << 20)])
+def test_suffix_tree_brute(spark, monkeypatch, depth, least, hot, keys):
+    """Scores over many slices, ranges and spread contexts are those of the model in plain dictionaries."""
     rng = random.Random(4)
     texts = []
     for _ in range(400):
         words = rng.choices("abcd", k=3)
         for _ in range(rng.randrange(40)):
             # The next word follows from the last and the third last one, most times.
-            words.append("abcd"[(ord(words[-1][0]) + 2 * ord(words[-3][0])) % 4] if rng.random() < 0.7 else rng.choice(["a", "b", f"r{rng.randrange(40)}"]))
+            words.append("abcd"[(ord(words[-1][0]) + 2 * ord(words[-3][0])) % 4] if rng.random() < 0.7 else rng.choice(["A", "b", f"r{rng.randrange(400)}"]))
         texts.append(" ".join(words))
-    docs = documents(spark, texts)
-    train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in range(400)}
-    counts = Counter(w for i, t in enumerate(texts) if train[i] for w in t.split())
-    total, often, least, depth = sum(counts.values()) + sum(train.values()), 60, 25, 3
-    symbols = {w.encode(): suffix_tree.FIRST + k for k, w in enumerate(sorted(w for w, n in counts.items() if n >= often))}
-    held = [i for i in train if not train[i]]
-    tree = suffix_tree.Tree(suffix_tree.grow(docs.where(~docs.doc_id.isin(held)), symbols, total, depth, (least - 0.5) / total), suffix_tree.FIRST + len(symbols))
-    assert max(map(len, tree.states)) == depth
-    rest = {w: n for w, n in counts.items() if n < often}
-    flat, owner = suffix_tree.symbol_sequence([[symbols.get(w.encode(), suffix_tree.OTHER) for w in t.split()] for t in texts])
-    want = np.zeros(400)
-    for x, window, doc in zip(flat, suffix_tree.windows(flat, owner, depth).tolist(), owner.tolist()):
-        want[doc] += tree.log10(window, depth) if x != suffix_tree.START else 0
-    for i, t in enumerate(texts):
-        for w in t.split():
-            if w.encode() not in symbols:
-                want[i] += math.log10((rest[w] - suffix_tree.DISCOUNT if w in rest else suffix_tree.DISCOUNT * len(rest)) / sum(rest.values()))
-    found = suffix_tree.score_documents(docs, depth=depth, least_share=1, least_symbol_share=1, least_count=least, least_symbol_count=often)
+    texts += [texts[7], texts[8], "", None]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    want, states = brute_scores([t or "" for t in texts], train, depth, least, suffix_tree.LEAST_GAIN, suffix_tree.DISCOUNT, hot)
+    assert not depth or {len(c) for c in states} == set(range(1, depth + 1))
+    monkeypatch.setattr(suffix_tree, "SLICE_DOCS", 30)
+    found = suffix_tree.score_documents(documents(spark, texts).repartition(3), depth=depth, least_count=least, hot_count=hot, range_keys=keys)
     got = {r["doc_id"]: r["score"] for r in found.collect()}
-    assert np.allclose([got[i] for i in range(400)], want, rtol=1e-9)
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
+
+
+def test_suffix_tree_is_a_distribution():
+    """Chances of all symbols and of one unknown word sum to one after every state."""
+    texts = ["a b a b a c", "a b a b d", "b a c a b"] * 30 + ["x y"]
+    lists, chance, states = brute_tree(texts, [True] * len(texts), 2, 2, suffix_tree.LEAST_GAIN, suffix_tree.DISCOUNT)
+    symbols = {x for seq in lists for x in seq[1:]} | {"unknown"}
+    assert len(states) > 3
+    for state in [(), *states]:
+        assert math.isclose(sum(chance(x, state) for x in symbols), 1)
 
 
-def test_suffix_tree_bounds_are_counts(spark):
-    """A word and a context seen often enough count however small their share."""
+def test_suffix_tree_tells_repeated_texts(spark, texts):
+    """Texts that occur twice in training are told better than texts that occur once."""
     rng = random.Random(2)
-    rare = "left right"
-    texts = [prose(rng, 30) for _ in range(300)] + [f"{prose(rng, 14)} {rare} {prose(rng, 14)}" for _ in range(40)]
-    held = F.col("doc_id") == 339
-    few, many = ({r["doc_id"]: r["score"] for r in suffix_tree.score_documents(documents(spark, texts), held, least_share=0.02, least_symbol_share=0.02, least_count=n, least_symbol_count=n).collect()} for n in (10**9, 20))
-    assert many[339] > few[339] + 1
+    some = [prose(rng, 60) for _ in range(60)]
+    docs = documents(spark, some + some[:20])
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix_tree.score_documents(docs, F.lit(False)).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 60)) + 0.2
 
 
 def brute_simhash(text):
