@@ -2,7 +2,8 @@
 
 Documents are tokenised in Arrow batches and cut into pieces of at most
 ``capacity`` ids. Only pieces (a few numbers each) are shuffled: they are dealt
-by hash into groups of a bounded expected size. Each group is packed best-fit
+by hash into groups of a bounded expected size (full pieces are sequences of
+their own and go through no group). Each group is packed best-fit
 decreasing, then a local search over its underfull bins exchanges one document
 for one, two for one, or moves a document, taking steps that raise the sum of
 squared fills, until bins empty or no step is left. A second round gathers every bin with free
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +36,34 @@ GROUP_PIECES, GATHER = 4096, 16
 _ENCODERS: dict = {}
 
 
-def byte_encoder(path: str | None = None):
-    """The byte-level vocabulary as a rank encoder; ids equal those of the tokenizers file."""
-    import public_tokenizers
-    import tiktoken
+class ByteEncoder:
+    """The byte-level vocabulary: its ranks, and its tokenizers file for texts that the ranks' splitter gives up on.
 
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _ENCODERS:
-        with open(path, "rb") as f:
+    The splitter has a bounded stack, which about a million white-space
+    characters in a row exhaust. Ids are equal either way.
+    """
+
+    def __init__(self, path: str | None = None, whole: str | None = None):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("bytes50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+        self.ranks = tiktoken.Encoding("bytes50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+        self.whole = whole or public_tokenizers.path("byte_bpe_50k.json")
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.ranks.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            from tokenizers import Tokenizer
+
+            return np.array(Tokenizer.from_file(self.whole).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def byte_encoder(path: str | None = None) -> ByteEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ByteEncoder(path)
     return _ENCODERS[path]
 
 
@@ -56,22 +76,25 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+    """(doc_id, piece, start, length, ids_crc32, line) of every document; line tells pieces of a task apart."""
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batch: pa.RecordBatch) -> dict:
-        encode = byte_encoder(vocabulary).encode
-        source, out = [], {k: [] for k in ("piece", "start", "length", "ids_crc32")}
-        for row, text in enumerate(common.strings(batch.column(1))):
-            ids = np.array([*encode(text, allowed_special="all"), 0], dtype="<u4")
-            for k, (s, n) in enumerate(cut_points(len(ids), capacity)):
-                source.append(row)
-                for name, v in (("piece", k), ("start", s), ("length", n), ("ids_crc32", zlib.crc32(ids[s : s + n].tobytes()))):
-                    out[name].append(v)
-        return {"doc_id": batch.column(0).take(pa.array(source, pa.int64())), **out}
+    target = common.arrow_schema(f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, line long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, line = byte_encoder(vocabulary).encode, 0
+        for batch in common.slices(batches, "text"):
+            source, rows = [], []
+            for row, text in enumerate(common.strings(batch.column(1))):
+                ids = np.append(encode(text), 0).astype("<u4")
+                for k, (s, n) in enumerate(cut_points(len(ids), capacity)):
+                    source.append(row)
+                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes()), line))
+                    line += 1
+            columns = [batch.column(0).take(pa.array(source, pa.int64())), *[pa.array(v, f.type) for v, f in zip(zip(*rows), list(target)[1:])]]
+            yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return common.arrow_map(rows, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, line long")
 
 
 class Bins:
@@ -236,7 +259,8 @@ def pack_pieces(parts: DataFrame, n_pieces: int, capacity: int = CAPACITY, group
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = parts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, {_PACKED}"
-    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    # The line in its task keeps copies of one row apart.
+    key = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *(["line"] if "line" in parts.columns else [])), F.lit(groups))
     one = parts.withColumn("grp", key).groupBy("grp").applyInArrow(_packer(columns, capacity), schema)
     if groups == 1:
         return one.drop("underfull")
@@ -249,9 +273,11 @@ def pack_pieces(parts: DataFrame, n_pieces: int, capacity: int = CAPACITY, group
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """Sequences of at most capacity tokens: one row per piece with its place."""
-    # Documents, not pieces, size the groups: full pieces fill a bin of their own, so each document has one piece to place.
-    n = docs.count()
-    return pack_pieces(pieces(docs, id_col, text_col, capacity, vocabulary), n, capacity)
+    parts = common.stored(pieces(docs, id_col, text_col, capacity, vocabulary))
+    # A full piece is a sequence of its own (a negative number) and goes through no group.
+    full = parts.where(F.col("length") == capacity).drop("line").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = parts.where(F.col("length") < capacity)
+    return full.union(pack_pieces(rest, rest.count(), capacity))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
