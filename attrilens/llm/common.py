@@ -102,6 +102,23 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def least_hashed(rows: DataFrame, limit: int, measure: Callable[[str], object], schema: str, column: str) -> list:
+    """measure(text) of the distinct rows with the least hashes, at most limit of them.
+
+    A bound on the hash leaves limit rows and six deviations more, whatever the
+    table's size; those are measured in Arrow batches and their number cut on
+    the driver.
+    """
+    names = rows.columns
+    n = rows.count()
+    share = 1.0 if n <= limit else min(1.0, (limit + 6 * limit**0.5 + 36) / n)
+    hashed = rows.select(F.xxhash64(*names).alias("h"), F.col("text"))
+    if share < 1:
+        hashed = hashed.where(F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1))))
+    found = arrow_map(hashed.dropDuplicates(["h"]), lambda b: {"h": b.column(0), column: [measure(t) for t in strings(b.column(1))]}, f"h long, {schema}")
+    return [r[column] for r in sorted(found.collect(), key=lambda r: r["h"])[:limit]]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node.
 

@@ -4,7 +4,9 @@ import html
 import itertools
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -64,6 +66,93 @@ def test_minimum_cut_is_least():
         cost = lambda side: sum(max(c, 0) for c, s in zip(capacity, side) if not s) + sum(max(-c, 0) for c, s in zip(capacity, side) if s) + sum(w for a, b, w in edges if side[a] != side[b])  # noqa: E731, B023
         best = min(cost(s) for s in itertools.product([False, True], repeat=n))
         assert cost(html_extract.minimum_cut(capacity, edges)) == best
+        assert html_extract.cut(capacity, edges) == html_extract.minimum_cut(capacity, edges)
+
+
+def soup(rng):
+    """A page without article, main or telling names, its content blocks, and its other blocks."""
+    name = iter(rng.sample(range(100, 999), 60))
+    box = lambda inner: f'<div class="c{next(name)}">{inner}</div>'
+    content, other = [], []
+
+    def words(into, low, high, end="."):
+        into.append(prose(rng, rng.randint(low, high)) + end)
+        return into[-1]
+
+    def link(into):
+        return f'<a href="/x">{words(into, 1, 4, "")}</a>'
+
+    menu = box("".join(f"<div>{link(other)}</div>" for _ in range(rng.randint(3, 7))))
+    body = [f"<h1>{words(content, 4, 8, '')}</h1>"]
+    for _ in range(rng.randint(4, 8)):
+        # Long paragraphs, and between them headings, short lines and lines that are links for the most part.
+        body.append(f"<p>{words(content, 25, 60)}</p>")
+        kind = rng.randrange(4)
+        if kind == 0:
+            body.append(f"<div>{words(content, 1, 2, '')}</div>")
+        elif kind == 1:
+            body.append(f"<div>{link(content)}</div>")
+    side = box("".join(f"<div>{link(other)}</div><div>{words(other, 1, 3, '')}</div>" for _ in range(rng.randint(3, 6))))
+    foot = box(f"<div>{link(other)}</div><div>&copy; {words(other, 2, 3, '')}</div>")
+    other[-1] = "© " + other[-1]
+    return f"<html><body>{menu}{box(''.join(body))}{side}{foot}</body></html>", content, other
+
+
+def token_f1(found, want):
+    both = sum((Counter(found) & Counter(want)).values())
+    return 2 * both / max(1, len(found) + len(want))
+
+
+def test_cut_decides():
+    """On pages without telling elements or names the cut changes labels, for the better."""
+    rng = random.Random(3)
+    with_cut, alone, changed, n = [], [], 0, 200
+    for _ in range(n):
+        page, content, _ = soup(rng)
+        want = " ".join(content).split()
+        nodes, blocks = html_extract.parse(page)
+        capacity = html_extract.evidence(nodes, blocks)
+        side = html_extract.cut(capacity, html_extract.ties(blocks))
+        changed += side != [c > 0 for c in capacity]
+        with_cut.append(token_f1(html_extract.main_text(page).split(), want))
+        alone.append(token_f1(" ".join(b.text for b, c in zip(blocks, capacity) if c > 0).split(), want))
+
+    assert changed > 0.5 * n
+    assert sum(with_cut) / n > 0.97 and sum(with_cut) > sum(alone) + 0.005 * n
+
+
+@pytest.mark.parametrize("name", ["side-by-side", "more-content", "author-essay", "story-header", "share-of-voice", "column-right", "text-more"])
+def test_misleading_names(name):
+    """Inside the main element a name that only holds a telling word does not take content away."""
+    words = "Some words make up this paragraph, and it goes on for a while."
+    page = f'<body><nav><a href="/">Home</a></nav><article><h1>The title</h1><p>{words}</p><div class="{name}"><p>{words}</p><p>Few.</p></div><p>{words}</p></article><footer>foot</footer></body>'
+    assert html_extract.main_text(page) == f"The title {words} {words} Few. {words}"
+
+
+@pytest.mark.parametrize("name", ["cookie-banner", "ad-slot", "related-posts-list", "sidebar", "comments", "newsletterSignup", "share-box", "ad"])
+def test_telling_names(name):
+    words = "Some words make up this paragraph, and it goes on for a while."
+    page = f'<body><article><h1>The title</h1><p>{words}</p><div class="{name}"><p>{words}</p></div><p>{words}</p></article></body>'
+    assert html_extract.main_text(page) == f"The title {words} {words}"
+
+
+def test_deep_and_wide_pages():
+    deep = "<article>" + "<div>" * 20_000 + "<p>Deep words that make up a sentence of some length.</p>" + "</div>" * 20_000 + "</article>"
+    assert html_extract.main_text(deep) == "Deep words that make up a sentence of some length."
+    unclosed = "<div>text of the page goes here, on and on. " * 5000
+    assert html_extract.main_text(unclosed).count("text of the page") == 5000
+    wide = "<nav>" + "<a href=x>y</a><p>" * 3000 + "</nav><main>" + "<p>Words of a sentence here.</p><div>x</div>" * 10_000 + "</b></i>" * 5000 + "</main>"
+    assert html_extract.main_text(wide).split().count("Words") == 10_000
+
+
+def test_weights_are_fitted(spark, sf):
+    """Fitted on pages that tell, the text measures alone part their blocks."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = html_extract.fit(pages, fit_pages=20)
+    x, y = (np.concatenate(v) for v in zip(*[html_extract.self_labelled(r["html"]) for r in pages.collect()]))
+    assert ((x @ weights > 0) == y).mean() > 0.95
+    assert html_extract.fit(pages.where("false")).tolist() == list(html_extract.WEIGHTS)
+    assert html_extract.fitted(x[:0], y[:0]).tolist() == list(html_extract.WEIGHTS)
 
 
 def corpus(spark):
