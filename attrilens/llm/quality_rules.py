@@ -3,12 +3,14 @@
 Base measures are counted on the whole text. The method then encodes each text
 with two public vocabularies and measures characters per token, the share of
 byte-fallback tokens and token entropy. For each language (the script of most
-letters where the language is null) and each octave of token counts, the
+letters where the language is null) and each half octave of token counts, the
 median and the distance from there to the upper quartile of each measure, over
 all documents that pass the base rules, set the bands; a document is rejected
-if it stands outside them. Groups of fewer than ``least_group`` documents use
-the bands of their octave, then ``COARSE`` times those of their language, then
-of all documents.
+if it stands outside them. One formula serves groups of all sizes: the other
+lengths of a language weigh in like at most ``PRIOR_SIZE`` documents each, less
+by ``DECAY`` for each half octave between, and a band is the wider the fewer
+documents stand behind it. Measures are counted by bins of ``STEPS`` (sums that
+combine before the shuffle), so no group of any size meets in one task.
 
 Defined results: null and empty texts have no words, fail the base rules and
 have null measures; repeated rows are measured each; an empty table gives an
@@ -18,11 +20,13 @@ empty result; other columns are ignored (``filter_documents`` keeps them).
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,20 +37,49 @@ SPACES = " \t\n\r\x0b\x0c"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Rejection bands in robust deviations: fertility and entropy together, fertility alone; byte share above the median.
 JOINT_LOW, FERTILITY_LOW, FERTILITY_HIGH, BYTE_EXCESS = -6.0, -8.0, 14.0, 0.10
-LEAST_GROUP, PRIOR_SIZE, COARSE = 30, 30, 2.5
+PRIOR_SIZE, DECAY, WIDER = 30, 0.125, 1.5
+#: Bins: parts of an octave of fertility, of a bit of entropy, of the whole share.
+STEPS, SHARE_STEPS = 512, 4096
 MEASURES = ("fertility", "byte_fertility", "entropy", "byte_entropy", "byte_share")
 
 _PIECES: dict = {}
 
 
-def piece_model(path: str | None = None):
-    import public_tokenizers
-    import sentencepiece
+class Pieces:
+    """A piece vocabulary; ids of words that a task has met are kept.
 
-    path = path or public_tokenizers.path("piece_bpe_32k.model")
+    A text with single spaces alone is cut there: no piece reaches over a space,
+    and each word is encoded with one before it, as the first of a text is.
+    """
+
+    def __init__(self, path: str | None = None, keep: int = 400_000):
+        import public_tokenizers
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
+        names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(len(names))])
+        self.cuts = not any("\u2581" in x.lstrip("\u2581") for x in names)
+        self.keep, self.known = keep, {}
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.cuts or "  " in text or "\u2581" in text or text[:1] in ("", " ") or text[-1] == " ":
+            return np.array(self.model.encode(text), np.int32)
+        words = text.split(" ")
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) > self.keep:
+                self.known.clear()
+            fresh = list({w for w, ids in zip(words, found) if ids is None})
+            for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1)):
+                self.known[w] = array("i", ids).tobytes()
+            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
+        return np.frombuffer(b"".join(found), np.int32)
+
+
+def piece_model(path: str | None = None) -> Pieces:
     if path not in _PIECES:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        _PIECES[path] = model, np.array([model.is_byte(i) for i in range(model.vocab_size())])
+        _PIECES[path] = Pieces(path)
     return _PIECES[path]
 
 
@@ -55,8 +88,14 @@ def repeat_words(words: list, window: int = WINDOW) -> int:
     n = len(words)
     if n < window:
         return 0
-    seen: dict = {}
-    ids = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
+    seen: dict = defaultdict(count().__next__)
+    ids = np.fromiter(map(seen.__getitem__, words), np.int64, n)
+    if window >= 4 and len(seen) < 1 << 16:
+        # Four words that fit one number: without two equal ones no window repeats.
+        four = ids[:-3] << 48 | ids[1:-2] << 32 | ids[2:-1] << 16 | ids[3:]
+        four = np.sort(four)
+        if (four[1:] != four[:-1]).all():
+            return 0
     # Windows of doubling width get exact ids from the ids of their halves.
     width = 1
     while width < window:
@@ -111,16 +150,15 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        model, is_byte = piece_model(vocabulary)
-        encoder = byte_encoder(bytes_vocabulary)
+        model, encoder = piece_model(vocabulary), byte_encoder(bytes_vocabulary)
         texts = common.strings(batch.column(1))
         rows = []
         for text, lang in zip(texts, batch.column(2).to_pylist()):
             base = base_measures(text)
-            pieces = np.array(model.encode(text), np.int32)
+            pieces = model.encode(text)
             group = lang if lang is not None else script(text)
             if base[0] and len(pieces):
-                rows.append((*base, group, int(2 * np.log2(len(pieces))), *token_measures(text, pieces, encoder.encode_to_numpy(text, disallowed_special=()), is_byte)))
+                rows.append((*base, group, int(2 * np.log2(len(pieces))), *token_measures(text, pieces, encoder.encode(text), model.is_byte)))
             else:
                 rows.append((*base, group, 0, *[None] * 5))
         names = [x.split(" ")[0] for x in _SCHEMA.split(", ")][:-1]
@@ -136,48 +174,62 @@ def base_failed() -> Column:
     return F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
 
 
-def _band_columns() -> list[Column]:
-    """Median and spread of each measure; the spread is taken above the median, where rejected kinds are rare."""
-    out = []
-    for m in MEASURES:
-        q = F.percentile_approx(m, [0.5, 0.75])
-        out += [q[0].alias(f"mid_{m}"), (q[1] - q[0]).alias(f"dev_{m}")]
-    return out
+def _bins() -> list[Column]:
+    return [(F.floor(F.col(m) * SHARE_STEPS) if m == "byte_share" else F.floor(F.col(m) * STEPS) if "entropy" in m else F.floor(F.log2(m) * STEPS)).cast("long") for m in MEASURES]
+
+
+def _middle(measure: int, at: Column) -> Column:
+    """The middle of a bin."""
+    name, at = MEASURES[measure], at + 0.5
+    return at / SHARE_STEPS if name == "byte_share" else at / STEPS if "entropy" in name else F.pow(F.lit(2.0), at / STEPS)
+
+
+def bands(passing: DataFrame) -> DataFrame:
+    """(grp, half, n, mid_*, dev_*): medians and spreads above them of each group and half octave; a few rows."""
+    bins = F.posexplode(F.array(*_bins())).alias("m", "at")
+    counts = passing.select("grp", "half", bins).groupBy("grp", "half", "m", "at").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("grp", "half", "m")
+    counts = counts.withColumns({"below": F.sum("n").over(group.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(group)})
+    of = lambda k, share: F.min(F.when((F.col("m") == k) & (F.col("below") >= share * F.col("all")), F.col("at")))
+    quartiles = counts.groupBy("grp", "half").agg(F.max("all").alias("n"), *[of(k, q).alias(f"q{int(4 * q)}_{m}") for k, m in enumerate(MEASURES) for q in (0.5, 0.75)])
+    mids = {f"mid_{m}": _middle(k, F.col(f"q2_{m}")) for k, m in enumerate(MEASURES)}
+    devs = {f"dev_{m}": _middle(k, F.col(f"q3_{m}")) - _middle(k, F.col(f"q2_{m}")) for k, m in enumerate(MEASURES)}
+    return quartiles.select("grp", "half", "n", *[v.alias(k) for k, v in (mids | devs).items()])
 
 
-def _bands(passing: DataFrame, keys: list[str]) -> DataFrame:
-    """Bands by group, from sketches that are merged: no group meets in one task."""
-    return passing.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *_band_columns())
+def smoothed(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Bands of the wanted (grp, half), drawn towards those of other lengths; spreads towards that of all groups too."""
+    names = [f"{k}_{m}" for k in ("mid", "dev") for m in MEASURES]
+    every = own.agg(*[F.try_divide(F.sum(F.col("n") * F.col(f"dev_{m}")), F.sum("n")).alias(m) for m in MEASURES]).first()
+    near = wanted.join(own.withColumnRenamed("half", "other"), "grp", "left")
+    apart = F.abs(F.col("half") - F.col("other"))
+    weight = F.when(apart == 0, F.col("n")).otherwise(F.least("n", F.lit(PRIOR_SIZE)) * F.pow(F.lit(DECAY), apart))
+    near = near.withColumn("w", F.coalesce(weight, F.lit(0.0)))
+    sums = near.groupBy("grp", "half").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in names])
+    mids = [(F.try_divide(F.col(f"mid_{m}"), F.col("w"))).alias(f"mid_{m}") for m in MEASURES]
+    devs = [((F.coalesce(f"dev_{m}", F.lit(0.0)) + PRIOR_SIZE * F.lit(every[m]).cast("double")) / (F.col("w") + PRIOR_SIZE)).alias(f"dev_{m}") for m in MEASURES]
+    wide = (1 + WIDER * PRIOR_SIZE / (F.col("w") + PRIOR_SIZE)).alias("wide")
+    return sums.select("grp", "half", wide, *mids, *devs)
 
 
-def verdicts(marked: DataFrame, least_group: int = LEAST_GROUP, prior_size: int = PRIOR_SIZE) -> DataFrame:
+def verdicts(marked: DataFrame) -> DataFrame:
     """Add base_failed, the deviations and kept to measured documents."""
-    marked = marked.withColumns({"base_failed": base_failed(), "octave": F.floor(F.col("half") / 2).cast("int")})
-    passing = marked.where("not base_failed and fertility is not null")
-    everything = passing.agg(*_band_columns()).first()
-    out = marked
-    levels = {"half": ["grp", "half"], "octave": ["grp", "octave"], "grp": ["grp"]}
-    for name, keys in levels.items():
-        bands = common.cut(_bands(passing, keys))
-        out = out.join(bands.select(*keys, F.when(F.col("size") >= least_group, F.struct("size", *[f"{k}_{m}" for k in ("mid", "dev") for m in MEASURES])).alias(f"by_{name}")), keys, "left")
+    marked = marked.withColumn("base_failed", base_failed())
+    judged = marked.where("not base_failed and fertility is not null")
+    # As many rows as there are languages and half octaves.
+    table = common.cut(smoothed(common.cut(bands(judged)), judged.select("grp", "half").distinct()))
+    out = marked.join(table, ["grp", "half"], "left")
     for m in MEASURES:
-        mid = F.coalesce(*[F.col(f"by_{k}.mid_{m}") for k in levels], F.lit(everything[f"mid_{m}"]).cast("double"))
-        dev = F.coalesce(F.col(f"by_grp.dev_{m}"), F.lit(everything[f"dev_{m}"]).cast("double"))
-        # A small group's spread is drawn towards the wider one of its language.
-        for k in ("octave", "half"):
-            size, own = F.col(f"by_{k}.size"), F.col(f"by_{k}.dev_{m}")
-            dev = F.coalesce((size * own + prior_size * dev) / (size + prior_size), dev)
-        out = out.withColumn(f"z_{m}", F.col(m) - mid if m == "byte_share" else F.coalesce(F.try_divide(F.col(m) - mid, 1.4826 * dev), F.lit(0.0)))
-    fertility, information = F.least("z_fertility", "z_byte_fertility"), F.least("z_entropy", "z_byte_entropy")
-    # Without a group of like lengths the bands are wider.
-    wide = F.when(F.coalesce("by_half.size", "by_octave.size").isNotNull(), 1.0).otherwise(COARSE)
-    odd = (fertility + information < JOINT_LOW * wide) | (fertility < FERTILITY_LOW * wide) | (F.greatest("z_fertility", "z_byte_fertility") > FERTILITY_HIGH * wide) | (F.col("z_byte_share") > BYTE_EXCESS * wide)
+        over = F.col(m) - F.col(f"mid_{m}")
+        out = out.withColumn(f"z_{m}", over if m == "byte_share" else F.coalesce(F.try_divide(over, 1.4826 * F.col(f"dev_{m}")), F.lit(0.0)))
+    fertility, information, wide = F.least("z_fertility", "z_byte_fertility"), F.least("z_entropy", "z_byte_entropy"), F.col("wide")
+    odd = (fertility + information < JOINT_LOW * wide) | (fertility < FERTILITY_LOW * wide) | (F.greatest("z_fertility", "z_byte_fertility") > FERTILITY_HIGH * wide) | (F.col("z_byte_share") > BYTE_EXCESS)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(True)))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_group: int = LEAST_GROUP) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Measures and verdict of every document."""
-    return verdicts(common.cut(measured(docs, id_col, text_col, lang_col)), least_group)
+    return verdicts(common.cut(measured(docs, id_col, text_col, lang_col)))
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
