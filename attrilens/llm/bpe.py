@@ -10,13 +10,15 @@ array. Results are kept in a table per task that is emptied when it is full.
 Defined results: null and empty texts have no ids and decode to the empty text;
 a special token's string in a text is that token, as in the tokenizers library;
 repeated rows are encoded each; an empty table gives an empty result; other
-columns are ignored. A very long word takes rounds in proportion to its
-distinct merges, over an array that shrinks.
+columns are ignored. A word of over ``LONG`` bytes is merged alone, rank by rank:
+a round looks up only the pairs beside the merges of the one before, so work is
+in proportion to the word and to the distinct ranks that it meets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 NO_RANK = np.int64(1) << 40
+#: Bytes from which a word is merged alone.
+LONG = 1024
 _LOADED: dict = {}
 
 
@@ -78,7 +82,7 @@ class WordBpe:
 
     def split(self, text: str) -> list[str]:
         """Words of a text; special tokens stand for themselves."""
-        if self.special is None or "<|" not in text or not self.special.search(text):
+        if not any(t in text for t in self.special_ids):
             return self.words.findall(self.normalise(text))
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -86,8 +90,69 @@ class WordBpe:
             at = m.end()
         return out + self.words.findall(self.normalise(text[at:]))
 
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols, and its place in the merge table."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK), at
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word: all pairs of the lowest rank in a round, then the ranks beside them anew."""
+        flat = np.frombuffer(word, np.uint8)
+        n = len(flat)
+        symbols = self.inner[flat]
+        symbols[-1] = self.final[flat[-1]]
+        after, before, there = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        rank, made = np.full(n, NO_RANK), np.zeros(n, np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            r, at = self.ranked(symbols[places], symbols[after[places]])
+            rank[places], made[places] = r, self.made[at]
+            order = np.argsort(r, kind="stable")
+            places, r = places[order], r[order]
+            cuts = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else []
+            for a, b in zip(cuts, [*cuts[1:], len(r)]):
+                if r[a] < NO_RANK:
+                    if r[a] not in waiting:
+                        waiting[r[a]] = []
+                        heapq.heappush(heap, r[a])
+                    waiting[r[a]].append(places[a:b])
+
+        look(np.arange(n))
+        while heap:
+            least = heapq.heappop(heap)
+            found = waiting.pop(least)
+            hit = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+            hit = hit[there[hit] & (rank[hit] == least)]
+            if not len(hit):
+                continue
+            if len(hit) > 1:
+                # In a run of overlapping equal pairs every second one merges, from the left.
+                head = np.append(True, after[hit[:-1]] != hit[1:])
+                place = np.arange(len(hit)) - np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
+                hit = hit[place % 2 == 0]
+            gone = after[hit]
+            symbols[hit] = made[hit]
+            there[gone], rank[gone], rank[hit] = False, NO_RANK, NO_RANK
+            after[hit] = after[gone]
+            inner = after[hit] < n
+            before[after[hit][inner]] = hit[inner]
+            beside = before[hit]
+            beside = beside[beside >= 0]
+            rank[beside] = NO_RANK
+            look(np.unique(np.concatenate([hit, beside])))
+        return symbols[there]
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of many words: one flat array, one merge per word and round."""
+        """Ids of many words: one flat array, one merge per word and round; long words alone."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.merge([w for w in words if len(w) <= LONG]))
+            return [self.merge_long(w) if len(w) > LONG else next(short) for w in words]
+        if not words:
+            return []
         lengths = np.array([len(w) for w in words], np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.inner[flat]
@@ -96,10 +161,8 @@ class WordBpe:
         word = np.repeat(np.arange(len(words)), lengths)
         done: list = [None] * len(words)
         while len(symbols):
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], NO_RANK)
-            rank = np.append(rank, NO_RANK)
+            rank, at = self.ranked(symbols[:-1], symbols[1:])
+            rank = np.append(np.where(word[:-1] == word[1:], rank, NO_RANK), NO_RANK)
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             least = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.append(starts, len(word)))

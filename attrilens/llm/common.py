@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; set one only where none is set (tests)."""
+    """Use the folder the session names; set one only where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="attrilens-checkpoint-"))
 
 
@@ -102,23 +104,33 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def hashed_below(rows: DataFrame, limit: int, *columns: str) -> DataFrame:
+    """Rows (h, columns) with the least hashes of the columns: limit of them and six deviations more, at any size of table."""
+    n = rows.count()
+    share = 1.0 if n <= limit else min(1.0, (limit + 6 * limit**0.5 + 36) / n)
+    hashed = rows.select(F.xxhash64(*columns).alias("h"), *columns)
+    return hashed.where(F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1)))) if share < 1 else hashed
+
+
 def least_hashed(rows: DataFrame, limit: int, measure: Callable[[str], object], schema: str, column: str) -> list:
     """measure(text) of the distinct rows with the least hashes, at most limit of them.
 
-    A bound on the hash leaves limit rows and six deviations more, whatever the
-    table's size; those are measured in Arrow batches and their number cut on
-    the driver.
+    Rows below a bound on the hash are measured in Arrow batches, and their
+    number is cut on the driver.
     """
-    names = rows.columns
-    n = rows.count()
-    share = 1.0 if n <= limit else min(1.0, (limit + 6 * limit**0.5 + 36) / n)
-    hashed = rows.select(F.xxhash64(*names).alias("h"), F.col("text"))
-    if share < 1:
-        hashed = hashed.where(F.col("h") <= F.lit(int((2 * share - 1) * (2**63 - 1))))
-    found = arrow_map(hashed.dropDuplicates(["h"]), lambda b: {"h": b.column(0), column: [measure(t) for t in strings(b.column(1))]}, f"h long, {schema}")
+    near = hashed_below(rows, limit, *rows.columns).dropDuplicates(["h"]).select("h", "text")
+    found = arrow_map(near, lambda b: {"h": b.column(0), column: [measure(t) for t in strings(b.column(1))]}, f"h long, {schema}")
     return [r[column] for r in sorted(found.collect(), key=lambda r: r["h"])[:limit]]
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """base, with as many underscores before it as make it new among the taken names (whatever their case)."""
+    used = {x.lower() for x in taken}
+    while base.lower() in used:
+        base = "_" + base
+    return base
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node.
 

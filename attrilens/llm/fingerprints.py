@@ -40,8 +40,8 @@ BUCKETS = 512
 TRIPLETS = ((1, 2), (3, 7), (4, 9), (5, 11), (6, 12), (4, 11))
 REACH = max(j for _, j in TRIPLETS)
 LENGTH_BASE, LENGTH_CAP, LENGTH_WEIGHT = 1.25, 16, 0.2
-#: Documents for each range of ids, and the most ranges.
-RANGE_DOCS, MAX_RANGES = 2048, 4096
+#: Documents for each range of ids; bins in which ids are counted at a time, which bound the ranges too.
+RANGE_DOCS, COUNT_BINS = 2048, 1 << 17
 
 
 def counts(data: bytes, buckets: int = BUCKETS) -> np.ndarray:
@@ -100,6 +100,51 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return common.arrow_map(rows, lambda b: {"doc_id": b.column(0), "fingerprint": [digest(t) for t in common.utf8(b.column(1))]}, f"doc_id {kind}, fingerprint string")
 
 
+def range_starts(ids: DataFrame, range_docs: int = RANGE_DOCS, bins: int = COUNT_BINS) -> tuple[int, int | None, list[int]]:
+    """(number of nulls, least id, further ids at which a range begins) for an id column, with about range_docs rows a range.
+
+    Ids are counted in equal bins between the least and the greatest; bins that
+    hold too many are cut into equal bins again. The driver sees at most
+    ``bins`` sums a round.
+    """
+    nulls, least, most, n = ids.agg(F.count_if(F.col("id").isNull()), F.min("id"), F.max("id"), F.count("id")).first()
+    if least is None:
+        return nulls, None, []
+    wanted = max(range_docs, n // bins)
+    bins = min(bins, max(16, 16 * n // range_docs))
+    done: list[tuple[int, int]] = []
+    spans = [(least, most, max(1, -(-(most - least + 1) // bins)))]
+    target = common.arrow_schema("k long, bin long, a long, b long, n long")
+    while spans:
+        # Spans of ids that are cut into bins: first id, last id, width of a bin.
+        first, last = (np.array(c, np.int64) for c in list(zip(*spans))[:2])
+        width = np.array([w for *_, w in spans], np.uint64)
+
+        def counted(batches: Iterator[pa.RecordBatch], first=first, last=last, width=width) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = np.sort(batch.column(0).drop_null().to_numpy())
+                k = np.searchsorted(first, v, side="right") - 1
+                inside = (k >= 0) & (v <= last[k])
+                v, k = v[inside], k[inside]
+                at = ((v.astype(np.uint64) - first[k].astype(np.uint64)) // width[k]).astype(np.int64)
+                new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (at[1:] != at[:-1]))) if len(v) else np.zeros(0, np.int64)
+                ends = np.append(new[1:], len(v)) if len(v) else new
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k[new], at[new], v[new], v[ends - 1], ends - new)], schema=target)
+
+        sums = ids.mapInArrow(counted, "k long, bin long, a long, b long, n long").groupBy("k", "bin").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")).collect()
+        heavy = sorted((r["a"], r["b"]) for r in sums if r["n"] > 4 * wanted and r["a"] < r["b"])
+        done += [(r["a"], r["n"]) for r in sums if r["n"] <= 4 * wanted or r["a"] == r["b"]]
+        each = max(2, bins // max(1, len(heavy)))
+        spans = [(x, y, max(1, -(-(y - x + 1) // each))) for x, y in heavy]
+    starts, held = [], 0
+    for a, k in sorted(done):
+        if held >= wanted:
+            starts.append(a)
+            held = 0
+        held += k
+    return nulls, least, [x for x in starts if x != least]
+
+
 def with_next(docs: DataFrame, visit, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows visit((id, text), (next id, next text)) in ascending id order, the first following the last.
 
@@ -107,11 +152,9 @@ def with_next(docs: DataFrame, visit, schema: str, id_col: str = "doc_id", text_
     Ids are integers.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n, nulls, least = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull()), F.min("id")).first()
-    ranges = min(MAX_RANGES, max(1, n // RANGE_DOCS))
-    found = rows.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 and n > nulls else []
-    # The values are ids of the table, so each is the first of its range.
-    bounds = np.array(sorted({b for b in found if b is not None and b != least}), np.int64)
+    nulls, least, starts = range_starts(rows.select("id"), RANGE_DOCS)
+    # Each is an id of the table, so it is the first of its range.
+    bounds = np.array(starts, np.int64)
     first_is_null = bool(nulls)
     target = common.arrow_schema(schema)
 

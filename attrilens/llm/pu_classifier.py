@@ -9,12 +9,12 @@ weighted by the prior, plus the unlabelled negative risk less the share of it
 that positives explain, held at zero where the estimate turns negative.
 
 Inputs are measures of the text alone. The fit takes at most ``max_positive``
-labelled and ``max_unlabelled`` unlabelled documents (the least hashes of their
-ids), on the driver; every document is scored in Arrow batches.
+labelled and ``max_unlabelled`` unlabelled documents (the least hashes), on the
+driver; every document is scored in Arrow batches.
 
 Defined results: null and empty texts are scored by the measures of the empty
 text; an id that has labels of both kinds is not a trusted positive; repeated
-rows get equal scores; without any trusted positive every score is the default
+rows get equal scores and stand once in the sample; without any trusted positive every score is the default
 prior; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -128,17 +128,24 @@ def fit_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> fl
     return float(np.clip(above_u[k] / above_p[k], 0.02, 0.98))
 
 
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Positive and negative part of the unbiased risk of logits of positives and of unlabelled rows, with the logistic loss."""
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> np.ndarray:
+    """Slope of the non-negative risk by each logit; where the negative part is below zero, the way back up from it."""
+    as_positive, as_negative_p, as_negative_u = -prior * _sigmoid(-gp) / len(gp), -prior * _sigmoid(gp) / len(gp), _sigmoid(gu) / len(gu)
+    if risk(gp, gu, prior)[1] >= 0:
+        return np.concatenate([as_positive + as_negative_p, as_negative_u])
+    return -np.concatenate([as_negative_p, as_negative_u])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Network:
     """Minimise the non-negative unbiased risk with the logistic loss."""
     net = Network(np.concatenate([positive, unlabelled]), seed)
     for p, u in _epochs(net.ready(positive), net.ready(unlabelled), seed):
-        gp, gu = net.logits(p), net.logits(u)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        as_positive, as_negative_p, as_negative_u = -prior * _sigmoid(-gp) / len(p), -prior * _sigmoid(gp) / len(p), _sigmoid(gu) / len(u)
-        if negative >= 0:
-            net.step(np.concatenate([p, u]), np.concatenate([as_positive + as_negative_p, as_negative_u]))
-        else:
-            net.step(np.concatenate([p, u]), -np.concatenate([as_negative_p, as_negative_u]))
+        net.step(np.concatenate([p, u]), slopes(net.logits(p), net.logits(u), prior))
     return net
 
 
@@ -148,14 +155,8 @@ def held_out(id_col: str | Column, folds: int = 5, out: int = 0) -> Column:
 
 
 def _sample(docs: DataFrame, limit: int) -> np.ndarray:
-    """Measures of at most limit documents: those with the least hash of their row."""
-    n = docs.count()
-    share = min(1.0, 1.05 * limit / max(1, n) + 0.001)
-    bound = int((2 * share - 1) * (2**63 - 1))
-    near = docs.where(F.xxhash64("doc_id", "text") <= F.lit(bound)) if share < 1 else docs
-    hashed = near.select(F.xxhash64("doc_id", "text").alias("h"), F.col("text").alias("text"))
-    found = common.arrow_map(hashed, lambda b: {"h": b.column(0), "x": [measures(t).tolist() for t in common.strings(b.column(1))]}, "h long, x array<double>")
-    got = found.orderBy("h").limit(limit).toPandas()["x"].tolist()
+    """Measures of at most limit distinct rows: those with the least hash."""
+    got = common.least_hashed(docs, limit, lambda t: measures(t).tolist(), "x array<double>", "x")
     return np.array(got, np.float64).reshape(-1, N_MEASURES)
 
 
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     good = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("lo")).where("lo = 1")
     # At most max_positive ids, so the broadcast is bounded.
-    trusted = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
+    trusted = common.hashed_below(good.select("doc_id"), max_positive, "doc_id").orderBy("h", "doc_id").limit(max_positive).select("doc_id")
     positive = _sample(rows.join(F.broadcast(trusted), "doc_id", "left_semi"), max_positive)
     if not len(positive):
         return None, DEFAULT_PRIOR

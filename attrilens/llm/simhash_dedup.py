@@ -12,6 +12,10 @@ neighbours; two members share one of these exactly if they are at most two bits
 apart, and a link to the least member of each such group joins the same
 components with a linear number of rows.
 
+``similar_groups`` goes the same way for texts that are less alike (five words,
+a Jaccard similarity of 0.8): 64 bits part those badly, so fingerprints are
+longer, with more blocks.
+
 Defined results: null and empty texts have fingerprint zero and link like any
 other; equal texts are one component; rows with a null id keep their row and
 take the least id of their component (null if none has one); repeated rows stay
@@ -20,6 +24,8 @@ repeated; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,24 +34,33 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Words of a shingle, least similarity, and the fingerprint (64-bit numbers, bits of a block) of ``similar_groups``.
+WIDTH, SIMILARITY, LONGS, BLOCK_BITS = 5, 0.8, 22, 21
+#: The bits of a byte as the low bits of eight bytes.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
-def simhash(text: bytes, width: int = 3) -> int:
-    """SimHash of the width-word shingles of an UTF-8 text, as unsigned 64 bits."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of the width-word shingles of an UTF-8 text, repeats included; of the whole sequence if it has fewer words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
     if n == 1:
-        hashes = np.array([digest(joined, 42)], dtype=np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = (ends - [len(w) + 1 for w in words])[:n].tolist()
-        ends = (ends[width - 1 :] - 1).tolist()
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n)
+        return np.array([digest(joined, 42)], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words])[:n].tolist()
+    ends = (ends[width - 1 :] - 1).tolist()
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def simhash(text: bytes, width: int = 3) -> int:
+    """SimHash of the width-word shingles of an UTF-8 text, as unsigned 64 bits."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for k in range(0, n, 4096):
         ones += np.unpackbits(hashes[k : k + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -99,16 +114,88 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that are the least id of their component; columns as in docs.
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of two shingle sets of this Jaccard similarity differ, by the angle between sets of one size."""
+    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
+
+
+def wide_simhash(text: bytes, width: int = WIDTH, longs: int = LONGS) -> np.ndarray:
+    """A SimHash of 64 * longs bits: each shingle's hash is drawn out to as many."""
+    hashes = shingle_hashes(text, width)
+    counts = np.zeros(64 * longs, np.int64)
+    steps = (np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for k in range(0, len(hashes), 255):
+        x = hashes[k : k + 255, None] + steps
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        # Each byte becomes eight counters of a byte, which 255 rows cannot overflow.
+        counts += _SPREAD[x.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, longs: int = LONGS, block_bits: int = BLOCK_BITS, pair_limit: int = 16) -> DataFrame:
+    """(doc_id, key, component_id): groups of texts whose wide fingerprints differ as sets of the given similarity do, or less.
+
+    Fingerprints of 64 * longs bits are cut into blocks; texts join on equal
+    blocks and are verified by the Hamming distance of the whole. Texts that
+    differ in fewer bits than there are blocks always share one; a pair at the
+    similarity itself shares one with a chance that rises with the number of
+    blocks and falls with their bits (0.9 for the defaults at 0.8, 0.99 at
+    0.85). Blocks should have about as many bits as the number of distinct
+    texts. Equal word sequences collapse first. In a block that over
+    ``pair_limit`` texts share, each is compared with the least of them, and
+    joins again on that block with each of the next three, so work stays linear
+    in its members.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> dict:
+        texts = [t.lower().split() for t in common.utf8(batch.column(1))]
+        keys = [xxhash.xxh128_digest(b" ".join(w), 42) for w in texts]
+        return {"doc_id": batch.column(0), "key": keys, "fp": [wide_simhash(b" ".join(w), width, longs) for w in texts]}
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = common.stored(common.arrow_map(rows, run, f"doc_id {kind}, key binary, fp array<long>"))
+    first = common.stored(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")))
+    per = 64 // block_bits
+    blocks = longs * per
+    value = lambda i: F.shiftrightunsigned(F.element_at("fp", F.floor(i / per).cast("int") + 1), 0) if block_bits == 64 else F.call_function("shiftrightunsigned", F.element_at("fp", F.floor(i / per).cast("int") + 1), (i % per * block_bits).cast("int")).bitwiseAND(F.lit((1 << block_bits) - 1))
+    block = lambda i: F.xxhash64(i, value(i))
+    keyed = first.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(i.alias("i"), block(i).alias("b")))).alias("x")).select("key", "x.i", "x.b")
+
+    def met(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs within small groups of equal b, and the members of large ones with the least of them."""
+        shared = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+        found = common.stored(keyed.join(shared, "b"))
+        few = found.where(F.col("n") <= pair_limit)
+        pairs = few.select("b", F.col("key").alias("a")).join(few.select("b", F.col("key").alias("c")), "b").where("a < c").select("a", "c")
+        return pairs, found.where(F.col("n") > pair_limit)
+
+    star = lambda many: many.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("c"))
+    pairs, many = met(keyed)
+    more = F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda d: F.xxhash64("b", d, block((F.col("i") + d) % blocks))))
+    again, still = met(many.join(first.select("key", "fp"), "key").select("key", "i", more.alias("b")))
+    asked = pairs.union(star(many)).union(again).union(star(still)).distinct()
+    fps = first.select("key", "fp")
+    apart = F.aggregate(F.zip_with("fa", "fc", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = asked.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("key").alias("c"), F.col("fp").alias("fc")), "c")
+    edges = both.where(apart <= differing_bits(similarity, 64 * longs)).select("a", F.col("c").alias("b"))
+    roots = common.components(edges).withColumnRenamed("node", "key")
+    rooted = first.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return marked.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """Documents that are the least id of their group of similar texts; columns as in docs.
 
     Rows that share the kept id (repeated rows) all stay; rows with a null id
-    stay only if no row of their component has an id.
+    stay only if no row of their group has an id.
     """
-    groups = near_groups(docs, id_col, text_col)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"), F.col("fp").alias("_kept_fp")).distinct()
-    ids = kept.select("_kept_id").distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_kept_id"]), "left_semi")
+    groups = similar_groups(docs, id_col, text_col, **parameters)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,15 +18,10 @@ from pyspark.sql import functions as F
 from attrilens.llm import bpe, fingerprints, line_dedup, packing, queries, quality_rules, secret_scan, simhash_dedup, suffix_tree
 
 from ..test_queries import canonical
+from . import brute
+from .brute import WORD, components, lower
 from .helpers import documents, prose
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def lower(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
-
-
 @pytest.fixture(scope="module")
 def texts(spark, sf):
     return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -44,37 +39,6 @@ def test_sql(spark, sf, name):
     assert got.equals(want)
 
 
-def brute_lines(texts, min_words):
-    """Kept lines of each text: earliest of equal lines and of lines within one word edit, pair by pair."""
-    seen, out = [], []
-    for text in texts:
-        kept = []
-        for line in text.split("\n"):
-            form = re.sub(r"[ \t\r\x0b\x0c]+", " ", line.lower()).strip(" ")
-            if not form:
-                kept.append(line)
-                continue
-            w = form.split(" ")
-            near = any(form == f or (len(w) >= min_words and len(v) >= min_words and one_edit(w, v)) for f, v in seen)
-            if not near:
-                kept.append(line)
-            seen.append((form, w))
-        out.append("\n".join(kept))
-    return out
-
-
-def one_edit(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    return i + j >= max(len(a), len(b)) - 1
-
-
 @pytest.mark.parametrize("short_words", [256, 9])
 def test_line_dedup_brute(spark, short_words):
     rng = random.Random(2)
@@ -96,7 +60,24 @@ def test_line_dedup_brute(spark, short_words):
             lines.append(rng.choice(["", " ", "\t"]).join(["", "  ".join(w) if rng.random() < 0.2 else " ".join(w)]))
         texts.append("\n".join(lines + ([""] if rng.random() < 0.3 else [])))
     got = [r["text"] for r in line_dedup.dedup_lines(documents(spark, texts), short_words=short_words).orderBy("doc_id").collect()]
-    assert got == brute_lines(texts, line_dedup.MIN_WORDS)
+    assert got == brute.lines(texts, line_dedup.MIN_WORDS)
+
+
+@pytest.mark.parametrize("bits", [6, 28])
+def test_line_dedup_beyond_the_filter(spark, sf, texts, monkeypatch, bits):
+    """With filters too small for the shared runs a join takes their place; the result is the same and no more lines go on than share a run."""
+    monkeypatch.setattr(line_dedup, "MOST_BITS", bits)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = sorted(texts)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert [got[i] or "" for i in ids] == brute.lines([texts[i] for i in ids], line_dedup.MIN_WORDS)
+
+
+def test_line_dedup_of_many_lines(spark):
+    """A document of very many lines, half of them repeated, in linear time."""
+    text = "\n".join(f"line {k % 20_000}" for k in range(40_000))
+    got = line_dedup.dedup_lines(documents(spark, [text, text])).orderBy("doc_id").collect()
+    assert got[0]["text"] == "\n".join(f"line {k}" for k in range(20_000)) and got[1]["text"] == ""
 
 
 def test_fingerprints(spark, sf, texts):
@@ -109,8 +90,11 @@ def test_fingerprints(spark, sf, texts):
         edited = text[: len(text) - n] + then[:n]
         r = got[i]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == fingerprints.digest(text.encode()) and r["edited_fingerprint"] == fingerprints.digest(edited.encode())
-        assert r["near_edited"] == fingerprints.likeness(r["fingerprint"], r["edited_fingerprint"]) and 0 <= r["near_next"] <= 1
+        if k % 4 == 0 and len(text) < 6000 and len(then) < 6000:
+            own, changed, following = text.encode(), edited.encode(), then.encode()
+            assert r["fingerprint"] == brute.digest_hex(own) and r["edited_fingerprint"] == brute.digest_hex(changed)
+            assert math.isclose(r["near_edited"], brute.likeness(own, changed), abs_tol=1e-12) and math.isclose(r["near_next"], brute.likeness(own, following), abs_tol=1e-12)
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
         better += r["near_edited"] > r["near_next"] or text == then
     assert len(got) == len(ids) and better >= 0.97 * len(ids)
     long = (" ".join(texts.values()) * 9).encode()[: (1 << 20) + 5000]
@@ -131,6 +115,10 @@ def test_neighbours_in_ranges(spark):
     finally:
         fingerprints.RANGE_DOCS = old
     order = sorted(ids)
+    nulls, least, starts = fingerprints.range_starts(docs.select(F.col("doc_id").alias("id")), 40, 64)
+    assert (nulls, least) == (0, order[0]) and set(starts) <= set(order) and 5 <= len(starts) <= 20
+    far = docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 2**62).alias("id"))
+    assert max(np.diff(np.searchsorted(sorted(r["id"] for r in far.collect()), [order[0], *fingerprints.range_starts(far, 40, 64)[2]]))) <= 400
     assert {r["a"]: r["b"] for r in got} == {a: order[(k + 1) % len(order)] for k, a in enumerate(order)} and len(got) == len(ids)
 
 
@@ -173,6 +161,18 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(many[i] for i in b) <= 100 for b in bins)
 
 
+def test_search_needs_fewer_bins_than_best_fit():
+    """On lengths drawn evenly from 300 to 900, best fit decreasing leaves bins over the bound; the search empties most of them."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        lengths = [rng.randint(300, 900) for _ in range(2000)]
+        first = packing.Bins(2048)
+        for n in sorted(range(2000), key=lambda i: -lengths[i]):
+            first.add(n, lengths[n])
+        least = -(-sum(lengths) // 2048)
+        assert len(first.items) - least >= 8 and len(packing.pack(lengths, 2048)) - least <= (len(first.items) - least) / 2
+
+
 def step_left(lengths, bins, capacity):
     """Whether some document of an underfull bin can go to a fuller end elsewhere, for none, one or two documents."""
     fills = [sum(lengths[i] for i in b) for b in bins]
@@ -233,17 +233,6 @@ def test_line_dedup_ids(spark):
     assert got == {(2**62, len(line)): "", (-(2**62), len(other)): "", (None, len(texts[2])): texts[2], (5, 10): "", (5, 15): "more words here", (7, None): None}
 
 
-def brute_spans(text):
-    out = []
-    for number, rule in enumerate(secret_scan.RULES):
-        regex = r"[0-9a-f]+" if rule.kind == "hex" else rule.regex
-        for m in re.finditer(regex, text, re.ASCII):
-            if rule.kind == "hex" and len(m.group()) < 16 or len(m.group(rule.group)) < rule.least:
-                continue
-            out.append((m.start(), number, m.end(), rule.kind))
-    return sorted(out)
-
-
 def test_secrets(spark):
     rng = random.Random(6)
     hexes = "".join(rng.choices("0123456789abcdef", k=40))
@@ -255,26 +244,9 @@ def test_secrets(spark):
     texts = [" ".join(rng.sample(seeds, rng.randint(0, 6))) for _ in range(150)] + seeds + ["", "none here"]
     docs = documents(spark, texts)
     got = [[tuple(s) for s in r["spans"]] for r in secret_scan.scan(docs).orderBy("doc_id").collect()]
-    assert got == [brute_spans(t) for t in texts]
+    assert got == [brute.spans(t) for t in texts]
     red = [r["text"] for r in secret_scan.redact(docs).orderBy("doc_id").collect()]
-    for t, spans, clean in zip(texts, got, red):
-        want, at = "", 0
-        for start, _, end, _ in spans:
-            if start > at or not want and at == 0 and start == 0:
-                want += t[at:start] + secret_scan.REDACTED
-            elif start <= at and end > at and start >= 0 and at:
-                pass
-            at = max(at, end)
-        runs, out, last = [], "", 0
-        for start, _, end, _ in spans:
-            if runs and start <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], end)
-            else:
-                runs.append([start, end])
-        for start, end in runs:
-            out += t[last:start] + secret_scan.REDACTED
-            last = end
-        assert clean == out + t[last:]
+    assert red == [brute.redacted(t) for t in texts]
 
 
 def test_trigram_queries_are_necessary():
@@ -304,23 +276,53 @@ def test_bpe(spark, sf, texts):
         assert v.encode(text) == e.ids and v.decode(e.ids) == tok.decode(e.ids, skip_special_tokens=False)
 
 
-def brute_quality(text):
-    words = WORD.findall(text)
-    seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
-    inside = {j for i in range(len(words) - 7) if seen[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)
+def test_long_words():
+    """Words over LONG bytes, one of a megabyte, in time and equal to the library."""
+    import string
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, v, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), bpe.vocabulary(), random.Random(5)
+    for n, letters in ((bpe.LONG + 1, "ab"), (5000, "a"), (5001, "é日a"), (20_000, string.ascii_lowercase), (9000, "the")):
+        word = "".join(rng.choices(letters, k=n))
+        assert v.merge_long(word.encode()).tolist() == tok.encode(word, add_special_tokens=False).ids
+        assert v.encode(f"x {word} y") == tok.encode(f"x {word} y", add_special_tokens=False).ids
+    word = "".join(rng.choices(string.ascii_lowercase, k=1_000_000))
+    start = time.perf_counter()
+    assert v.merge_long(word.encode()).tolist() == tok.encode(word, add_special_tokens=False).ids
+    assert time.perf_counter() - start < 15
+
+
+def test_pieces_by_words():
+    """Texts cut at single spaces have the ids of the whole text, whatever was kept before."""
+    rng = random.Random(1)
+    pieces = quality_rules.Pieces(keep=50)
+    for _ in range(1500):
+        text = "".join(rng.choices("ab é\n\t  ▁日😀.<\x00", k=rng.randint(0, 30)))
+        assert pieces.encode(text).tolist() == pieces.model.encode(text)
 
 
 def test_quality(spark, sf, texts):
     got = run(spark, sf, "op7_quality_rules")
     for i, text in texts.items():
         r = got[i]
-        want = brute_quality(text)
+        want = brute.quality(text)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (r["base_failed"] and r["kept"])
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    model, encoder = quality_rules.piece_model(), packing.byte_encoder()
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    passing = [i for i in sorted(texts) if not got[i]["base_failed"] and len(model.encode(texts[i]))]
+    rows = []
+    for i in passing:
+        ids = model.model.encode(texts[i])
+        m = brute.measures(texts[i], ids, encoder.encode(texts[i]).tolist(), model.is_byte)
+        assert np.allclose(m, [got[i][c] for c in quality_rules.MEASURES])
+        rows.append((brute.group(texts[i], langs[i]), int(2 * math.log2(len(ids))), [got[i][c] for c in quality_rules.MEASURES]))
+    assert [got[i]["kept"] for i in passing] == brute.verdicts(rows)
     good = [got[i]["kept"] for i, q in labels.items() if q == 1 and i in got and not got[i]["base_failed"]]
     assert np.mean(good) > 0.9
     assert quality_rules.base_measures("a b c d") == (2, 6, 0, 0, 0)
@@ -420,32 +422,9 @@ def test_suffix_tree_tells_repeated_texts(spark, texts):
     assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 60)) + 0.2
 
 
-def brute_simhash(text):
-    words = WORD.findall(lower(text))
-    if not words:
-        return 0
-    sh = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def components(pairs, ids):
-    root = {i: i for i in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in ids}
-
-
 def test_simhash(spark, sf, texts):
     got = run(spark, sf, "op9_simhash_near_dedup")
-    fps = {i: brute_simhash(t) for i, t in texts.items()}
+    fps = {i: brute.simhash(t) for i, t in texts.items()}
     assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == fps
     ids = sorted(fps)
     pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2]
@@ -477,6 +456,81 @@ def test_simhash_links(spark, pair_limit):
     assert {x: found.get(x, x) for x in signed} == want
 
 
+def near_texts(rng):
+    """Texts and copies with a few words changed, from nearly equal to half different; a hot group; copies."""
+    texts = []
+    for _ in range(25):
+        base = prose(rng, rng.randint(60, 200)).split()
+        texts.append(" ".join(base))
+        for changes in (1, 2, 4, 12):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(9999)}"
+            texts.append(" ".join(w))
+    hot = [f"w{k}" for k in range(300)]
+    for k in range(60):
+        texts.append(" ".join(hot[:k] + [f"odd{k}"] + hot[k:]))
+    return texts + [texts[0].upper(), texts[0].replace(" ", "  "), "", None, "one", "one two"]
+
+
+@pytest.mark.parametrize("pair_limit", [16, 1000])
+def test_similar_groups(spark, pair_limit):
+    """Groups of five-word similarity are those of all pairs that share a block, also where a block is hot."""
+    texts = near_texts(random.Random(6))
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(documents(spark, texts), pair_limit=pair_limit).collect()}
+    want = brute.similar({i: t or "" for i, t in enumerate(texts)})
+    assert got == want
+    sets = [set(brute.shingles(t or "", 5)) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.85 * len(sets[i] | sets[j])]
+    assert len(pairs) > 100 and np.mean([got[i] == got[j] for i, j in pairs]) > 0.97
+    assert not any(got[i] == got[j] for i in range(125) for j in range(i) if len(sets[i] & sets[j]) < 0.6 * len(sets[i] | sets[j]))
+
+
+def test_wide_fingerprints():
+    rng = random.Random(2)
+    for n in (0, 1, 4, 5, 20, 400):
+        text = prose(rng, n) if n else ""
+        own = simhash_dedup.wide_simhash(text.encode(), 5, 3)
+        assert sum(int(x) % 2**64 << 64 * k for k, x in enumerate(own.tolist())) == brute.wide_simhash(text, 5, 3)
+
+
+def test_risk_and_prior():
+    """Slopes are those of the written-out risk; the prior of a known mixture is found."""
+    from attrilens.llm import pu_classifier as pu
+
+    rng = np.random.default_rng(1)
+
+    def risk(g, n, prior):
+        p, u = g[:n], g[n:]
+        softplus = lambda x: np.log1p(np.exp(x))
+        return prior * softplus(-p).mean(), softplus(u).mean() - prior * softplus(p).mean()
+
+    for prior, shift in ((0.3, 1.0), (0.5, 0.0), (0.9, -4.0)):
+        g = np.concatenate([rng.normal(1, 1, 7), rng.normal(shift, 1, 9)])
+        assert np.allclose(pu.risk(g[:7], g[7:], prior), risk(g, 7, prior))
+        held = risk(g, 7, prior)[1] >= 0
+        target = lambda g: sum(risk(g, 7, prior)) if held else -risk(g, 7, prior)[1]  # noqa: B023, E731
+        numeric = [(target(g + 1e-6 * e) - target(g - 1e-6 * e)) / 2e-6 for e in np.eye(16)]
+        assert np.allclose(pu.slopes(g[:7], g[7:], prior), numeric, atol=1e-6)
+    assert {risk(np.concatenate([np.full(7, 1.0), np.full(9, s)]), 7, 0.9)[1] >= 0 for s in (1.0, -4.0)} == {True, False}
+    x = lambda n, m: np.column_stack([rng.normal(m, 1, n), rng.normal(-m, 1, n)])
+    for share in (0.2, 0.6):
+        unlabelled = np.concatenate([x(int(4000 * share), 1.5), x(4000 - int(4000 * share), -1.5)])
+        prior = pu.fit_prior(x(2000, 1.5), unlabelled)
+        assert abs(prior - share) < 0.08
+        net = pu.fit(x(2000, 1.5), unlabelled, prior)
+        assert (net.scores(x(1000, 1.5)) > 0.5).mean() > 0.9 and (net.scores(x(1000, -1.5)) < 0.5).mean() > 0.9
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Rows far beyond the limit are neither measured nor sent, copies count once, and the sample has its size."""
+    from attrilens.llm import common, pu_classifier
+
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert 500 <= common.hashed_below(rows, 500, "doc_id", "text").count() < 900
+    assert len(pu_classifier._sample(rows, 500)) == 500 and len(pu_classifier._sample(rows.limit(40).union(rows.limit(40)), 500)) == 40
+
+
 def test_classifier(spark):
     got = run(spark, "/root/testdata/sf0.01", "op10_quality_classifier")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}

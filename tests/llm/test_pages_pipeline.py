@@ -180,7 +180,7 @@ def test_stages(spark, tmp_path):
     assert 80 not in want and 81 not in want  # whole copies are gone
 
     near = corpus_pipeline.near_duplicates(spark, docs, "")
-    groups = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_groups(docs).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_groups(docs).collect()}
     assert near.columns == columns and {r["doc_id"] for r in near.collect()} == set(groups.values())
 
     clean = corpus_pipeline.secrets(spark, docs, "")
