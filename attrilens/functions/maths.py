@@ -17,8 +17,8 @@ def log10p1(x: Column) -> Column:
 
 
 def quote_bin(count: Column) -> Column:
-    """M3: whole octaves of a count."""
-    return F.floor(F.log2(count.cast("double"))).cast("int")
+    """M3: whole octaves of a count: one less than its binary digits, which no rounding can change."""
+    return F.when(count > 0, F.length(F.bin(count.cast("long"))) - 1)
 
 
 def decile_right_closed(x: Column, edges: Column) -> Column:

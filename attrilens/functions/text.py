@@ -19,15 +19,12 @@ ARABIC = r"؀-ۿݐ-ݿࢠ-ࣿﭐ-﷽ﹰ-﻿"
 
 # Last tokens that never count as a last name.
 LAST_NAME_STOPWORDS = (
-    "poet writer author artist musician singer rapper actor "
-    "actress producer director professor doctor dr mr mrs "
-    "ms miss sir lord lady jr sr "
-    "love truth still wisdom better bond legacy foster pride "
-    "battle early silver virtue bonds innocent seven cope "
-    "fields quick page flash rather hope gates sign good black "
-    "young french great deep books holiday prior chance block "
-    "white rock"
-).split()
+    "poet", "writer", "author", "artist", "musician", "singer", "rapper", "actor", "actress", "producer", "director",
+    "professor", "doctor", "dr", "mr", "mrs", "ms", "miss", "sir", "lord", "lady", "jr", "sr", "love", "truth",
+    "still", "wisdom", "better", "bond", "legacy", "foster", "pride", "battle", "early", "silver", "virtue", "bonds",
+    "innocent", "seven", "cope", "fields", "quick", "page", "flash", "rather", "hope", "gates", "sign", "good",
+    "black", "young", "french", "great", "deep", "books", "holiday", "prior", "chance", "block", "white", "rock",
+)
 
 # Phrases that mark an answer without a name.
 NO_ANSWER = [
@@ -117,6 +114,7 @@ def clean_author(raw: Column) -> Column:
 
 def canonicalize_author(c: Column) -> Column:
     """Drop leading marks, AKA parts, bracketed and quoted spans and dash titles."""
+    # The patterns, and the order of the steps.
     name = F.regexp_replace(c, r"^[\s\-–—•]+", "")
     name = F.split(name, r"(?i)\baka\b|\ba\.k\.a\.\b")[0]
     for span in (r"\([^)]*\)", r"«[^»]*»", r'"[^"]*"', r"'[^']*'"):
@@ -153,9 +151,10 @@ def last_name(author: Column, normalise=normalize_for_match) -> Column:
     """Last token in match form; null for one token, under four letters, or a stopword."""
     tokens = F.filter(F.split(author, r"\s+"), lambda t: t != "")
     last = normalise(F.try_element_at(tokens, F.lit(-1)))
-    return F.when((F.size(tokens) > 1) & (F.length(last) >= 4) & ~last.isin(LAST_NAME_STOPWORDS), last)
+    return F.when((F.size(tokens) > 1) & (F.length(last) >= 4) & ~last.isin(*LAST_NAME_STOPWORDS), last)
 
 
+# Fixed value: a run of capitalised words or initials.
 NAME_RUN = r"\b([A-Z][a-z]+|[A-Z]\.)(?:[-'][A-Z][a-z]+)?(?:\s+([A-Z][a-z]+|[A-Z]\.)(?:[-'][A-Z][a-z]+)?)+\b"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import maths
-from .statistics import exact_quantiles
+from .statistics import exact_quantiles, group_medians
 
 
 def universe(rows: DataFrame, order: str, author="author_clean", race="race", gender="gender", fame="log10_hits") -> DataFrame:
@@ -42,10 +42,12 @@ def joined_names(rows: DataFrame, key: str, name: str, alias: str = "names") ->
     return rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col(name) != "", F.col(name)))), "; ").alias(alias))
 
 
-def inclusive_edges(x: Column, bins: int = 10) -> Column:
-    """Eleven exact quantiles with linear interpolation, never falling."""
-    edges = F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))
-    return F.transform(edges, lambda e, i: F.array_max(F.slice(edges, F.lit(1), i + 1)))
+def rising(edges: list[float]) -> list[float]:
+    """Edges that never fall."""
+    out: list[float] = []
+    for e in edges:
+        out.append(max(e, out[-1]) if out else e)
+    return out
 
 
 def open_edges(values: list[float], step: float = 1e-9) -> list[float]:
@@ -69,11 +71,11 @@ def decile_targets(rows: DataFrame, hits: str = "google_hits", bins: int = 10) -
 
 
 def quartet(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """N, mean, std and median of each metric."""
-    out = []
+    """N, mean, std and median of each metric; medians from counted distinct values, so no buffer holds a group."""
+    found = rows.groupBy(*keys).agg(*[a for m in metrics for a in (F.count(m).alias(f"n_{m}"), F.avg(m).alias(f"mean_{m}"), F.stddev_samp(m).alias(f"std_{m}"))])
     for m in metrics:
-        out += [F.count(m).alias(f"n_{m}"), F.avg(m).alias(f"mean_{m}"), F.stddev_samp(m).alias(f"std_{m}"), F.median(m).alias(f"median_{m}")]
-    return rows.groupBy(*keys).agg(*out)
+        found = found.join(group_medians(rows, keys, m, f"median_{m}"), keys, "left")
+    return found
 
 
 def first_known(rows: DataFrame, key: str, order: str, first: list[str], most: list[str]) -> DataFrame:

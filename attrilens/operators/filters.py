@@ -84,8 +84,8 @@ def row_range(rows: DataFrame, order: str, first: int, last: int) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """N rows in a seeded shuffle."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """N rows in a seeded shuffle (by MD5, so other engines can repeat it)."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def wide_to_long(rows: DataFrame, ids: list[str], prompts: list[str], suffix: str = "_response", value: str = "llm_output") -> DataFrame:

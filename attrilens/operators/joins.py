@@ -59,11 +59,6 @@ def members(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(chosen, keys, "left_semi")
 
 
-def not_in(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """J10, J12"""
-    return rows.join(other.select(*keys), keys, "left_anti")
-
-
 def retrieval_rows(targets: DataFrame, corpus: DataFrame, idx: str = "idx") -> DataFrame:
     """The corpus row of each target: by id (equal text first, then the first row), else by text hash; others go.
 
@@ -104,7 +99,3 @@ def subgroup_pairs(groups: DataFrame, order: str, value_columns: list[str]) -> D
 def key_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join on keys."""
     return a.join(b, keys, "full_outer")
-
-
-def equal_or_null(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

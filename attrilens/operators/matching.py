@@ -10,51 +10,58 @@ order of fame.
 from __future__ import annotations
 
 import bisect
-import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MATCHED = "run_id int, grp string, author string, log10_hits double, count long, to_sample long, match_idx int"
 
 
+Row = tuple[float, int, str]
+
+
+def octave(count: int) -> int:
+    """M3: whole octaves of a count."""
+    return count.bit_length() - 1
+
+
 class Pool:
-    """Remaining authors of one group, in order of fame."""
+    """Remaining authors of one group: (fame, quotes, author) in order of fame, a list for each octave of quotes."""
 
-    def __init__(self, rows: list[tuple[float, int, str]]):
-        self.rows = sorted(rows)
-        self.fame = [r[0] for r in self.rows]
+    def __init__(self, rows: list[Row]):
+        self.octaves: dict[int, list[Row]] = {}
+        for row in sorted(rows):
+            self.octaves.setdefault(octave(row[1]), []).append(row)
 
-    def nearest(self, target: float, octave: int) -> int | None:
+    def nearest(self, target: float, most: int) -> Row | None:
         """First author from target on in the octave of quotes, then in lower octaves, then in any; the last one if none is left above."""
-        if not self.rows:
-            return None
-        start = bisect.bisect_left(self.fame, target)
-        for b in range(octave, -1, -1):
-            for k in range(start, len(self.rows)):
-                if self.rows[k][1].bit_length() - 1 == b:
-                    return k
-        return min(start, len(self.rows) - 1)
+        for b in range(most, -1, -1):
+            rows = self.octaves.get(b, [])
+            k = bisect.bisect_left(rows, (target,))
+            if k < len(rows):
+                return rows[k]
+        above = [rows[k] for rows in self.octaves.values() if (k := bisect.bisect_left(rows, (target,))) < len(rows)]
+        return min(above) if above else max((rows[-1] for rows in self.octaves.values() if rows), default=None)
 
-    def take(self, k: int) -> None:
-        del self.rows[k], self.fame[k]
+    def take(self, row: Row) -> None:
+        rows = self.octaves[octave(row[1])]
+        del rows[bisect.bisect_left(rows, row)]
 
 
-def match_once(reference: list[tuple[float, int, str]], others: dict[str, list[tuple[float, int, str]]], limit: float = 1.0):
+def match_once(reference: list[Row], others: dict[str, list[Row]], limit: float = 1.0):
     """Matches (reference row, {group: row}, to_sample) and the total squared error; reference is already shuffled."""
     pools, offsets, total, out = {g: Pool(r) for g, r in others.items()}, dict.fromkeys(others, 0.0), 0.0, []
     for row in reference:
-        found = {g: p.nearest(row[0] - offsets[g], row[1].bit_length() - 1) for g, p in pools.items()}
-        if any(k is None for k in found.values()):
+        picked = {g: p.nearest(row[0] - offsets[g], octave(row[1])) for g, p in pools.items()}
+        if any(p is None for p in picked.values()):
             break
-        picked = {g: pools[g].rows[k] for g, k in found.items()}
         error = sum((p[0] - row[0]) ** 2 for p in picked.values())
         if error < len(others) * limit:
             out.append((row, picked, min([row[1], *(p[1] for p in picked.values())])))
-            for g, k in found.items():
-                offsets[g] += picked[g][0] - row[0]
-                pools[g].take(k)
+            for g, p in picked.items():
+                offsets[g] += p[0] - row[0]
+                pools[g].take(p)
             total += error
     return out, total
 
@@ -63,7 +70,7 @@ def matched_runs(authors: DataFrame, reference: str, others: list[str], runs: in
     """Matched authors of every run, with how many quotes to sample of each."""
     rows = authors.where(F.col(group).isin(reference, *others)).select(F.col(group).alias("grp"), F.col(author).cast("string").alias("author"), F.col(fame).cast("double").alias("log10_hits"), F.col(count).cast("long").alias("count"))
     rows = rows.where("log10_hits is not null and count >= 1")
-    each = rows.withColumn("run_id", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("shuffle", F.xxhash64("author", "run_id"))
+    each = rows.withColumn("run_id", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("shuffle", F.md5(F.concat_ws(":", "author", F.col("run_id").cast("string"))))
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         take = lambda p: list(zip(p["log10_hits"].tolist(), p["count"].tolist(), p["author"].tolist()))
@@ -90,13 +97,11 @@ CRITERIA = [("authors_per_group", False), ("quotes_per_group", False), ("avg_fam
 
 
 def sample_quotes(quotes: DataFrame, matched: DataFrame, author: str, key: str, seed: int = 42) -> DataFrame:
-    """A seeded choice of to_sample quotes of each matched author."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(author).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """A seeded choice of to_sample quotes of each matched author (a row each), in the order of MD5."""
     wanted = matched.select(F.col("author").alias(author), "to_sample")
-    return quotes.join(wanted, author).withColumn("_rn", F.row_number().over(w)).where("_rn <= to_sample").drop("_rn", "to_sample")
-
-
-def octave(count: int) -> int:
-    return int(math.log2(count))
+    # The greatest wish limits authors before the shuffle.
+    most = wanted.agg(F.max("to_sample")).first()[0] or 0
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    w = Window.partitionBy(author).orderBy(order, key)
+    first = quotes.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(most))
+    return first.join(wanted, author).where("_rn <= to_sample").drop("_rn", "to_sample")

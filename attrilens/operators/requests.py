@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from .joins import expand
 
+# Fixed value: the system message.
 SYSTEM = "You are a helpful assistant that provides concise, factual responses. Answer concisely. Do NOT repeat the quote. Answer in maximum 1 sentence."
 
 

@@ -30,12 +30,19 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, block: int = 4096, exclude_self: bool = True) -> DataFrame:
-    """(query, neighbour, score, rank), exact; scores in double precision, ties by neighbour."""
+def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, block: int = 16_384, tile: int = 1024, exclude_self: bool = True) -> DataFrame:
+    """(query, neighbour, score, rank), exact; scores in double precision, ties by neighbour.
+
+    A vector is sent once for each block of the other table, so blocks are as
+    large as tasks can hold; a table that is smaller makes blocks enough for the
+    session's parallelism. Products are taken tile by tile within a block.
+    """
     kind = queries.schema[key].dataType.simpleString()
+    wanted = max(1, int(queries.sparkSession.sparkContext.defaultParallelism**0.5))
 
     def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // block))
+        rows = df.count()
+        n = max(1, -(-rows // block), min(wanted, rows // 256))
         cut = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{name}_block"), F.struct(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v")).alias("row"))
         # A block's rows: about `block` vectors.
         return cut.groupBy(f"{name}_block").agg(F.collect_list("row").alias(name)), n
@@ -44,24 +51,28 @@ def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
     right, n_right = blocks(corpus, "c")
     paired = left.withColumn("c_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long")))).join(right, "c_block")
 
+    def unpacked(rows: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+        values = rows.values
+        m = values.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+        return values.field("key"), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
     def score(batches):
         for batch in batches:
-            for q, c in zip(batch.column("q").to_pylist(), batch.column("c").to_pylist()):
-                unit = lambda rows: (m := np.array([r["v"] for r in rows], np.float64)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                keys = [r["key"] for r in c]
-                s = unit(q) @ unit(c).T
-                query, neighbour, scores = [], [], []
-                for i, r in enumerate(q):
-                    row = s[i].copy()
-                    if exclude_self:
-                        row[[j for j, x in enumerate(keys) if x == r["key"]]] = -np.inf
+            for q, c in zip(batch.column("q"), batch.column("c")):
+                (queried, qs), (keys, cs) = unpacked(q), unpacked(c)
+                places: dict = {}
+                for j, x in enumerate(keys.to_pylist() if exclude_self else ()):
+                    places.setdefault(x, []).append(j)
+                for at in range(0, len(qs), tile):
+                    s = qs[at : at + tile] @ cs.T
+                    own = [(i, j) for i, x in enumerate(queried.slice(at, tile).to_pylist()) for j in places.get(x, ())]
+                    if own:
+                        s[tuple(zip(*own))] = -np.inf
+                    n = min(k, s.shape[1])
                     # All that tie with the k-th best go on, so ties are settled by neighbour later.
-                    least = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
-                    for j in np.flatnonzero((row >= least) & (row > -np.inf)):
-                        query.append(r["key"])
-                        neighbour.append(keys[j])
-                        scores.append(float(row[j]))
-                yield pa.RecordBatch.from_pydict({"query": query, "neighbour": neighbour, "score": scores}) if query else pa.RecordBatch.from_pydict({"query": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+                    least = np.partition(s, -n, axis=1)[:, -n]
+                    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                    yield pa.RecordBatch.from_arrays([queried.take(pa.array(at + i)), keys.take(pa.array(j)), pa.array(s[i, j])], names=["query", "neighbour", "score"])
 
     return _best(paired.select("q", "c").mapInArrow(score, f"query {kind}, neighbour {kind}, score double"), k)
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import average_ranks, running_total
 
@@ -68,17 +70,18 @@ def ks_statistic(rows: DataFrame, value: str, group: str, a: str, b: str) -> Dat
     totals = known.agg(F.count_if("first").alias("na"), F.count_if(~F.col("first")).alias("nb"), F.avg(F.when(F.col("first"), F.col("x"))).alias("ma"), F.avg(F.when(~F.col("first"), F.col("x"))).alias("mb")).first()
     na, nb = totals["na"], totals["nb"]
     if not na or not nb:
-        return known.agg(F.lit(None).cast("double").alias("ks"), F.lit(None).cast("double").alias("mean_difference"))
+        return known.agg(F.lit(None).cast("double").alias("ks"), F.lit(None).cast("double").alias("mean_difference"), F.lit(na).alias("n_a"), F.lit(nb).alias("n_b"))
     step = F.sum(F.when(F.col("first"), 1.0 / na).otherwise(-1.0 / nb)).alias("step")
     gaps = running_total(known.groupBy("x").agg(step), "x", "step", "gap")
-    return gaps.agg(F.max(F.abs("gap")).alias("ks"), F.lit(totals["ma"] - totals["mb"]).alias("mean_difference"))
+    return gaps.agg(F.max(F.abs("gap")).alias("ks"), F.lit(totals["ma"] - totals["mb"]).alias("mean_difference"), F.lit(na).alias("n_a"), F.lit(nb).alias("n_b"))
 
 
-def ks_p_value(d: float, na: int, nb: int) -> float:
-    """Asymptotic p of the two-sample statistic."""
-    e = math.sqrt(na * nb / (na + nb))
+def ks_p_value(d: Column, na: Column, nb: Column, terms: int = 100) -> Column:
+    """Asymptotic p of the two-sample statistic."""
+    e = F.sqrt(na * nb / (na + nb))
     t = d * (e + 0.12 + 0.11 / e)
-    return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)))) if t > 0.2 else 1.0
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * t * t))
+    return F.when(t > 0.2, F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).otherwise(1.0)
 
 
 def decile_shifts(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -110,6 +113,30 @@ def exact_quantiles(rows: DataFrame, column: str, probabilities: list[float]) ->
     return [at(math.floor(p)) if p == math.floor(p) else (math.ceil(p) - p) * at(math.floor(p)) + (p - math.floor(p)) * at(math.ceil(p)) for p in places]
 
 
-def quantile_edges(x: Column, bins: int = 10) -> Column:
-    """Edges for W8: repeated ones are dropped when binning."""
-    return F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))
+def group_medians(rows: DataFrame, keys: list[str], column: str, alias: str) -> DataFrame:
+    """Exact medians by group. Distinct values of all groups are dealt by range and summed by bucket, then within buckets."""
+    spark = rows.sparkSession
+    buckets = max(1, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    # At most 1000 numbers.
+    bounds = sorted(set(counts.agg(F.percentile_approx("_x", [k / buckets for k in range(1, buckets)], 10 * buckets) if buckets > 1 else F.array().cast("array<double>")).first()[0] or []))
+    cut = counts.withColumn("_bucket", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_x"))) if bounds else F.lit(0))
+    sums = cut.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(*keys)
+    # A row a group and bucket.
+    starts = sums.withColumns({"_before": F.sum("_s").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"), "_all": F.sum("_s").over(group)}).drop("_s")
+    within = Window.partitionBy(*keys, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = cut.withColumn("_upto", F.sum("_n").over(within)).join(starts, [*keys, "_bucket"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_x")))
+    return upto.groupBy(*keys).agg(((at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2).alias(alias))
+
+
+@F.pandas_udf(T.DoubleType())
+def r_p_values(r: pd.Series, n: pd.Series) -> pd.Series:
+    """P of each correlation; for rows of results."""
+    return pd.Series([None if pd.isna(a) else r_p_value(float(a), int(b)) for a, b in zip(r, n)], dtype="float64")
+
+
+def with_p_value(found: DataFrame) -> DataFrame:
+    """Results (n, r) with their two-sided p."""
+    return found.withColumn("p", r_p_values(F.col("r"), F.col("n")))

@@ -13,9 +13,12 @@ def top_rows(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> D
 
 
 def quota_fill(rows: DataFrame, targets: DataFrame, bin_column: str, order: list[Column]) -> DataFrame:
-    """The first target_n rows of each bin, in order."""
+    """The first target_n rows of each bin, in order; targets has a row a bin."""
+    # The greatest target limits bins before the shuffle.
+    most = targets.agg(F.max("target_n")).first()[0] or 0
     w = Window.partitionBy(bin_column).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).join(targets, bin_column).where(F.col("_rn") <= F.col("target_n")).drop("_rn", "target_n")
+    first = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(most))
+    return first.join(targets, bin_column).where(F.col("_rn") <= F.col("target_n")).drop("_rn", "target_n")
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -55,13 +58,13 @@ def running_total(rows: DataFrame, order: str, value: str, alias: str) -> DataFr
     """Running sum over a total order of distinct keys: sums by range bucket, then within buckets."""
     spark = rows.sparkSession
     buckets = max(1, min(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    if dict(rows.dtypes)[order] in ("string", "boolean"):
-        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn(alias, F.sum(value).over(w))
+    kind = dict(rows.dtypes)[order]
+    # Strings are dealt by their first seven bytes as a number, in their own order.
+    code = F.conv(F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long") if kind == "string" else F.col(order).cast("int") if kind == "boolean" else F.col(order)
     # At most 1000 numbers.
-    bounds = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10 * buckets) if buckets > 1 else F.array().cast("array<double>")).first()[0] or []
+    bounds = rows.agg(F.percentile_approx(code, [k / buckets for k in range(1, buckets)], 10 * buckets) if buckets > 1 else F.array().cast("array<double>")).first()[0] or []
     bounds = sorted(set(bounds))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < code)) if bounds else F.lit(0)
     cut = rows.withColumn("_bucket", bucket)
     sums = {r["_bucket"]: r["s"] for r in cut.groupBy("_bucket").agg(F.sum(value).alias("s")).collect()}
     before, at = [], 0
@@ -81,10 +84,10 @@ def rank_runs(stats: DataFrame, criteria: list[tuple[str, bool]]) -> DataFrame:
 
 
 def pilot(rows: DataFrame, keys: list[str], fame: str, tie: str, n: int) -> DataFrame:
-    """The n most and the n least famous of each subgroup."""
-    up, down = Window.partitionBy(*keys).orderBy(F.asc(fame), F.asc(tie)), Window.partitionBy(*keys).orderBy(F.desc(fame), F.asc(tie))
-    marked = rows.withColumns({"_a": F.row_number().over(up), "_d": F.row_number().over(down)})
-    return marked.where((F.col("_a") <= n) | (F.col("_d") <= n)).drop("_a", "_d")
+    """The n most and the n least famous of each subgroup; a row that is both is there once."""
+    least = top_rows(rows, keys, [F.asc(fame), F.asc(tie)], n)
+    # Each side is limited before the shuffle; what is left are a few rows a group.
+    return least.union(top_rows(rows, keys, [F.desc(fame), F.asc(tie)], n).exceptAll(least))
 
 
 def ordered_by_list(column: str, values: list[str], unknown: int = 99) -> Column:
@@ -93,8 +96,8 @@ def ordered_by_list(column: str, values: list[str], unknown: int = 99) -> Column
 
 
 def shuffled(options: Column, *seed: Column) -> Column:
-    """Answer options in an order that the seed fixes."""
-    keyed = F.transform(options, lambda o: F.struct(F.xxhash64(o, *seed).alias("k"), o.alias("o")))
+    """Answer options in an order that the seed fixes (by MD5, so other engines can repeat it)."""
+    keyed = F.transform(options, lambda o: F.struct(F.md5(F.concat_ws(":", o, *[s.cast("string") for s in seed])).alias("k"), o.alias("o")))
     return F.transform(F.array_sort(keyed), lambda x: x["o"])
 
 
@@ -103,9 +106,9 @@ def chunk(idx: Column, size: int) -> Column:
     return F.floor(idx / size).cast("int")
 
 
-def split_plan(spark, rows: int, prompts: int, runs: int, most: int) -> DataFrame:
+def split_plan(spark, rows: int, prompts: int, runs: int, most: int, most_runs: int | None = None) -> DataFrame:
     """Shards of rows and chunks of runs so that no batch has more than most requests."""
-    runs_each = max(1, min(runs, most // max(1, prompts)))
+    runs_each = max(1, min(runs, most_runs or runs, most // max(1, prompts)))
     rows_each = max(1, most // (prompts * runs_each))
     shards, chunks = -(-rows // rows_each), -(-runs // runs_each)
     plan = spark.range(shards * chunks).select((F.col("id") / chunks).cast("int").alias("shard"), (F.col("id") % chunks).cast("int").alias("chunk"))

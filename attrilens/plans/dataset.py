@@ -12,12 +12,22 @@ from .registry import CUSTOMERS, FAME, RESPONSES, customers, famous, query, resp
 _TENTHS = [k / 10 for k in range(11)]
 
 
-@query("""SELECT conv_id, turn, trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS norm, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS words FROM conversations
-WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND len(regexp_extract_all(text, '[A-Za-z0-9_]+')) BETWEEN 5 AND 30""")
+_SPOKEN = "spoken AS (SELECT conv_id, turn, role, CASE conv_id % 9 WHEN 0 THEN text || ' شكرا' WHEN 1 THEN text || ' Спасибо' WHEN 2 THEN 'Ça ' || text ELSE text END AS text FROM conversations)"
+
+
+def _spoken(spark, sf_dir):
+    """Turns of conversations, some with a word of Arabic, Cyrillic or accented Latin letters added."""
+    k = F.col("conv_id") % 9
+    text_ = F.when(k == 0, F.concat("text", F.lit(" شكرا"))).when(k == 1, F.concat("text", F.lit(" Спасибо"))).when(k == 2, F.concat(F.lit("Ça "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text_.alias("text"))
+
+
+@query(f"""WITH {_SPOKEN} SELECT conv_id, turn, trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS norm, len(regexp_extract_all(text, '[\\pL\\pN_]+')) AS words FROM spoken
+WHERE trim(text) <> '' AND NOT regexp_matches(text, '[{text.ARABIC}]') AND NOT regexp_matches(regexp_replace(text, '[{text.LATIN}]', '', 'g'), '\\pL') AND len(regexp_extract_all(text, '[\\pL\\pN_]+')) BETWEEN 5 AND 30""")
 def clean_quotes(spark, sf_dir):
-    """P3, P4, P5, X1 over ASCII text, where word classes agree between engines."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("white").alias("race"), F.lit("male").alias("gender"), "role")
-    kept = filters.clean_quotes(rows.where(~F.col("text").rlike(r"[^\x00-\x7F]")), author="role", quote="text", race="race", gender="gender")
+    """P3, P4, P5, X1"""
+    rows = _spoken(spark, sf_dir).withColumns({"race": F.lit("white"), "gender": F.lit("male")})
+    kept = filters.clean_quotes(rows, author="role", quote="text", race="race", gender="gender")
     return kept.select("conv_id", "turn", text.normalize_text(F.col("text")).alias("norm"), text.count_words(F.col("text")).alias("words"))
 
 
@@ -90,7 +100,7 @@ _EDGES = f"{FAME}, edges AS (SELECT quantile_cont(log10_hits, [0.0, 0.1, 0.2, 0.
 
 def _binned(spark, sf_dir):
     f = famous(spark, sf_dir)
-    edges = statistics.exact_quantiles(f, "log10_hits", _TENTHS)
+    edges = aggregates.rising(statistics.exact_quantiles(f, "log10_hits", _TENTHS))
     return f.withColumn("decile", maths.decile_right_closed(F.col("log10_hits"), F.array(*[F.lit(x) for x in edges])))
 
 
@@ -159,32 +169,53 @@ def subgroup_balance(spark, sf_dir):
     return rounded(aggregates.quartet(famous(spark, sf_dir), ["grp"], ["log10_hits", "n"]))
 
 
-@query(f"WITH {FAME} SELECT count(*) AS n, round(corr(log10_hits, n), 6) AS r FROM famous")
+def _p_value(found: str) -> str:
+    """SQL for the two-sided p of (scope, n, r): Simpson's rule over Student's density from 0 to t."""
+    return f"""found AS ({found}), tested AS (SELECT *, CAST(n AS DOUBLE) - 2 AS v, least(abs(r) * sqrt((n - 2) / greatest(1 - r * r, 1e-300)), 60.0) AS t FROM found WHERE n >= 3),
+sums AS (SELECT *, list_sum(list_transform(range(2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END * pow(1 + pow(t * k / 2000.0, 2) / v, -(v + 1) / 2))) AS area FROM tested)
+SELECT scope, n, round(r, 6) AS r, round(greatest(1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * t / 6000.0 * area, 0.0), 5) AS p FROM sums"""
+
+
+def _with_p(found):
+    return statistics.with_p_value(found).select("scope", "n", F.round("r", 6).alias("r"), F.round("p", 5).alias("p"))
+
+
+#: A measure that is nearly independent of fame, so that p values are not all 0.
+_OTHER = "(author * 7919) % 1009"
+
+
+@query(f"WITH {FAME}, " + _p_value(f"SELECT 'fame' AS scope, count(*) AS n, corr(log10_hits, n) AS r FROM famous UNION ALL SELECT 'other', count(*), corr(log10_hits, {_OTHER}) FROM famous"))
 def pearson(spark, sf_dir):
-    """A9"""
-    return rounded(statistics.pearson(famous(spark, sf_dir), "log10_hits", "n"))
+    """A9, with p."""
+    f = famous(spark, sf_dir).withColumn("other", F.expr(_OTHER).cast("double"))
+    found = statistics.pearson(f, "log10_hits", "n").withColumn("scope", F.lit("fame")).unionByName(statistics.pearson(f, "log10_hits", "other").withColumn("scope", F.lit("other")))
+    return _with_p(found)
 
 
-@query(f"WITH {FAME}, ranked AS (SELECT rank() OVER (ORDER BY hits) + (count(*) OVER (PARTITION BY hits) - 1) / 2.0 AS a, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS b FROM famous) SELECT count(*) AS n, round(corr(a, b), 6) AS r FROM ranked")
+@query(f"WITH {FAME}, ranked AS (SELECT rank() OVER (ORDER BY hits) + (count(*) OVER (PARTITION BY hits) - 1) / 2.0 AS a, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS b, rank() OVER (ORDER BY {_OTHER}) + (count(*) OVER (PARTITION BY {_OTHER}) - 1) / 2.0 AS c FROM famous), " + _p_value("SELECT 'fame' AS scope, count(*) AS n, corr(a, b) AS r FROM ranked UNION ALL SELECT 'other', count(*), corr(a, c) FROM ranked"))
 def spearman(spark, sf_dir):
-    """A10, W9"""
-    return rounded(statistics.spearman(famous(spark, sf_dir), "hits", "n"))
+    """A10, W9, with p."""
+    f = famous(spark, sf_dir).withColumn("other", F.expr(_OTHER))
+    found = statistics.spearman(f, "hits", "n").withColumn("scope", F.lit("fame")).unionByName(statistics.spearman(f, "hits", "other").withColumn("scope", F.lit("other")))
+    return _with_p(found)
 
 
-@query(f"WITH {FAME}, scopes AS (SELECT 'all_quotes' AS scope, log10_hits, n FROM famous UNION ALL SELECT 'all_authors', arg_min(log10_hits, author), arg_min(n, author) FROM famous GROUP BY author UNION ALL SELECT grp, log10_hits, n FROM famous) SELECT scope, count(*) AS n, round(corr(log10_hits, n), 6) AS r FROM scopes GROUP BY scope")
+@query(f"WITH {FAME}, scopes AS (SELECT 'all_quotes' AS scope, log10_hits, n FROM famous UNION ALL SELECT 'all_authors', arg_min(log10_hits, author), arg_min(n, author) FROM famous GROUP BY author UNION ALL SELECT grp, log10_hits, n FROM famous), " + _p_value("SELECT scope, count(*) AS n, corr(log10_hits, n) AS r FROM scopes GROUP BY scope"))
 def correlation_scopes(spark, sf_dir):
-    """N9"""
+    """R and p in each scope."""
     f = famous(spark, sf_dir).withColumn("n", F.col("n").cast("double"))
-    return rounded(statistics.correlation_scopes(f, "log10_hits", "n", "author", "grp", "author"))
+    return _with_p(statistics.correlation_scopes(f, "log10_hits", "n", "author", "grp", "author"))
 
 
 @query(f"""WITH {FAME}, pair AS (SELECT hits AS x, race = 'building' AS a FROM famous WHERE race IN ('building', 'machinery')),
-steps AS (SELECT x, sum(CASE WHEN a THEN 1.0 / (SELECT count(*) FROM pair WHERE a) ELSE -1.0 / (SELECT count(*) FROM pair WHERE NOT a) END) AS s FROM pair GROUP BY x), gaps AS (SELECT sum(s) OVER (ORDER BY x) AS g FROM steps)
-SELECT round(max(abs(g)), 6) AS ks, round((SELECT avg(x) FROM pair WHERE a) - (SELECT avg(x) FROM pair WHERE NOT a), 2) AS mean_difference FROM gaps""")
+steps AS (SELECT x, sum(CASE WHEN a THEN 1.0 / (SELECT count(*) FROM pair WHERE a) ELSE -1.0 / (SELECT count(*) FROM pair WHERE NOT a) END) AS s FROM pair GROUP BY x), gaps AS (SELECT sum(s) OVER (ORDER BY x) AS g FROM steps),
+d AS (SELECT max(abs(g)) AS ks, (SELECT count(*) FROM pair WHERE a) AS na, (SELECT count(*) FROM pair WHERE NOT a) AS nb FROM gaps), e AS (SELECT *, sqrt(na * nb / (na + nb)) AS e FROM d), t AS (SELECT *, ks * (e + 0.12 + 0.11 / e) AS t FROM e)
+SELECT round(ks, 6) AS ks, round((SELECT avg(x) FROM pair WHERE a) - (SELECT avg(x) FROM pair WHERE NOT a), 2) AS mean_difference, na AS n_a, nb AS n_b, round(CASE WHEN t > 0.2 THEN greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * t * t))))) ELSE 1.0 END, 6) AS p FROM t""")
 def ks_distance(spark, sf_dir):
-    """A11"""
+    """A11, with the asymptotic p."""
     found = statistics.ks_statistic(famous(spark, sf_dir), "hits", "race", "building", "machinery")
-    return found.select(F.round("ks", 6).alias("ks"), F.round("mean_difference", 2).alias("mean_difference"))
+    p = statistics.ks_p_value(F.col("ks"), F.col("n_a"), F.col("n_b"))
+    return found.select(F.round("ks", 6).alias("ks"), F.round("mean_difference", 2).alias("mean_difference"), "n_a", "n_b", F.round(p, 6).alias("p"))
 
 
 _TWO = f"{_EDGES}, q AS (SELECT quantile_cont(n, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM famous), two AS (SELECT b.author, b.decile + 1 AS a, len(list_filter(q.e, lambda x: x < n)) + 1 AS b FROM binned b, q)"
@@ -231,7 +262,7 @@ def run_ranks(spark, sf_dir):
 
 @query()
 def matched_groups(spark, sf_dir):
-    """20 seeded runs; sequential within a run, so rows only. Invariants are tested."""
+    """20 seeded runs; sequential within a run, so rows only. Tested against a plain matcher."""
     f = famous(spark, sf_dir).select("grp", "author", "log10_hits", F.col("n").alias("count"))
     return matching.matched_runs(f, "building_female", ["building_male", "machinery_male", "machinery_female"], runs=20)
 
@@ -245,7 +276,7 @@ def matcher_runs(spark, sf_dir):
 
 @query("SELECT o_custkey AS author, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS hits FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey")
 def latest_hits(spark, sf_dir):
-    """Successful rows, the last of each author."""
+    """The last of each author."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("author"), F.struct("o_orderdate", "o_orderkey").alias("ord"), F.col("o_orderkey").alias("hits"))
     return windows.keep_last(o, ["author"], "ord").select("author", "hits")
 
@@ -268,7 +299,7 @@ def fame_lookup(spark, sf_dir):
 
 @query("SELECT DISTINCT trim(c_mktsegment) AS c_mktsegment, min(c_custkey) AS first_seen FROM customer WHERE trim(c_mktsegment) <> '' GROUP BY 1")
 def unique_authors(spark, sf_dir):
-    """S6, S7, U6"""
+    """S7"""
     c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
     return scans.unique_first_seen(c, "c_mktsegment", "c_custkey")
 
@@ -314,11 +345,24 @@ def row_difference(spark, sf_dir):
     return sets.difference(d, d.where("lang = 'en'"))
 
 
-@query("SELECT c_custkey, CAST(floor(ln(c_custkey) / ln(2) + 1e-9) AS INTEGER) AS octave, round(sqrt(c_custkey / 7.0 / 3), 6) AS rms FROM customer WHERE c_custkey > 0")
+@query("""SELECT c_custkey, len(bin(c_custkey)) - 1 AS octave, round(sqrt(c_custkey / 7.0 / 3), 6) AS rms, round(CASE WHEN c_custkey % 2 = 0 THEN 2.0 ELSE sqrt(c_custkey) END, 6) AS std,
+round(CASE WHEN c_custkey % 3 = 0 THEN 0.5 ELSE CASE WHEN c_custkey % 2 = 0 THEN 2.0 ELSE sqrt(c_custkey) END / nullif(sqrt(c_custkey % 5), 0) END, 6) AS se FROM customer WHERE c_custkey > 0""")
 def math_scalars(spark, sf_dir):
-    """M3, M11"""
+    """Octaves, errors filled in from variance and std, and rms."""
+    k = F.col("c_custkey")
+    std, se = maths.filled_errors(F.when(k % 2 == 0, 2.0), k.cast("double"), F.when(k % 3 == 0, 0.5), k % 5)
     c = table(spark, sf_dir, "customer").where("c_custkey > 0")
-    return rounded(c.select("c_custkey", F.floor(F.log2(F.col("c_custkey").cast("double")) + 1e-9).cast("int").alias("octave"), maths.rms(F.col("c_custkey").cast("double"), F.lit(7.0), F.lit(3.0)).alias("rms")))
+    return rounded(c.select("c_custkey", maths.quote_bin(k).alias("octave"), maths.rms(k.cast("double"), F.lit(7.0), F.lit(3.0)).alias("rms"), std.alias("std"), se.alias("se")))
+
+
+_WANTED = "wanted AS (SELECT c_custkey AS o_custkey, c_custkey % 4 AS to_sample FROM customer)"
+
+
+@query(f"WITH {_WANTED}, r AS (SELECT o.o_custkey, o_orderkey, to_sample, row_number() OVER (PARTITION BY o.o_custkey ORDER BY md5(o_orderkey || ':42'), o_orderkey) AS rn FROM orders o JOIN wanted w ON o.o_custkey = w.o_custkey) SELECT o_custkey, o_orderkey FROM r WHERE rn <= to_sample")
+def sampled_quotes(spark, sf_dir):
+    """A seeded choice of each matched author's quotes."""
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("author"), (F.col("c_custkey") % 4).alias("to_sample"))
+    return matching.sample_quotes(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), wanted, "o_custkey", "o_orderkey")
 
 
 @query("SELECT author, coalesce(n, 0) AS n, counted IS NOT NULL AS counted FROM (SELECT c_custkey AS author, o.n AS n, o.n AS counted FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o ON c_custkey = o_custkey)")

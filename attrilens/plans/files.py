@@ -38,19 +38,31 @@ def complete_rows(spark, sf_dir):
     return filters.drop_incomplete(d, ["lang", "source"]).select("doc_id", "lang")
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' ') AS form FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT conv_id, turn, trim(trim(regexp_replace(lower(strip_accents(text)), '[^\\pL\\pN_]+', ' ', 'g'), ' ') || ' unicode n', ' ') AS form FROM conversations")
 def match_forms(spark, sf_dir):
-    """X4 over ASCII text."""
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return c.select("conv_id", "turn", text.normalize_for_match(F.col("text")).alias("form"))
+    """Accents dropped, full-width letters in their plain form."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", text.normalize_for_match(F.concat("text", F.lit(" Ünïcode Ｎ°"))).alias("form"))
 
 
-@query("SELECT doc_id, source AS author, lang AS race FROM documents WHERE doc_id < 50")
-def resolved_columns(spark, sf_dir):
-    """Canonical names from the first populated candidate; the smoke rows of a dataset scan."""
+_NAMED = "named AS (SELECT doc_id, source AS author, lang AS race FROM documents)"
+
+
+def _named(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(" ").alias("author_raw"), F.col("source").alias("author_clean"), F.col("lang").alias("race_ethnicity"))
-    found = scans.resolved(d, {"author": ["author_raw", "author_clean"], "race": ["race_ethnicity", "race"]})
-    return scans.dataset(found, "doc_id", 50).select("doc_id", "author", "race")
+    return scans.resolved(d, {"author": ["author_raw", "author_clean"], "race": ["race_ethnicity", "race"]})
+
+
+@query(f"WITH {_NAMED} SELECT doc_id, author, race FROM named")
+def resolved_columns(spark, sf_dir):
+    """Canonical names from the first populated candidate."""
+    return _named(spark, sf_dir).select("doc_id", "author", "race")
+
+
+@query(f"WITH {_NAMED} SELECT CAST(doc_id AS VARCHAR) AS quote_id, author, race FROM named WHERE doc_id < 50")
+def smoke_rows(spark, sf_dir):
+    """The first 50 rows of a dataset scan, which is the feature; ids are positions where there are none."""
+    return scans.dataset(_named(spark, sf_dir), "doc_id", 50).select("quote_id", "author", "race")
 
 
 @query("SELECT 'req_' || event_id AS custom_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS llm_output, CASE WHEN event_id % 3 = 0 THEN 'expired' ELSE '' END AS error FROM events")
@@ -78,7 +90,7 @@ def cache_keys(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name || ', \"' || c_mktsegment || '\"' AS quoted, c_acctbal FROM customer")
 def csv_round_trip(spark, sf_dir):
-    """Fields with commas and quotes survive a CSV line."""
+    """Fields with commas and quotes survive a CSV line."""
     options = {"escape": '"', "quote": '"'}
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("quoted"), "c_acctbal")
     return c.select(F.from_csv(F.to_csv(F.struct(*c.columns), options), "c_custkey bigint, quoted string, c_acctbal double", options).alias("x")).select("x.*")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import maths, nested, text
-from ..operators import filters, joins, requests, retrieval, windows
-from ..sources import providers, scans, sinks
+from ..operators import filters, joins, mentions, requests, retrieval, windows
+from ..sources import providers, scans, scratch, sinks
 from .registry import CUSTOMERS, customers, query, rounded, table
 
 _UNIT = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -70,13 +72,23 @@ def rendered_prompts(spark, sf_dir):
     return requests.with_prompt(_manifest(spark, sf_dir)).select("request_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query(f"WITH {_MANIFEST} SELECT request_id, 'm' AS model, {_CASE} = {_CASE} AS same, 2 AS n_messages FROM manifest")
+@query(f"WITH {_MANIFEST} SELECT request_id, provider, sha256({_CASE}) AS prompt_sha256, CASE WHEN provider <> 'contents' THEN 'm' END AS model, provider <> 'contents' AS told FROM manifest, (VALUES ('chat'), ('responses'), ('messages'), ('contents')) b(provider)")
 def request_bodies(spark, sf_dir):
-    """The body's prompt read back from the JSON line equals the prompt."""
-    lines = requests.with_prompt(_manifest(spark, sf_dir))
-    body = requests.batch_body(lines, "chat", "m").select(F.from_json("value", "custom_id string, body struct<model:string,messages:array<struct<role:string,content:string>>>").alias("x"))
-    back = body.select(F.col("x.custom_id").alias("request_id"), F.col("x.body.model").alias("model"), F.col("x.body.messages").alias("m"))
-    return back.join(lines.select("request_id", "prompt"), "request_id").select("request_id", "model", (F.col("m")[1]["content"] == F.col("prompt")).alias("same"), F.size("m").alias("n_messages"))
+    """Request lines of four providers through text files; the prompt and the system message read back from each."""
+    rows, frames = requests.with_prompt(_manifest(spark, sf_dir)), []
+    places = {
+        "chat": ("custom_id", "body.messages[1].content", "body.model", "body.messages[0].content"),
+        "responses": ("custom_id", "body.input", "body.model", "body.instructions"),
+        "messages": ("custom_id", "params.messages[0].content", "params.model", "params.system"),
+        "contents": ("key", "request.contents[0].parts[0].text", "none", "none"),
+    }
+    for provider, (key, prompt, model, told) in places.items():
+        path = scratch.folder(spark)
+        sinks.write_text(requests.batch_body(rows, provider, "m"), path)
+        get = lambda p: F.get_json_object("value", f"$.{p}")
+        line = spark.read.text(path)
+        frames.append(line.select(get(key).alias("request_id"), F.lit(provider).alias("provider"), F.sha2(get(prompt), 256).alias("prompt_sha256"), get(model).alias("model"), F.coalesce(get(told) == requests.SYSTEM, F.lit(False)).alias("told")))
+    return reduce(lambda a, b: a.union(b), frames)
 
 
 def _lines(spark, sf_dir):
@@ -104,7 +116,7 @@ def indexed_results(spark, sf_dir):
 
 @query("SELECT event_id, event_type AS content, event_type || '!' AS candidate FROM events")
 def message_contents(spark, sf_dir):
-    """D3, D4, N5"""
+    """D3, D4"""
     e = table(spark, sf_dir, "events")
     chat = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("event_type").alias("content")).alias("message"))).alias("choices")))
     parts = F.array(F.struct(F.col("event_type").alias("text")), F.struct(F.lit("!").alias("text")))
@@ -134,7 +146,7 @@ def knowledge_claims(spark, sf_dir):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, len(string_split(event_type, '_')) AS tokens FROM events")
 def event_properties(spark, sf_dir):
-    """D8, S12"""
+    """D8"""
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), nested.n_tokens(F.split("event_type", "_")).alias("tokens"))
 
 
@@ -217,17 +229,18 @@ def text_scalars(spark, sf_dir):
 
 @query("SELECT source, lang = 'en' AS need_race, lang = 'de' AS need_gender FROM (SELECT source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source)")
 def label_needs(spark, sf_dir):
-    """P16, N11"""
+    """P16"""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("lang") == "en", "LLM").otherwise("x").alias("race_source"), F.when(F.col("lang") == "de", "llm").otherwise("y").alias("gender_source"))
     return filters.needs_query(d, "source", "doc_id")
 
 
-@query("SELECT CAST(s AS INTEGER) AS shard, CAST(c AS INTEGER) AS chunk, least(1000 - s * 200, 200) AS n_rows, least(7 - c * 5, 5) AS n_runs, least(1000 - s * 200, 200) * least(7 - c * 5, 5) * 3 AS requests FROM range(5) a(s), range(2) b(c)")
+@query("""SELECT CAST(s AS INTEGER) AS shard, CAST(c AS INTEGER) AS chunk, s * 57 AS first_row, least(n - s * 57, 57) AS n_rows, c * 7 + 1 AS first_run, least(10 - c * 7, 7) AS n_runs, least(n - s * 57, 57) * least(10 - c * 7, 7) * 3 AS requests
+FROM (SELECT count(*) AS n FROM orders), range(100000) a(s), range(2) b(c) WHERE s * 57 < n""")
 def split_plan(spark, sf_dir):
-    """1000 rows, 3 prompts, 7 runs, shards of 200 rows and chunks of 5 runs."""
-    plan = spark.range(10).select((F.col("id") / 2).cast("int").alias("shard"), (F.col("id") % 2).cast("int").alias("chunk"))
-    n_rows, n_runs = F.least(F.lit(1000) - F.col("shard") * 200, F.lit(200)), F.least(F.lit(7) - F.col("chunk") * 5, F.lit(5))
-    return plan.select("shard", "chunk", n_rows.alias("n_rows"), n_runs.alias("n_runs"), (n_rows * n_runs * 3).alias("requests"))
+    """Shards of rows and chunks of runs for all orders, 3 prompts and 10 runs, with at most 1200 requests a batch."""
+    rows = table(spark, sf_dir, "orders").count()
+    plan = windows.split_plan(spark, rows, 3, 10, 1200, 7)
+    return plan.select(*[F.col(c).cast("int" if c in ("shard", "chunk") else "bigint").alias(c) for c in plan.columns])
 
 
 @query("SELECT c_custkey, CAST(floor((c_custkey - 1) / 128) AS INTEGER) AS chunk FROM customer WHERE c_custkey - 1 BETWEEN 9 AND 999")
@@ -237,29 +250,52 @@ def row_slices(spark, sf_dir):
     return filters.row_range(c, "idx", 10, 1000).select("c_custkey", windows.chunk(F.col("idx"), 128).alias("chunk"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
-    """P11, O6, a sampling operator: hash orders differ between engines, so rows only."""
+    """P11, O6, a sampling operator."""
     return filters.seeded_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
 
 
-@query()
+@query(f"WITH {CUSTOMERS} SELECT author, list_transform(list_sort(list_transform(['white', 'black', 'asian', 'latino'], lambda o: md5(o || ':' || author) || o)), lambda x: x[33:]) AS options FROM customers")
 def shuffled_options(spark, sf_dir):
     """Seeded order of answer options."""
     options = F.array(*[F.lit(x) for x in ("white", "black", "asian", "latino")])
     return customers(spark, sf_dir).select("author", windows.shuffled(options, F.col("author")).alias("options"))
 
 
+_SPOKEN = """scored AS (SELECT c_custkey, 'customer ' || right(c_name, 9) AS form, CASE c_custkey % 6 WHEN 0 THEN 'correct' WHEN 1 THEN 'wrong' WHEN 2 THEN 'none' WHEN 3 THEN 'correct' WHEN 4 THEN 'none' ELSE 'correct' END AS outcome FROM customer)"""
+
+
+@query(f"WITH {_SPOKEN} SELECT c_custkey, outcome = 'correct' AS correct, outcome <> 'none' AS any_name, c_custkey % 6 IN (2, 4) AS no_answer, outcome FROM scored")
+def scored_responses(spark, sf_dir):
+    """Responses that name their author in order, reversed or by the last name, name another, or none."""
+    k, name = F.col("c_custkey") % 6, F.col("c_name")
+    turned = F.concat(F.substring_index(name, "#", -1), F.lit(", "), F.substring_index(name, "#", 1))
+    said = F.when(k == 0, F.concat(F.lit("It was written by "), name, F.lit("."))).when(k == 1, "I think John Smith wrote it.").when(k == 2, "I don't know.").when(k == 3, F.concat(F.lit("That is "), turned)).when(k == 4, "").otherwise(F.concat(F.lit("Surely "), F.substring_index(name, "#", -1), F.lit("!")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.translate("c_name", "#", " ").alias("author"), said.alias("llm_output"))
+    return mentions.score_responses(rows, "author", "llm_output").select("c_custkey", "correct", "any_name", "no_answer", "outcome")
+
+
+@query("SELECT a.c_custkey, b.c_name AS mentioned FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + a.c_custkey % 30 AND b.c_nationkey = a.c_nationkey")
+def scoped_mentions(spark, sf_dir):
+    """T2 with a scope: a name counts only where its dictionary (here a nation's) has it."""
+    c = table(spark, sf_dir, "customer")
+    names = mentions.dictionary(c, "c_name", "c_custkey", ["c_nationkey"])
+    other = F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") + F.col("c_custkey") % 30).cast("string"), 9, "0"))
+    texts = c.select("c_custkey", "c_nationkey", F.concat(F.lit("Perhaps "), other, F.lit(" said so.")).alias("llm_output"))
+    return mentions.mentioned_author(texts, names, "c_custkey", "llm_output", ["c_nationkey"]).select("c_custkey", "mentioned")
+
+
 @query("SELECT c_custkey AS key, CASE WHEN o.n IS NOT NULL THEN 'seen ' || o.n END AS response FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o ON c_custkey = o_custkey")
 def replayed_responses(spark, sf_dir):
-    """A service replayed from a table."""
+    """A service replayed from a table."""
     recorded = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("key")).agg(F.concat(F.lit("seen "), F.count(F.lit(1)).cast("string")).alias("response"))
     return providers.Replay(recorded).ask(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), "key")
 
 
 @query("SELECT sha256(text) AS hash FROM (SELECT DISTINCT trim(text) AS text FROM conversations) WHERE sha256(text) NOT IN (SELECT sha256(trim(text)) FROM conversations WHERE role = 'user')")
 def missing_vectors(spark, sf_dir):
-    """Texts whose hash has no vector yet."""
+    """Texts whose hash has no vector yet."""
     c = table(spark, sf_dir, "conversations").select("text", "role")
     cache = c.where("role = 'user'").select(text.text_hash(F.col("text")).alias("hash"))
     return providers.missing_vectors(c.select("text"), cache).select("hash")

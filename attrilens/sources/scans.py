@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import nested, text
 
@@ -15,22 +14,33 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def csv_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def csv_tolerant(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """S3: rows that do not fit the schema are left out."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED").schema(schema).csv(path)
+    return spark.read.option("header", header).option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED").schema(schema).csv(path)
 
 
 def dirty_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line) with NUL bytes dropped and bad UTF-8 replaced."""
-    files = spark.read.format("binaryFile").load(path)
-    clean = F.expr("make_valid_utf8(cast(content as string))")
-    return files.select("path", F.posexplode(F.split(F.replace(clean, F.lit("\x00"), F.lit("")), "\r?\n")).alias("line_no", "line"))
+    """(path, line_no, line) with NUL bytes dropped and bad UTF-8 replaced; line_no orders the lines of a file.
+
+    Files are read by line, so large ones split.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    clean = F.replace(F.expr("make_valid_utf8(value)"), F.lit("\x00"), F.lit(""))
+    return lines.select(F.col("file_path").alias("path"), F.struct(F.col("file_block_start").alias("block"), "n").alias("line_no"), clean.alias("line"))
 
 
 def with_index(df: DataFrame, name: str = "_idx") -> DataFrame:
-    """An explicit row order in file order, from 0."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """An explicit row order in file order, from 0: rows are numbered within partitions, whose sizes are counted first."""
+    marked = df.withColumn(name, F.monotonically_increasing_id())
+    place = F.shiftright(name, 33).cast("int")
+    # One number a partition.
+    sizes = {r["p"]: r["n"] for r in marked.groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, at = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(at)
+        at += sizes.get(p, 0)
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in before or [0]]), place)
+    return marked.withColumn(name, start + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)))
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:
@@ -168,11 +178,6 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
-def blank_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The null marker of CSV stages."""
-    return df.select(*[F.when(F.col(c) != "", F.col(c)).alias(c) if t == "string" and (not columns or c in columns) else F.col(c) for c, t in df.dtypes])
-
-
 def as_written(c: Column) -> Column:
     """Null as blank, for CSV sinks."""
     return F.coalesce(c.cast("string"), F.lit(""))

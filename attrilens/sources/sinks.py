@@ -48,8 +48,13 @@ def request_lines(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(F.to_json(F.struct(*(columns or df.columns))).alias("value"))
 
 
+def write_text(lines: DataFrame, path: str) -> None:
+    """K4: request lines (column value) as a text file."""
+    lines.select("value").write.mode("overwrite").text(path)
+
+
 def write_lines(df: DataFrame, path: str) -> None:
-    request_lines(df).write.mode("overwrite").text(path)
+    write_text(request_lines(df), path)
 
 
 def write_json(spark: SparkSession, path: str, payload: dict) -> None:
@@ -73,8 +78,10 @@ def fingerprint(paths: DataFrame, version: str) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, percents: tuple[str, ...] = (), limit: int = 2000) -> str:
-    """K9: a small report table as Markdown, rendered on the driver."""
-    rows = df.limit(limit).collect()
+    """K9: a report table of at most limit rows as Markdown, rendered on the driver; larger tables are an error."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report table has at most {limit} rows")
     cell = lambda r, c: format_percent(r[c]) if c in percents else "" if r[c] is None else str(r[c])
     head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(head + ["| " + " | ".join(cell(r, c) for c in df.columns) + " |" for r in rows])

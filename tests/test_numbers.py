@@ -19,7 +19,7 @@ def test_right_closed_deciles(spark):
     edges = [values[0], *q, values[-1]]
     want = [next(i - 1 for i in range(1, 11) if v <= edges[i] or i == 10) for v in values]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got_edges = df.agg(aggregates.inclusive_edges(F.col("x"))).first()[0]
+    got_edges = aggregates.rising(statistics.exact_quantiles(df, "x", [k / 10 for k in range(11)]))
     assert np.allclose(got_edges, edges)
     got = [r[0] for r in df.select(maths.decile_right_closed(F.col("x"), F.array(*[F.lit(e) for e in edges]))).collect()]
     assert got == want
@@ -41,7 +41,7 @@ def test_quantile_bins_equal_pandas(spark, values):
     if len(set(values)) < 2:
         return
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, x double")
-    edges = df.agg(statistics.quantile_edges(F.col("x"))).first()[0]
+    edges = statistics.exact_quantiles(df, "x", [k / 10 for k in range(11)])
     got = [r[0] for r in df.orderBy("i").select(maths.quantile_bin(F.col("x"), F.array(*[F.lit(e) for e in edges]))).collect()]
     # Edges of eleven values are the values, so pandas cuts at whole numbers.
     cuts = sorted(set(values))
@@ -77,10 +77,11 @@ def test_correlations(spark):
     assert statistics.pearson(df.limit(2), "x", "y").first()["r"] is None
 
 
-def test_p_values():
+def test_p_values(spark):
+    p = spark.range(1).select(statistics.ks_p_value(F.lit(0.5), F.lit(50), F.lit(50))).first()[0]
+    assert 0 < p < 1e-4
     assert math.isclose(statistics.r_p_value(0.5, 12), 0.0978, abs_tol=2e-4)
     assert math.isclose(statistics.incomplete_beta(2, 3, 0.4), 0.5248, abs_tol=1e-4)
-    assert statistics.ks_p_value(0.5, 50, 50) < 1e-4
 
 
 def test_ks(spark):
@@ -115,6 +116,76 @@ def test_matching_invariants(spark):
     assert windows.rank_runs(stats, matching.CRITERIA).count() == 3
 
 
+def plain_matches(reference, others, limit=1.0):
+    """The matcher as it is told: remaining authors in order of fame, the nearest from the target on by octave, else the last."""
+    left = {g: sorted(rows) for g, rows in others.items()}
+    offsets, out, total = dict.fromkeys(others, 0.0), [], 0.0
+    for row in reference:
+        picked = {}
+        for g, rows in left.items():
+            if not rows:
+                return out, total
+            above = [r for r in rows if r[0] >= row[0] - offsets[g]]
+            tiers = [[r for r in above if int(math.log2(r[1])) == b] for b in range(int(math.log2(row[1])), -1, -1)]
+            picked[g] = next((t[0] for t in tiers if t), above[0] if above else rows[-1])
+        error = sum((p[0] - row[0]) ** 2 for p in picked.values())
+        if error < len(others) * limit:
+            out.append((row, picked, min([row[1], *(p[1] for p in picked.values())])))
+            total += error
+            for g, p in picked.items():
+                offsets[g] += p[0] - row[0]
+                left[g].remove(p)
+    return out, total
+
+
+def test_matching_equals_a_plain_matcher():
+    rng = np.random.default_rng(4)
+    for limit in (0.05, 1.0, 9.0):
+        for _ in range(30):
+            make = lambda g, n: [(float(rng.integers(20, 60)) / 10, int(rng.integers(1, 40)), f"{g}{i}") for i in range(n)]
+            reference, others = make("r", 30), {g: make(g, int(rng.integers(1, 40))) for g in "abc"}
+            assert matching.match_once(reference, others, limit) == plain_matches(reference, others, limit)
+
+
+def test_run_metrics(spark):
+    """A35, M11 of each run, recomputed from its matches."""
+    got = matching.matched_runs(authors(spark), "r", ["a", "b"], runs=3)
+    runs = got.toPandas()
+    for r in matching.run_stats(got, "r").collect():
+        run = runs[runs.run_id == r["run_id"]]
+        ref = run[run.grp == "r"].set_index("match_idx")
+        fame = run.groupby("grp").log10_hits.mean()
+        gaps = [(x.log10_hits - ref.log10_hits[x.match_idx]) ** 2 for x in run[run.grp != "r"].itertuples()]
+        assert r["authors_per_group"] == len(ref) and r["quotes_per_group"] == ref.to_sample.sum()
+        assert math.isclose(r["avg_fame"], fame.mean()) and math.isclose(r["fame_range"], fame.max() - fame.min())
+        assert math.isclose(r["rms_error"], math.sqrt(np.mean(gaps)))
+
+
+def test_group_medians(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.choice(list("abc"), 301), "x": rng.integers(0, 40, 301).astype(float)})
+    got = {r["g"]: r["m"] for r in statistics.group_medians(spark.createDataFrame(pdf), ["g"], "x", "m").collect()}
+    assert got == pdf.groupby("g").x.median().to_dict()
+
+
+def test_running_total_of_strings(spark):
+    rng = np.random.default_rng(9)
+    keys = sorted({"".join(rng.choice(list("abé\u00ff日"), rng.integers(0, 12))) for _ in range(200)}, key=lambda x: x.encode())
+    df = spark.createDataFrame([(k, i + 1) for i, k in enumerate(keys)], "k string, v long")
+    got = {r["k"]: r["t"] for r in windows.running_total(df, "k", "v", "t").collect()}
+    assert got == dict(zip(keys, np.cumsum(np.arange(1, len(keys) + 1)).tolist()))
+
+
+def test_pilot_and_index(spark):
+    df = spark.createDataFrame([("g", float(v), i) for i, v in enumerate([5, 1, 3, 3, 2, 9])] + [("h", 1.0, 9)], "g string, f double, t int")
+    got = sorted((r["g"], r["t"]) for r in windows.pilot(df, ["g"], "f", "t", 2).collect())
+    assert got == [("g", 0), ("g", 1), ("g", 4), ("g", 5), ("h", 9)]
+    from attrilens.sources import scans
+
+    rows = scans.with_index(spark.range(0, 1000, 1, 7), "n").collect()
+    assert sorted(r["n"] for r in rows) == list(range(1000)) and all(r["n"] == r["id"] for r in rows)
+
+
 def test_matching_bin_fallback():
     found, _ = matching.match_once([(3.0, 8, "r")], {"a": [(3.0, 1, "low"), (2.0, 8, "below")]}, 10)
     assert found[0][1]["a"][2] == "low"
