@@ -14,7 +14,8 @@ always stay.
    2**k words of a line alone (the largest power with both in the line), so only
    lines that share such a run with another distinct line go on. Shared runs set
    bits of a filter of bounded size, which every line is tested against where it
-   is read; its false hits cost work and change nothing.
+   is read; its false hits cost work and change nothing. More shared runs than a
+   filter holds are joined by key instead.
 3. Deletion neighbourhood: each such line emits the hash of every variant with
    one word removed (outside a shared run), with the place of the removal, and of
    itself whole. Lines that share a variant at one place differ in that word; a
@@ -47,6 +48,8 @@ from . import common
 MIN_WORDS, SHORT_WORDS = 8, 256
 #: Filters have this many bits for each key, and at most 2**28 (32 MB).
 BITS_PER_KEY, MOST_BITS = 64, 28
+#: Shared runs beyond 2**MOST_BITS / LEAST_BITS are met by a join, as a filter that is full would let every line through.
+LEAST_BITS = 8
 #: A place is id * 10**18 + (text hash below 10**9) * 10**9 + position, in 38 digits: it sorts by id, text and position.
 _DOC, _POS, _NULL_ID = 10**9, 10**9, -(10**19)
 _PLACE = "decimal(38,0)"
@@ -129,10 +132,31 @@ def _marks(lines: DataFrame, min_words: int) -> DataFrame:
     return sized.select(*_hashes(F.col("line")), _place(), F.when(bound, F.col("words")).alias("words"), F.coalesce(half, size).alias("run"), *[v.alias(k) for k, v in keys.items()])
 
 
-def _shared(rows: DataFrame) -> Filter:
-    """Filter of the keys (key, line) that two distinct lines have."""
+def _shared(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The keys (key, line) that two distinct lines have, and their number."""
     keys = common.stored(rows.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("key"))
-    return Filter(keys, keys.count())
+    return keys, keys.count()
+
+
+def _fits(n: int) -> bool:
+    """Whether a filter of bounded size has LEAST_BITS bits for each of n keys."""
+    return n * LEAST_BITS <= 1 << MOST_BITS
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame, n: int, tests: dict[str, list[str]]) -> DataFrame:
+    """rows with a flag for each test: whether one of its key columns is among the n keys.
+
+    Through a filter (false hits possible) while one has bits enough, else by a
+    join on the keys, spread over all tasks. Rows are told apart by h1 and h2.
+    """
+    if _fits(n):
+        held = Filter(keys, n)
+        any_of = lambda names: F.coalesce(F.greatest(*[F.coalesce(held.has(F.col(c)), F.lit(False)) for c in names]) if len(names) > 1 else held.has(F.col(names[0])), F.lit(False))
+        return _settled(rows, rows.columns, **{name: any_of(names) for name, names in tests.items()})
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("test"), F.col(c).alias("key")) for name, names in tests.items() for c in names])).alias("a")
+    hits = rows.select("h1", "h2", asked).select("h1", "h2", "a.test", "a.key").where("key is not null").distinct().join(keys, "key", "left_semi")
+    found = hits.groupBy("h1", "h2").agg(*[F.max(F.col("test") == name).alias(name) for name in tests])
+    return rows.join(found, ["h1", "h2"], "left").select(*rows.columns, *[F.coalesce(name, F.lit(False)).alias(name) for name in tests])
 
 
 def _near_candidates(lines: DataFrame, marks: DataFrame) -> DataFrame:
@@ -140,8 +164,7 @@ def _near_candidates(lines: DataFrame, marks: DataFrame) -> DataFrame:
     tested = marks.where("words is not null")
     keys = tested.select(F.col("h1").alias("line"), F.explode(F.filter(F.array("f1", "f2", "l1", "l2"), lambda k: k.isNotNull())).alias("key"))
     shared = _shared(keys)
-    either = lambda a, b: shared.has(F.col(a)) | F.coalesce(shared.has(F.col(b)), F.lit(False))
-    marked = _settled(tested, ["h1", "h2", "place", "words", "run"], by_first=either("f1", "f2"), by_last=either("l1", "l2")).where("by_first or by_last")
+    marked = _with_keys(tested.select("h1", "h2", "place", "words", "run", "f1", "f2", "l1", "l2"), *shared, {"by_first": ["f1", "f2"], "by_last": ["l1", "l2"]}).where("by_first or by_last")
     lo = F.when(F.col("by_last"), F.lit(0)).otherwise(F.col("run"))
     hi = F.when(F.col("by_first"), F.col("words") - 1).otherwise(F.col("words") - 1 - F.col("run"))
     found = common.stored(marked.select("h1", "h2", "place", "words", lo.alias("lo"), hi.alias("hi")).groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(c).alias(c) for c in ("words", "lo", "hi")]))
@@ -184,7 +207,7 @@ def _near(lines: DataFrame, short_words: int) -> DataFrame:
     whole = common.stored(short_whole.union(long_whole))
     wholes = Filter(whole.select(F.col("v").alias("key")), whole.count())
     at_place = F.xxhash64("v", "i")
-    replaced = _shared(removed.select(at_place.alias("key"), F.col("h1").alias("line")))
+    replaced = Filter(*_shared(removed.select(at_place.alias("key"), F.col("h1").alias("line"))))
     # Variants that another line shares, or that may be a line whole.
     kept = common.stored(removed.where(replaced.has(at_place) | wholes.has(F.col("v"))))
     least = kept.groupBy("v", "i").agg(F.min("place").alias("other"), F.max("place").alias("most")).where("other < most").drop("most")
@@ -223,24 +246,37 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.select((F.col("place") - F.col("pos")).cast(_PLACE).alias("doc"), F.col("pos").cast("int").alias("pos"), "near")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """docs with text reduced to the lines that stay, and _n_lines, _n_equal, _n_near counted."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: dict[str, str] | None = None, **parameters) -> DataFrame:
+    """docs with text reduced to the lines that stay; columns as in docs.
+
+    counts names columns to add: keys of it may be n_lines, n_equal and n_near
+    (lines, and those that go as equal or as near), values their names.
+    """
+    counts = counts or {}
+    if {x.lower() for x in counts.values()} & {c.lower() for c in docs.columns}:
+        raise ValueError("names of counts must be new")
     gone = dropped_lines(docs, id_col, text_col, **parameters)
     # One row a document; its size is bounded by the document's own lines.
     by_doc = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_gone"), F.count_if(~F.col("near")).alias("_equal"), F.count_if("near").alias("_near"))
     text = docs[text_col].cast("string")
     own = (_document(docs[id_col], text) * F.lit(_POS)).cast(_PLACE)
     joined = docs.join(by_doc, own == by_doc["_doc"], "left")
-    parts, places = F.split(text, "\n", -1), by_doc["_gone"]
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(places, i)), "\n")
-    counts = [F.coalesce(F.size(parts), F.lit(0)).alias("_n_lines"), F.coalesce(by_doc["_equal"], F.lit(0)).cast("long").alias("_n_equal"), F.coalesce(by_doc["_near"], F.lit(0)).cast("long").alias("_n_near")]
-    return joined.select(*[F.when(places.isNull(), text).otherwise(kept).alias(c) if c == text_col else docs[c] for c in docs.columns], *counts)
+    places = by_doc["_gone"]
+    n_lines = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0))
+    values = {"n_lines": n_lines, "n_equal": F.coalesce(by_doc["_equal"], F.lit(0)), "n_near": F.coalesce(by_doc["_near"], F.lit(0))}
+    # The generator cuts a text once, not for each line that stays.
+    part, row = F.struct(F.when(places.isNotNull(), F.split(text, "\n", -1)).alias("parts")), common.free_name("_row", [*docs.columns, *counts.values()])
+    cut = joined.select(*[docs[c] for c in docs.columns], *[values[k].cast("long").alias(v) for k, v in counts.items()], places.alias(f"{row}_gone"), F.explode(F.array(part)).alias(row))
+    parts, gone = F.col(f"{row}.parts"), F.col(f"{row}_gone")
+    # Set difference keeps the order of places and is linear in the lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    return cut.select(*[F.when(gone.isNull(), F.col(f"`{c}`").cast("string")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *counts.values())
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = dedup_lines(docs)
-    return found.select("doc_id", "text", F.greatest(F.col("_n_lines"), F.lit(0)).cast("long").alias("n_lines"), F.col("_n_equal").alias("n_equal"), F.col("_n_near").alias("n_near"))
+    return dedup_lines(docs, counts={k: k for k in ("n_lines", "n_equal", "n_near")})
 
 
 OP1_SQL = f"""

@@ -239,6 +239,7 @@ def test_secrets(spark):
     seeds = [
         f'x token = "{hexes}" y', "password:short", "PassWord : 'abcdefghijkl'", "api_key=ABCDEFGHIJKLMNOP apikey=ABCDEFGHIJKLMNOP", "AKIA" + "A1" * 8, "AKIAAKIA", f"ghp_{'a1B2' * 9}",
         "xoxb-1234567890-abcdef", "sk_live_" + "a1" * 9, "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.sig", "https://u:pw123@host", "token=api_key:abcdefghijklmnop", "é日 secret = abcdefghijklmn ſecret",
+        "-----BEGIN PRIVATE KEY-----\nMIIEvQ/+aB==\nxY9\n-----END PRIVATE KEY----- after", "-----BEGIN EC PRIVATE KEY-----\nMIIEvQ but no end",
         "npm_" + "x" * 36, "AIza" + "b" * 35, "Authorization: Bearer abcdefghijklmnopqrst", "deadbeefdeadbeef" * 3, "DEADBEEFDEADBEEF",
     ]
     texts = [" ".join(rng.sample(seeds, rng.randint(0, 6))) for _ in range(150)] + seeds + ["", "none here"]
