@@ -38,18 +38,22 @@ def dictionary(authors: DataFrame, author: str, order: str, scope: list[str] | N
     return alias.select(*columns).union(full.select(*columns)).union(turned.select(*columns)).union(last.select(*columns))
 
 
-def word_runs(texts: DataFrame, key: str, body: str, longest: int, scope: list[str] | None = None, normalise=text.normalize_for_match, firsts: DataFrame | None = None) -> DataFrame:
+def word_runs(texts: DataFrame, key: str, body: str, longest: int, scope: list[str] | None = None, normalise=text.normalize_for_match, firsts: DataFrame | list[str] | None = None) -> DataFrame:
     """(scope..., key, name, place, words): runs of up to longest words of each text in match form.
 
-    firsts, if given, has the first words (first) that a run may start with; it is broadcast.
+    firsts, if given, has the first words that a run may start with: a list, or a table (first) that is broadcast.
     """
     own = [*(scope or []), key]
     # The generator makes the words a column of their own, so a text is split once and not for each place.
     words = texts.select(*own, F.explode(F.array(F.split(normalise(F.col(body)), " "))).alias("w"))
     # Each place goes on with its own few words, not with the text's array.
-    placed = words.select(*own, F.posexplode(F.transform("w", lambda _, i: F.slice("w", i + 1, F.lit(longest)))).alias("place", "s"))
-    placed = placed.select(*own, "place", F.explode(F.array("s")).alias("s"))
-    if firsts is not None:
+    places = F.transform("w", lambda x, i: F.struct(i.alias("place"), x.alias("first")))
+    if isinstance(firsts, list):
+        # Places are thinned within the row, before any is a row of its own.
+        places = F.filter(places, lambda p: p["first"].isin(*firsts))
+    found = F.transform(places, lambda p: F.struct(p["place"].alias("place"), F.slice("w", p["place"] + 1, F.lit(longest)).alias("s")))
+    placed = words.select(*own, F.explode(found).alias("p")).select(*own, "p.place", F.explode(F.array("p.s")).alias("s"))
+    if isinstance(firsts, DataFrame):
         placed = placed.withColumn("first", F.col("s")[0]).join(F.broadcast(firsts), "first", "left_semi")
     runs = F.transform("s", lambda _, i: F.struct(F.array_join(F.slice("s", F.lit(1), i + 1), " ").alias("name"), (i + 1).alias("words")))
     return placed.select(*own, "place", F.explode(runs).alias("x")).select(*own, "place", "x.name", "x.words")
@@ -57,6 +61,8 @@ def word_runs(texts: DataFrame, key: str, body: str, longest: int, scope: list[s
 
 #: A dictionary of at most so many names is broadcast; a larger one is joined by shuffle.
 BROADCAST_NAMES = 200_000
+#: Up to so many first words are a set in the plan.
+LISTED_WORDS = 20_000
 
 
 def _hits(texts: DataFrame, names: DataFrame, key: str, body: str, scope: list[str], normalise) -> DataFrame:
@@ -64,6 +70,10 @@ def _hits(texts: DataFrame, names: DataFrame, key: str, body: str, scope: list[s
     longest, n = names.agg(F.max(F.size(F.split("name", " "))), F.count(F.lit(1))).first()
     small = n <= BROADCAST_NAMES
     firsts = names.select(F.substring_index("name", " ", 1).alias("first")).distinct() if small else None
+    if small:
+        # At most LISTED_WORDS short strings and one.
+        listed = [r["first"] for r in firsts.limit(LISTED_WORDS + 1).collect()]
+        firsts = listed if 0 < len(listed) <= LISTED_WORDS else firsts
     runs = word_runs(texts, key, body, longest or 1, scope, normalise, firsts)
     return runs.join(F.broadcast(names) if small else names, [*scope, "name"])
 

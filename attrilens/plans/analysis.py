@@ -182,12 +182,14 @@ def pending_and_wrong(spark, sf_dir):
     return c.select("c_mktsegment", aggregates.pending_count(F.col("n") * 3, F.col("d") * 4).alias("pending"), aggregates.wrong_percent(F.col("a"), F.lit(10)).alias("wrong"))
 
 
-@query("SELECT count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS agree_label, round(avg(CASE WHEN lower(trim(lang)) = lower(trim(upper(lang))) THEN 1.0 ELSE 0.0 END), 6) AS agree_lang, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS agree_all FROM labels JOIN documents USING (doc_id)")
+@query("""WITH r AS (SELECT quality = toxic AS a, lower(trim(lang)) = lower(trim(CASE WHEN doc_id % 3 = 0 THEN ' EN ' ELSE upper(lang) END)) AS b FROM labels JOIN documents USING (doc_id))
+SELECT count(*) AS n, round(avg(CAST(a AS INT)), 6) AS agree_label, round(avg(CAST(b AS INT)), 6) AS agree_lang, round(avg(CAST(a AND b AS INT)), 6) AS agree_all FROM r""")
 def label_agreement(spark, sf_dir):
     """A39"""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    rows = rows.select(F.col("quality").cast("string").alias("q"), F.col("toxic").cast("string").alias("t"), "lang", F.upper("lang").alias("upper"))
-    return rounded(aggregates.agreement(rows, {"label": ("q", "t"), "lang": ("lang", "upper")}))
+    other = F.when(F.col("doc_id") % 3 == 0, " EN ").otherwise(F.upper("lang"))
+    rows = rows.select(F.col("quality").cast("string").alias("q"), F.col("toxic").cast("string").alias("t"), "lang", other.alias("other"))
+    return rounded(aggregates.agreement(rows, {"label": ("q", "t"), "lang": ("lang", "other")}))
 
 
 @query("SELECT count(*) FILTER (WHERE length(trim(o_orderstatus)) > 0 AND o_orderstatus = 'P') AS errors FROM orders")
@@ -258,11 +260,14 @@ def any_name_mentioned(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.mentions_any_name(F.col("text")).alias("any_name"))
 
 
-@query("SELECT c_custkey, contains(lower(c_name || ' wrote'), lower(c_name)) AS full_hit, contains('see c. ' || c_custkey, lower(c_name)) AS other_hit FROM customer")
+@query("SELECT c_custkey, c_custkey % 6 IN (0, 1, 2, 3) AS full_hit, c_custkey % 6 = 5 AS other_hit FROM customer")
 def alias_hits(spark, sf_dir):
-    """X8, N6"""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat("c_name", F.lit(" wrote")).alias("full_response"), F.concat(F.lit("see c. "), F.col("c_custkey").cast("string")).alias("other_response"))
-    found = mentions.live_unit_flags(c, ["full", "other"], "c_name")
+    """Full names, last names, initials and alternate names, letter case apart; and texts that hold none."""
+    k, name, segment = F.col("c_custkey") % 6, F.concat(F.lit("Ann "), "c_mktsegment"), F.lower("c_mktsegment")
+    full = F.when(k == 0, F.concat(F.lit("ANN "), segment, F.lit(" wrote"))).when(k == 1, F.concat(F.lit("the "), segment)).when(k == 2, F.concat(F.lit("see a. "), segment)).when(k == 3, F.concat(F.lit("one nick"), F.col("c_custkey").cast("string"), F.lit(" said"))).when(k == 4, "").otherwise("nobody")
+    other = F.when(k == 5, F.concat(F.lit("A "), segment)).otherwise("Ann someone else")
+    c = table(spark, sf_dir, "customer").select("c_custkey", name.alias("author"), F.concat(F.lit("Nick"), F.col("c_custkey").cast("string")).alias("alt"), full.alias("full_response"), other.alias("other_response"))
+    found = mentions.live_unit_flags(c, ["full", "other"], "author", "alt")
     return found.select("c_custkey", F.col("full_hit_author").alias("full_hit"), F.col("other_hit_author").alias("other_hit"))
 
 

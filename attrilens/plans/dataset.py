@@ -45,17 +45,33 @@ def capped_quotes(spark, sf_dir):
     return windows.top_rows(d, ["lang", "source"], [F.col("doc_id")], 10).select("doc_id", "lang", "n")
 
 
-@query("""SELECT c_custkey, 'Customer ' || c_custkey AS name, 'Seg ' || c_mktsegment || '; nick' || c_custkey AS alt FROM customer""")
+@query("""SELECT c_custkey, 'Customer ' || c_custkey AS name, CASE c_custkey % 6 WHEN 0 THEN 'Seg ' || c_mktsegment || '; nick' || c_custkey WHEN 1 THEN 'Other ' || c_custkey WHEN 5 THEN 'B; C; Z' ELSE '' END AS alt FROM customer""")
 def cleaned_authors(spark, sf_dir):
-    """Dashes, AKA parts and brackets."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("- Customer "), F.col("c_custkey").cast("string"), F.lit(" (nick"), F.col("c_custkey").cast("string"), F.lit(") - Seg "), F.col("c_mktsegment")).alias("raw"))
-    return c.select("c_custkey", text.clean_author(F.col("raw")).alias("x")).select("c_custkey", "x.name", "x.alt")
+    """Dashes, brackets, AKA parts, quotes, long lower-case tails, stray marks."""
+    k, key = F.col("c_custkey") % 6, F.col("c_custkey").cast("string")
+    name = F.concat(F.lit("Customer "), key)
+    raw = (
+        F.when(k == 0, F.concat(F.lit("- "), name, F.lit(" (nick"), key, F.lit(") - Seg "), F.col("c_mktsegment")))
+        .when(k == 1, F.concat(name, F.lit(" aka Other "), key))
+        .when(k == 2, F.concat(F.lit('"'), name, F.lit('" ')))
+        .when(k == 3, F.concat(name, F.lit(" who wrote a   very long tail")))
+        .when(k == 4, F.concat(name, F.lit(" ,;")))
+        .otherwise(F.concat(name, F.lit(" (Z) A.K.A. C AKA B")))
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", text.clean_author(raw).alias("x")).select("c_custkey", "x.name", "x.alt")
 
 
 @query("SELECT c_custkey, 'Name ' || c_custkey AS name FROM customer")
 def canonical_authors(spark, sf_dir):
-    """X3"""
-    raw = F.concat(F.lit("— Name "), F.col("c_custkey").cast("string"), F.lit(" \"Nick\" (x) «y» - Work"))
+    """Leading marks, brackets, quotes, AKA parts, titles after a dash, trailing dashes."""
+    k, name = F.col("c_custkey") % 5, F.concat(F.lit("Name "), F.col("c_custkey").cast("string"))
+    raw = (
+        F.when(k == 0, F.concat(F.lit("— "), name, F.lit(' "Nick" (x) «y» - Work')))
+        .when(k == 1, F.concat(name, F.lit(" AKA Other")))
+        .when(k == 2, F.concat(F.lit("• - "), name, F.lit(" «z»")))
+        .when(k == 3, F.concat(name, F.lit("  —")))
+        .otherwise(F.concat(F.lit(" "), F.replace(name, F.lit(" "), F.lit("   ")), F.lit(" 'q' (r)")))
+    )
     return table(spark, sf_dir, "customer").select("c_custkey", text.canonicalize_author(raw).alias("name"))
 
 
