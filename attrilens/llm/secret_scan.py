@@ -22,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -61,7 +61,8 @@ MORE = (
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
     Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # With the key's body if its end is there.
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\r\n]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     Rule("bearer", r"(?i:authorization: bearer) [A-Za-z0-9._~+/-]{16,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,80}:[^\s:/@]{3,80}@"),
 )
@@ -139,9 +140,14 @@ def trigram_query(regex: str) -> Query:
     return _of_strings(strings) if strings is not None else query
 
 
+def _key(row_id: Column, text: Column) -> Column:
+    """128 bits of hash of a row's id and text."""
+    return F.struct(F.xxhash64(row_id, text).alias("a"), F.xxhash64(F.lit("second"), row_id, text).alias("b"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"), _key(F.col(id_col), text).alias("key"))
 
 
 def postings(keyed: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -209,7 +215,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     after = F.lead("start").over(Window.partitionBy("key").orderBy("start"))
     cuts = runs.withColumn("next", after).groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "next"))).alias("_cuts"))
-    joined = docs.join(cuts, F.xxhash64(docs[id_col], text) == cuts["_key"], "left")
+    joined = docs.join(cuts, _key(docs[id_col], text) == cuts["_key"], "left")
     part = lambda start, size: F.call_function("substring", text, (start + 1).cast("int"), size.cast("int"))
     tail = F.array_join(F.transform(cuts["_cuts"], lambda c: F.concat(F.lit(mark), part(c["end"], F.coalesce(c["next"], F.length(text).cast("long")) - c["end"]))), "")
     clean = F.when(cuts["_cuts"].isNull(), text).otherwise(F.concat(part(F.lit(0), F.get(cuts["_cuts"], F.lit(0))["start"]), tail))
