@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .joins import expand
+from .windows import chunk
 
 # Fixed value: the system message.
 SYSTEM = "You are a helpful assistant that provides concise, factual responses. Answer concisely. Do NOT repeat the quote. Answer in maximum 1 sentence."
 
 
+# Most requests of a batch, by form of the request.
+BATCH_SIZES = {"responses": 20_000, "chat": 48_000, "contents": 1_200, "messages": 100_000}
+
+
+def batched(rows: DataFrame, provider: str, index: str) -> DataFrame:
+    """Rows with the number of the batch that each goes in; index holds positions from 0."""
+    return rows.withColumn("batch", chunk(F.col(index), BATCH_SIZES[provider]))
+
+
 def manifest(quotes: DataFrame, runs: int, prompts: list[str] | None = None, contexts: tuple[str, ...] = (), keep: tuple[str, ...] = ("author", "gender", "race_ethnicity", "quote")) -> DataFrame:
     """One row a request, with its id."""
     rows = expand(quotes, prompts or list(text.PROMPTS), runs, contexts)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sets
+from ..functions import maths
+from ..operators import aggregates, filters, requests, sets, statistics, windows
 from ..sources import providers, scans, scratch, sinks
 from .registry import CUSTOMERS, FAME, customers, famous, query, table
 
@@ -253,3 +254,34 @@ def file_order(spark, sf_dir):
     path = scratch.folder(spark)
     table(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1).select("c_name").write.parquet(path)
     return scans.with_index(spark.read.parquet(path), "idx")
+
+
+@query(f"""WITH {FAME}, logs AS (SELECT author, log10(hits + 1.0) AS x FROM famous), e AS (SELECT quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM logs), placed AS (SELECT author, x, len(list_filter(e, lambda y: y <= x)) AS decile FROM logs, e),
+targets AS (SELECT d.decile, count(author) AS target_n FROM range(10) d(decile) LEFT JOIN placed p ON p.decile = d.decile GROUP BY d.decile), ranked AS (SELECT author, decile, row_number() OVER (PARTITION BY decile ORDER BY x, author) AS rn FROM placed)
+SELECT 'targets' AS artefact, decile, target_n AS n FROM targets UNION ALL SELECT 'fill', decile, count(*) FROM ranked WHERE rn <= 7 GROUP BY decile
+UNION ALL SELECT 'sample', decile, count(*) FROM (SELECT decile FROM ranked WHERE rn <= 7 ORDER BY md5(author || ':42'), author LIMIT 25) GROUP BY decile""")
+def quota_files(spark, sf_dir):
+    """Quota targets, the rows that fill them and a seeded sample of those, each a file."""
+    f = famous(spark, sf_dir)
+    logs = f.select("author", maths.log10p1(F.col("hits")).alias("x"))
+    edges = F.array(*[F.lit(e) for e in aggregates.open_edges(statistics.exact_quantiles(logs, "x", [k / 10 for k in range(11)]))])
+    placed = logs.withColumn("decile", maths.decile_left_closed(F.col("x"), edges))
+    seven = spark.range(10).select(F.col("id").cast("int").alias("decile"), F.lit(7).alias("target_n"))
+    fill = windows.quota_fill(placed, seven, "decile", [F.col("x"), F.col("author")])
+    made = {"targets": aggregates.decile_targets(f, "hits"), "fill": fill, "sample": filters.seeded_sample(fill, "author", 25)}
+    frames = []
+    for name, rows in made.items():
+        path = scratch.folder(spark)
+        sinks.write_csv(rows, path, rows.columns)
+        back = scans.csv(spark, path, ", ".join(f"{c} {t}" for c, t in rows.dtypes))
+        n = F.first("target_n") if name == "targets" else F.count(F.lit(1))
+        frames.append(back.groupBy("decile").agg(n.cast("bigint").alias("n")).select(F.lit(name).alias("artefact"), F.col("decile").cast("bigint").alias("decile"), "n"))
+    return sets.union_all(*frames)
+
+
+@query("SELECT provider, batch, count(*) AS requests, min(idx) AS first FROM (SELECT provider, CAST(floor(o_orderkey / cap) AS INTEGER) AS batch, o_orderkey AS idx FROM orders, (VALUES ('responses', 20000), ('chat', 48000), ('contents', 1200), ('messages', 100000)) p(provider, cap)) GROUP BY ALL")
+def dispatch_batches(spark, sf_dir):
+    """Requests in batches of each provider's size."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"))
+    frames = [requests.batched(o, p, "idx").withColumn("provider", F.lit(p)) for p in requests.BATCH_SIZES]
+    return sets.union_all(*frames).groupBy("provider", "batch").agg(F.count(F.lit(1)).alias("requests"), F.min("idx").alias("first"))
