@@ -223,6 +223,29 @@ def retry_waits(spark, sf_dir):
     return spark.createDataFrame(rows, "status int, attempt int, wait double")
 
 
+@query("SELECT sha256(text) AS hash, CAST(length(text) AS DOUBLE) AS first, 2 AS size FROM (SELECT DISTINCT trim(text) AS text FROM conversations WHERE role <> 'user') WHERE sha256(text) NOT IN (SELECT sha256(trim(text)) FROM conversations WHERE role = 'user')")
+def fetched_vectors(spark, sf_dir):
+    """Vectors of texts that the cache has not, 128 a call, appended to the cache."""
+
+    def client():
+        def call(texts: list[str]) -> list[list[float]]:
+            if len(texts) > 128:
+                raise providers.StatusError(413)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return call
+
+    c = table(spark, sf_dir, "conversations").select("text", "role")
+    path = scratch.folder(spark)
+    known = c.where("role = 'user'").select(F.sha2(F.trim("text"), 256).alias("hash")).distinct().withColumn("embedding", F.array(F.lit(0.0), F.lit(0.0)))
+    sinks.write_vectors(known, path)
+    cache = scans.vector_cache(spark, path)
+    missing = providers.missing_vectors(c.where("role <> 'user'").select(F.trim("text").alias("text")), cache)
+    fresh = scratch.folder(spark)
+    sinks.write_vectors(providers.fetch_vectors(missing, client), fresh)
+    return scans.vector_cache(spark, fresh).select("hash", F.col("embedding")[0].cast("double").alias("first"), F.size("embedding").alias("size"))
+
+
 @query(f"WITH {FAME} SELECT n, 'missing columns: quote, race_ethnicity' AS problem FROM (SELECT count(*) AS n FROM famous)")
 def required_columns(spark, sf_dir):
     """Columns that are there pass, missing ones are named."""

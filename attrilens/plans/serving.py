@@ -250,6 +250,12 @@ def row_slices(spark, sf_dir):
     return filters.row_range(c, "idx", 10, 1000).select("c_custkey", windows.chunk(F.col("idx"), 128).alias("chunk"))
 
 
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 30")
+def head_rows(spark, sf_dir):
+    """The first rows by order, which is the feature."""
+    return filters.head(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 30)
+
+
 @query("SELECT doc_id, lang FROM documents ORDER BY md5(doc_id || ':42'), doc_id LIMIT 100")
 def seeded_sample(spark, sf_dir):
     """P11, O6, a sampling operator."""

@@ -140,6 +140,29 @@ def validated(people: DataFrame, answers: dict[str, DataFrame], key: str) -> Dat
     return out
 
 
+def fetch_vectors(missing: DataFrame, client: Callable[[], Callable[[list[str]], list[list[float]]]], per_call: int = 128, retries: int = 6, base: float = 1.0) -> DataFrame:
+    """(hash, embedding) of texts (hash, text), fetched many at a time; calls that fail are tried again."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = client()
+        for part in parts:
+            found: list[list[float]] = []
+            for at in range(0, len(part), per_call):
+                texts = part["text"].iloc[at : at + per_call].tolist()
+                for attempt in range(retries + 1):
+                    try:
+                        found += call(texts)
+                        break
+                    except Exception as e:
+                        wait = retry_wait(e, attempt, base)
+                        if wait is None or attempt == retries:
+                            raise
+                        time.sleep(wait)
+            yield pd.DataFrame({"hash": part["hash"], "embedding": found})
+
+    return missing.select("hash", "text").mapInPandas(run, "hash string, embedding array<float>")
+
+
 def first_success(candidates: DataFrame, keys: list[str], rank: str, values: list[str]) -> DataFrame:
     """The first candidate by rank that has a value, column by column."""
     return candidates.groupBy(*keys).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), F.col(rank))).alias(v) for v in values])
