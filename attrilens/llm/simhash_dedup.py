@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of a shingle, least similarity, and the fingerprint (64-bit numbers, bits of a block) of ``similar_groups``.
-WIDTH, SIMILARITY, LONGS, BLOCK_BITS = 5, 0.8, 22, 21
+#: Words of a shingle, least similarity, and the fingerprint (64-bit numbers, bits of a piece) of ``similar_groups``.
+WIDTH, SIMILARITY, LONGS, PIECE_BITS = 5, 0.8, 22, 13
 #: The bits of a byte as the low bits of eight bytes.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -134,35 +134,40 @@ def wide_simhash(text: bytes, width: int = WIDTH, longs: int = LONGS) -> np.ndar
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, longs: int = LONGS, block_bits: int = BLOCK_BITS, pair_limit: int = 16) -> DataFrame:
+def piece_keys(fingerprint: np.ndarray, piece_bits: int = PIECE_BITS) -> np.ndarray:
+    """Join keys of a wide fingerprint: each piece of its bits with the next one (the last with the first)."""
+    bits = np.unpackbits(fingerprint.view(np.uint8), bitorder="little")
+    n = len(bits) // piece_bits
+    pieces = bits[: n * piece_bits].reshape(n, piece_bits) @ (1 << np.arange(piece_bits, dtype=np.int64))
+    return pieces << piece_bits | np.roll(pieces, -1)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, longs: int = LONGS, piece_bits: int = PIECE_BITS, pair_limit: int = 16) -> DataFrame:
     """(doc_id, key, component_id): groups of texts whose wide fingerprints differ as sets of the given similarity do, or less.
 
-    Fingerprints of 64 * longs bits are cut into blocks; texts join on equal
-    blocks and are verified by the Hamming distance of the whole. Texts that
-    differ in fewer bits than there are blocks always share one; a pair at the
-    similarity itself shares one with a chance that rises with the number of
-    blocks and falls with their bits (0.9 for the defaults at 0.8, 0.99 at
-    0.85). Blocks should have about as many bits as the number of distinct
-    texts. Equal word sequences collapse first. In a block that over
-    ``pair_limit`` texts share, each is compared with the least of them, and
-    joins again on that block with each of the next three, so work stays linear
-    in its members.
+    Fingerprints of 64 * longs bits are cut into pieces; texts join on blocks of
+    two neighbouring pieces and are verified by the Hamming distance of the
+    whole. Texts that differ in fewer bits than half the pieces always share a
+    block; a pair at the similarity itself shares one with a chance that rises
+    with the number of pieces and falls with their bits (0.77 for the defaults
+    at 0.8, 0.94 at 0.85, 0.99 at 0.9). A block should have more bits than the
+    number of distinct texts has, so that few texts share one by chance. Equal
+    word sequences collapse first. In a block that over ``pair_limit`` texts
+    share, each is compared with the least of them, and joins again on that
+    block with each of three others, so work stays linear in its members.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [t.lower().split() for t in common.utf8(batch.column(1))]
-        keys = [xxhash.xxh128_digest(b" ".join(w), 42) for w in texts]
-        return {"doc_id": batch.column(0), "key": keys, "fp": [wide_simhash(b" ".join(w), width, longs) for w in texts]}
+        texts = [b" ".join(t.lower().split()) for t in common.utf8(batch.column(1))]
+        found = [wide_simhash(t, width, longs) for t in texts]
+        return {"doc_id": batch.column(0), "key": [xxhash.xxh128_digest(t, 42) for t in texts], "fp": found, "blocks": [piece_keys(x, piece_bits) for x in found]}
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = common.stored(common.arrow_map(rows, run, f"doc_id {kind}, key binary, fp array<long>"))
-    first = common.stored(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")))
-    per = 64 // block_bits
-    blocks = longs * per
-    value = lambda i: F.shiftrightunsigned(F.element_at("fp", F.floor(i / per).cast("int") + 1), 0) if block_bits == 64 else F.call_function("shiftrightunsigned", F.element_at("fp", F.floor(i / per).cast("int") + 1), (i % per * block_bits).cast("int")).bitwiseAND(F.lit((1 << block_bits) - 1))
-    block = lambda i: F.xxhash64(i, value(i))
-    keyed = first.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(i.alias("i"), block(i).alias("b")))).alias("x")).select("key", "x.i", "x.b")
+    marked = common.stored(common.arrow_map(rows, run, f"doc_id {kind}, key binary, fp array<long>, blocks array<int>"))
+    first = common.stored(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")))
+    n_blocks = 64 * longs // piece_bits
+    keyed = first.select("key", F.posexplode("blocks").alias("i", "block")).select("key", "i", F.xxhash64("i", "block").alias("b"))
 
     def met(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs within small groups of equal b, and the members of large ones with the least of them."""
@@ -174,8 +179,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     star = lambda many: many.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("c"))
     pairs, many = met(keyed)
-    more = F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda d: F.xxhash64("b", d, block((F.col("i") + d) % blocks))))
-    again, still = met(many.join(first.select("key", "fp"), "key").select("key", "i", more.alias("b")))
+    other = lambda d: F.get(F.col("blocks"), (F.col("i") + d) % n_blocks)
+    more = F.explode(F.array(*[F.xxhash64("b", F.lit(d), other(d)) for d in (2, 3, 4)]))
+    again, still = met(many.join(first.select("key", "blocks"), "key").select("key", "i", more.alias("b")))
     asked = pairs.union(star(many)).union(again).union(star(still)).distinct()
     fps = first.select("key", "fp")
     apart = F.aggregate(F.zip_with("fa", "fc", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

@@ -214,12 +214,12 @@ def components(pairs, ids):
 
 
 def similar(texts):
-    """Component of each text id whose wide fingerprints differ in few enough bits and share a block."""
+    """Component of each text id whose wide fingerprints differ in few enough bits and share two neighbouring pieces."""
     s = simhash_dedup
     fps = {i: wide_simhash(t, s.WIDTH, s.LONGS) for i, t in texts.items()}
-    most, per = s.differing_bits(s.SIMILARITY, 64 * s.LONGS), 64 // s.BLOCK_BITS
-    starts = [64 * k + j * s.BLOCK_BITS for k in range(s.LONGS) for j in range(per)]
-    cut = {i: [fp >> at & (1 << s.BLOCK_BITS) - 1 for at in starts] for i, fp in fps.items()}
+    most, n = s.differing_bits(s.SIMILARITY, 64 * s.LONGS), 64 * s.LONGS // s.PIECE_BITS
+    pieces = {i: [fp >> k * s.PIECE_BITS & (1 << s.PIECE_BITS) - 1 for k in range(n)] for i, fp in fps.items()}
+    cut = {i: [(x[k], x[(k + 1) % n]) for k in range(n)] for i, x in pieces.items()}
     ids = sorted(texts)
     pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if words(texts[a]) == words(texts[b]) or (fps[a] ^ fps[b]).bit_count() <= most and any(x == y for x, y in zip(cut[a], cut[b]))]
     return components(pairs, ids)
