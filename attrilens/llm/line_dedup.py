@@ -65,7 +65,8 @@ def normal(line: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(F.split(text, " "))
+    """Words of a text in normal form, by its spaces."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def _document(id_col: Column, text: Column) -> Column:
@@ -83,7 +84,9 @@ def _settled(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, pos, line in normal form), blank lines left out."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(_document(F.col(id_col), text).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
+    # A text is hashed once, not for each of its lines.
+    numbered = _settled(docs.select(F.col(id_col).alias("id"), text.alias("text")), [], doc=_document(F.col("id"), F.col("text")), text=F.col("text"))
+    rows = numbered.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
     return _settled(rows, ["doc", "pos"], line=normal(F.col("raw"))).where("line <> ''")
 
 
@@ -256,22 +259,29 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if {x.lower() for x in counts.values()} & {c.lower() for c in docs.columns}:
         raise ValueError("names of counts must be new")
     gone = dropped_lines(docs, id_col, text_col, **parameters)
+    taken = [*docs.columns, *counts.values()]
+    doc, places, equal, near, row = (common.free_name(c, taken) for c in ("_doc", "_gone", "_equal", "_near", "_row"))
     # One row a document; its size is bounded by the document's own lines.
-    by_doc = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_gone"), F.count_if(~F.col("near")).alias("_equal"), F.count_if("near").alias("_near"))
-    text = docs[text_col].cast("string")
-    own = (_document(docs[id_col], text) * F.lit(_POS)).cast(_PLACE)
-    joined = docs.join(by_doc, own == by_doc["_doc"], "left")
-    places = by_doc["_gone"]
-    n_lines = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0))
-    values = {"n_lines": n_lines, "n_equal": F.coalesce(by_doc["_equal"], F.lit(0)), "n_near": F.coalesce(by_doc["_near"], F.lit(0))}
+    by_doc = gone.groupBy(F.col("doc").alias(doc)).agg(F.collect_set("pos").alias(places), F.count_if(~F.col("near")).alias(equal), F.count_if("near").alias(near))
+    by_doc = common.stored(by_doc)
+    n, text, zero = by_doc.count(), F.col(f"`{text_col}`").cast("string"), F.lit(0).cast("long")
+    own = (_document(F.col(f"`{id_col}`"), text) * F.lit(_POS)).cast(_PLACE)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    n_lines = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    numbers = lambda found: [{"n_lines": n_lines, "n_equal": F.coalesce(equal, zero) if found else zero, "n_near": F.coalesce(near, zero) if found else zero}[k].alias(v) for k, v in counts.items()]
+    # Documents that lose no line stay out of the join, as far as a filter tells.
+    touched = Filter(by_doc.select(F.xxhash64(doc).alias("key")), n).has(F.xxhash64(own)) if _fits(n) else F.lit(True)
+    same = docs.where(~touched).select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *numbers(False))
+    joined = docs.where(touched).select(*columns, own.alias(doc)).join(by_doc, doc, "left")
     # The generator cuts a text once, not for each line that stays.
-    part, row = F.struct(F.when(places.isNotNull(), F.split(text, "\n", -1)).alias("parts")), common.free_name("_row", [*docs.columns, *counts.values()])
-    cut = joined.select(*[docs[c] for c in docs.columns], *[values[k].cast("long").alias(v) for k, v in counts.items()], places.alias(f"{row}_gone"), F.explode(F.array(part)).alias(row))
-    parts, gone = F.col(f"{row}.parts"), F.col(f"{row}_gone")
+    part = F.struct(F.when(F.col(places).isNotNull(), F.split(text, "\n", -1)).alias("parts"))
+    cut = joined.select(*columns, *numbers(True), places, F.explode(F.array(part)).alias(row))
+    parts, left = F.col(f"{row}.parts"), F.col(places)
     # Set difference keeps the order of places and is linear in the lines.
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), left)
     kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
-    return cut.select(*[F.when(gone.isNull(), F.col(f"`{c}`").cast("string")).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *counts.values())
+    changed = cut.select(*[F.when(left.isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *counts.values())
+    return same.union(changed) if _fits(n) else changed
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ def test_edge_rows(spark, name):
     check(name, OPERATORS[name](docs).collect(), ROWS, docs)
 
 
-@pytest.mark.parametrize("name", [k for k in OPERATORS if k not in ("line dedup", "simhash", "similar groups", "near-duplicate stage", "classifier", "html", "quality stage")])
+@pytest.mark.parametrize("name", [k for k in OPERATORS if k not in ("simhash", "similar groups", "near-duplicate stage", "classifier", "html", "quality stage")])
 def test_very_long_texts(spark, name):
     """The same with texts of megabytes."""
     docs = table(spark, LONG_ROWS)

@@ -4,7 +4,6 @@ import hashlib
 import itertools
 import math
 import random
-import re
 import zlib
 from collections import Counter
 
@@ -12,7 +11,6 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from attrilens.llm import bpe, fingerprints, line_dedup, packing, queries, quality_rules, secret_scan, simhash_dedup, suffix_tree
