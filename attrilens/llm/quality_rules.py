@@ -40,6 +40,8 @@ JOINT_LOW, FERTILITY_LOW, FERTILITY_HIGH, BYTE_EXCESS = -6.0, -8.0, 14.0, 0.10
 PRIOR_SIZE, DECAY, WIDER = 30, 0.125, 1.5
 #: Bins: parts of an octave of fertility, of a bit of entropy, of the whole share.
 STEPS, SHARE_STEPS = 512, 4096
+#: Bins that quartiles are looked up in at a time.
+COARSE = 64
 MEASURES = ("fertility", "byte_fertility", "entropy", "byte_entropy", "byte_share")
 
 _PIECES: dict = {}
@@ -52,7 +54,7 @@ class Pieces:
     and each word is encoded with one before it, as the first of a text is.
     """
 
-    def __init__(self, path: str | None = None, keep: int = 400_000):
+    def __init__(self, path: str | None = None, keep: int = 200_000):
         import public_tokenizers
         import sentencepiece
 
@@ -60,7 +62,7 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.is_byte = np.array([self.model.is_byte(i) for i in range(len(names))])
         self.cuts = not any("\u2581" in x.lstrip("\u2581") for x in names)
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.before = keep, {}, {}
 
     def encode(self, text: str) -> np.ndarray:
         if not self.cuts or "  " in text or "\u2581" in text or text[:1] in ("", " ") or text[-1] == " ":
@@ -68,12 +70,15 @@ class Pieces:
         words = text.split(" ")
         found = list(map(self.known.get, words))
         if None in found:
-            if len(self.known) > self.keep:
-                self.known.clear()
-            fresh = list({w for w, ids in zip(words, found) if ids is None})
-            for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1)):
-                self.known[w] = array("i", ids).tobytes()
-            found = [self.known[w] if ids is None else ids for w, ids in zip(words, found)]
+            if 2 * len(self.known) > self.keep:
+                # Words met since the last turn stay; words of the turn before that are taken over when they are met again.
+                self.known, self.before = {}, self.known
+            missed = {w for w, ids in zip(words, found) if ids is None}
+            again = {w: self.before[w] for w in missed if w in self.before}
+            fresh = list(missed - again.keys())
+            again |= zip(fresh, [array("i", ids).tobytes() for ids in self.model.encode(fresh, num_threads=1)] if fresh else ())
+            self.known |= again
+            found = [again[w] if ids is None else ids for w, ids in zip(words, found)]
         return np.frombuffer(b"".join(found), np.int32)
 
 
@@ -187,11 +192,19 @@ def _middle(measure: int, at: Column) -> Column:
 def bands(passing: DataFrame) -> DataFrame:
     """(grp, half, n, mid_*, dev_*): medians and spreads above them of each group and half octave; a few rows."""
     bins = F.posexplode(F.array(*_bins())).alias("m", "at")
-    counts = passing.select("grp", "half", bins).groupBy("grp", "half", "m", "at").agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy("grp", "half", "m")
-    counts = counts.withColumns({"below": F.sum("n").over(group.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(group)})
-    of = lambda k, share: F.min(F.when((F.col("m") == k) & (F.col("below") >= share * F.col("all")), F.col("at")))
-    quartiles = counts.groupBy("grp", "half").agg(F.max("all").alias("n"), *[of(k, q).alias(f"q{int(4 * q)}_{m}") for k, m in enumerate(MEASURES) for q in (0.5, 0.75)])
+    group = ["grp", "half", "m"]
+    # A row a bin; everything below works on at most 2 * COARSE rows of a group and measure at a time, or its number of coarse bins.
+    counts = passing.select("grp", "half", bins).groupBy(*group, "at").agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.floor(F.col("at") / COARSE))
+    whole, order = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    coarse = counts.groupBy(*group, "c").agg(F.sum("n").alias("s")).withColumns({"upto": F.sum("s").over(order), "all": F.sum("s").over(whole)})
+    # The coarse bins that hold a quartile, and what is below them.
+    holds = F.filter(F.array(F.lit(0.5), F.lit(0.75)), lambda q: (F.col("upto") >= q * F.col("all")) & (F.col("upto") - F.col("s") < q * F.col("all")))
+    held = coarse.select(*group, "c", "all", (F.col("upto") - F.col("s")).alias("before"), F.explode(holds).alias("q"))
+    fine = Window.partitionBy(*group, "q").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    near = counts.join(held, [*group, "c"]).withColumn("upto", F.sum("n").over(fine) + F.col("before"))
+    found = near.where(F.col("upto") >= F.col("q") * F.col("all")).groupBy(*group, "q").agg(F.min("at").alias("at"), F.max("all").alias("all"))
+    of = lambda k, share: F.min(F.when((F.col("m") == k) & (F.col("q") == share), F.col("at")))
+    quartiles = found.groupBy("grp", "half").agg(F.max("all").alias("n"), *[of(k, q).alias(f"q{int(4 * q)}_{m}") for k, m in enumerate(MEASURES) for q in (0.5, 0.75)])
     mids = {f"mid_{m}": _middle(k, F.col(f"q2_{m}")) for k, m in enumerate(MEASURES)}
     devs = {f"dev_{m}": _middle(k, F.col(f"q3_{m}")) - _middle(k, F.col(f"q2_{m}")) for k, m in enumerate(MEASURES)}
     return quartiles.select("grp", "half", "n", *[v.alias(k) for k, v in (mids | devs).items()])

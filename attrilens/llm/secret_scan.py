@@ -141,8 +141,8 @@ def trigram_query(regex: str) -> Query:
 
 
 def _key(row_id: Column, text: Column) -> Column:
-    """128 bits of hash of a row's id and text."""
-    return F.struct(F.xxhash64(row_id, text).alias("a"), F.xxhash64(F.lit("second"), row_id, text).alias("b"))
+    """64 bits of hash of a row's id and text."""
+    return F.xxhash64(row_id, text)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
