@@ -15,6 +15,7 @@ from .pu_classifier import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secret_scan import OP4_SQL, op4_secret_scan
 from .simhash_dedup import op9_simhash_near_dedup
+from .spelling import OP12_SQL, op12_spelling_variants
 from .suffix_tree import op8_suffix_tree_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree_scores": op8_suffix_tree_scores,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
