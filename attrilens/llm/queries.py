@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe_encoding
 from .fingerprints import op2_document_fingerprints
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_extract import op6_html_extraction
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op3_best_fit_packing
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
     "op12_spelling_variants": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
