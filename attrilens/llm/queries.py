@@ -10,6 +10,7 @@ from .bpe import op5_bpe_encoding
 from .fingerprints import op2_document_fingerprints
 from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .html_extract import op6_html_extraction
+from .license_scan import OP11_SQL, op11_license_scan
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .packing import op3_best_fit_packing
 from .pu_classifier import op10_quality_classifier
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree_scores": op8_suffix_tree_scores,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_license_scan": op11_license_scan,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -37,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
+    "op11_license_scan": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }

@@ -32,7 +32,8 @@ def run(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got, want = canonical(queries.QUERIES[name](spark, sf).toPandas()), canonical(con.execute(queries.ORACLE_SQL[name]).df())
     assert got.equals(want)
 
