@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,10 +81,94 @@ def ks_p_value(d: Column, na: Column, nb: Column, terms: int = 100) -> Column:
     """Asymptotic p of the two-sample statistic."""
     e = F.sqrt(na * nb / (na + nb))
     t = d * (e + 0.12 + 0.11 / e)
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * t * t))
+    # The lambdas take t as an argument: a column named inside one would be looked up among new aliases first.
+    each = F.zip_with(F.sequence(F.lit(1), F.lit(terms)), F.array_repeat(t, terms), lambda k, t: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * t * t))
+    series = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     return F.when(t > 0.2, F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).otherwise(1.0)
 
 
+def exact_ks_p(d: float, na: int, nb: int) -> float:
+    """Probability that two samples of these sizes from one continuous distribution lie d or further apart.
+
+    A random order of the pooled values is a path from (0, 0) to (na, nb). Steps
+    are taken diagonal by diagonal; what leaves the band |i / na - j / nb| < d
+    is added up, so small results keep their digits.
+    """
+    g = math.gcd(na, nb)
+    a, b = na // g, nb // g
+    limit = round(d * a * nb)
+    if limit <= 0:
+        return 1.0
+    inside, out = np.ones(1), 0.0
+    low = 0  # inside[k] is the chance to be at (low + k, t - low - k), never outside before
+    for t in range(na + nb):
+        i = np.arange(low, low + len(inside))
+        up = inside * ((na - i) / (na + nb - t))
+        step = np.zeros(len(inside) + 1)
+        step[1:] += up
+        step[:-1] += inside - up
+        i = np.arange(low, low + len(step))
+        ok = np.abs(i * b - (t + 1 - i) * a) < limit
+        out += step[~ok].sum()
+        at = np.flatnonzero(ok)
+        if not len(at):
+            break
+        inside = step[at[0] : at[-1] + 1]
+        low += int(at[0])
+    return min(1.0, float(out))
+
+
+#: Size up to which the two-sample p is exact.
+EXACT_SIZE = 10_000
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_ks_ps(d: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or not a or not b else exact_ks_p(float(x), int(a), int(b)) for x, a, b in zip(d, na, nb)], dtype="float64")
+
+
+def with_ks_p(found: DataFrame) -> DataFrame:
+    """Results (n_a, n_b, ks) with p: exact where neither sample has over EXACT_SIZE values, else asymptotic."""
+    size = F.greatest("n_a", "n_b")
+    small = found.where(size <= EXACT_SIZE).withColumn("p", _exact_ks_ps("ks", "n_a", "n_b"))
+    return small.unionByName(found.where(size > EXACT_SIZE).withColumn("p", ks_p_value(F.col("ks"), F.col("n_a"), F.col("n_b"))))
+
+
+def ks_pairs(rows: DataFrame, group: str, metrics: list[str], groups: list[str], buckets: int = 256) -> DataFrame:
+    """A11 with J21: (metric, group_a, group_b, n_a, n_b, mean_difference, ks) of each pair of the listed groups, in their order.
+
+    One pass for all pairs and metrics. Values are counted by group, dealt to
+    buckets by range and summed there; running counts of all groups start from
+    the sums of the buckets before, and every value gives its distance for each
+    pair. Pairs with an empty group have no distance.
+    """
+    value = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics]))
+    known = rows.where(F.col(group).isin(groups)).select(F.col(group).cast("string").alias("grp"), value.alias("v")).select("grp", "v.*").where("x is not null and not isnan(x)")
+    counts = known.groupBy("metric", "x").pivot("grp", groups).agg(F.count(F.lit(1)))
+    names = [f"c{k}" for k in range(len(groups))]
+    counts = counts.select("metric", "x", *[F.coalesce(F.col(f"`{g}`"), F.lit(0)).alias(c) for g, c in zip(groups, names)])
+    # At most `buckets` bounds a metric; the accuracy is about one bucket.
+    cuts = counts.groupBy("metric").agg(F.percentile_approx("x", [k / buckets for k in range(1, max(2, buckets))], 10 * buckets).alias("cuts"))
+    placed = counts.join(F.broadcast(cuts), "metric").withColumn("bucket", F.size(F.filter(F.array_distinct("cuts"), lambda b: b < F.col("x")))).drop("cuts")
+    sums = placed.groupBy("metric", "bucket").agg(*[F.sum(c).alias(c) for c in names])
+    # A row a metric and bucket.
+    upto, all_ = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("metric")
+    starts = sums.select("metric", "bucket", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"before_{c}") for c in names], *[F.sum(c).over(all_).alias(f"all_{c}") for c in names])
+    within = Window.partitionBy("metric", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    running = placed.withColumns({c: F.sum(c).over(within) for c in names}).join(F.broadcast(starts), ["metric", "bucket"])
+    share = [(F.col(c) + F.col(f"before_{c}")) / F.nullif(F.col(f"all_{c}"), F.lit(0)) for c in names]
+    pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
+    shares = running.select("metric", F.array(*share).alias("s"))
+    gap = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.abs(F.get("s", F.lit(i)) - F.get("s", F.lit(j))).alias("d")) for i, j in pairs]))
+    widest = shares.select("metric", gap.alias("g")).groupBy("metric", "g.i", "g.j").agg(F.max("g.d").alias("ks"))
+    of = known.groupBy("metric", "grp").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
+    side = lambda x, k: of.select("metric", F.col("grp").alias(f"group_{x}"), F.col("n").alias(f"n_{x}"), F.col("mean").alias(f"mean_{x}"))
+    named = widest.withColumns({f"group_{x}": F.get(F.array(*[F.lit(g) for g in groups]), F.col(k)) for x, k in (("a", "i"), ("b", "j"))})
+    out = named.join(side("a", "i"), ["metric", "group_a"], "left").join(side("b", "j"), ["metric", "group_b"], "left")
+    zero = F.lit(0).cast("long")
+    return out.select("metric", "group_a", "group_b", F.coalesce("n_a", zero).alias("n_a"), F.coalesce("n_b", zero).alias("n_b"), (F.col("mean_a") - F.col("mean_b")).alias("mean_difference"), "ks")
+
+
 def decile_shifts(rows: DataFrame, a: str, b: str) -> DataFrame:
     """How far two decile assignments of the same rows lie apart."""
     d = F.abs(F.col(a) - F.col(b))

@@ -234,6 +234,23 @@ def ks_distance(spark, sf_dir):
     return found.select(F.round("ks", 6).alias("ks"), F.round("mean_difference", 2).alias("mean_difference"), "n_a", "n_b", F.round(p, 6).alias("p"))
 
 
+_GROUPS = [f"{race}_{gender}" for race in ("automobile", "building", "furniture", "household", "machinery") for gender in ("female", "male")]
+
+
+@query(f"""WITH RECURSIVE {FAME}, vals AS (SELECT 'log10_hits' AS metric, grp, log10_hits AS x FROM famous UNION ALL SELECT 'n', grp, CAST(n AS DOUBLE) FROM famous),
+of AS (SELECT metric, grp, count(*) AS n, avg(x) AS m FROM vals GROUP BY ALL), pairs AS (SELECT a.metric, a.grp AS group_a, b.grp AS group_b, a.n AS n_a, b.n AS n_b, a.m - b.m AS diff FROM of a JOIN of b ON a.metric = b.metric AND a.grp < b.grp),
+steps AS (SELECT p.metric, group_a, group_b, n_a, n_b, diff, x, sum(CASE WHEN v.grp = group_a THEN n_b ELSE -n_a END) AS s FROM pairs p JOIN vals v ON v.metric = p.metric AND v.grp IN (group_a, group_b) GROUP BY ALL),
+gaps AS (SELECT *, abs(sum(s) OVER (PARTITION BY metric, group_a, group_b ORDER BY x)) AS g FROM steps),
+ks AS (SELECT row_number() OVER () AS id, *, h // gcd(n_a, n_b) AS lim, n_a // gcd(n_a, n_b) AS a, n_b // gcd(n_a, n_b) AS b FROM (SELECT metric, group_a, group_b, n_a, n_b, diff, CAST(max(g) AS BIGINT) AS h FROM gaps GROUP BY ALL)),
+walk AS (SELECT id, 0 AS t, [1.0::DOUBLE] || list_transform(range(n_a), lambda i: 0.0::DOUBLE) AS q FROM ks
+  UNION ALL SELECT w.id, t + 1, list_transform(range(n_a + 1), lambda i: CASE WHEN i > t + 1 OR t + 1 - i > n_b OR abs(i * b - (t + 1 - i) * a) >= lim THEN 0.0 ELSE (CASE WHEN i > 0 THEN q[i] * (n_a - i + 1) ELSE 0.0 END + CASE WHEN i <= t THEN q[i + 1] * (n_b - (t - i)) ELSE 0.0 END) / (n_a + n_b - t) END) FROM walk w JOIN ks USING (id) WHERE t < n_a + n_b)
+SELECT metric, group_a, group_b, n_a, n_b, round(diff, 6) AS mean_difference, round(h / (n_a * n_b), 9) AS ks, round(1.0 - q[n_a + 1], 8) AS p FROM ks JOIN walk w USING (id) WHERE w.t = n_a + n_b""")
+def ks_pairs(spark, sf_dir):
+    """A11 with J21: all pairs of subgroups and two metrics, with the exact p."""
+    found = statistics.with_ks_p(statistics.ks_pairs(famous(spark, sf_dir), "grp", ["log10_hits", "n"], _GROUPS))
+    return found.where("ks is not null").select("metric", "group_a", "group_b", "n_a", "n_b", F.round("mean_difference", 6).alias("mean_difference"), F.round("ks", 9).alias("ks"), F.round("p", 8).alias("p"))
+
+
 _TWO = f"{_EDGES}, q AS (SELECT quantile_cont(n, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM famous), two AS (SELECT b.author, b.decile + 1 AS a, len(list_filter(q.e, lambda x: x < n)) + 1 AS b FROM binned b, q)"
 
 
