@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import maths
 from ..operators import aggregates, filters, requests, sets, statistics, windows
 from ..sources import providers, scans, scratch, sinks, split_csv
+from ..sources.vector_files import VectorFiles
 from .registry import CUSTOMERS, FAME, customers, famous, query, table
 
 
@@ -124,6 +125,18 @@ def vector_cache(spark, sf_dir):
     return scans.vector_cache(spark, path).select("hash", F.size("embedding").alias("size"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
+@query("SELECT kind, sha256(CAST(vec_id AS VARCHAR)) AS hash, embedding FROM embeddings, (VALUES ('npz'), ('json')) k(kind)")
+def vector_files(spark, sf_dir):
+    """The cache's own forms, archives of arrays and JSON objects, written by tasks and read by row ranges."""
+    spark.dataSource.register(VectorFiles)
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.sha2(F.col("vec_id").cast("string"), 256).alias("hash"), "embedding")
+    path = scratch.folder(spark)
+    for kind in ("npz", "json"):
+        e.write.format("vectors").option("kind", kind).mode("append").save(f"{path}-{kind}")
+    read = lambda kind: spark.read.format("vectors").option("rows_per_partition", 200).load(f"{path}-{kind}").select(F.lit(kind).alias("kind"), "hash", "embedding")
+    return read("npz").union(read("json"))
+
+
 @query("SELECT 'run=third' AS run, count(*) AS n FROM nation")
 def latest_run(spark, sf_dir):
     """Each run in a place of its own; the newest is found by time."""
