@@ -14,7 +14,7 @@ components with a linear number of rows.
 
 ``similar_groups`` goes the same way for texts that are less alike (five words,
 a Jaccard similarity of 0.8): 64 bits part those badly, so fingerprints are
-longer, with more blocks.
+longer, with more blocks, and close cases are settled by the shingles.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; equal texts are one component; rows with a null id keep their row and
@@ -36,6 +36,8 @@ from . import common
 
 #: Words of a shingle, least similarity, and the fingerprint (64-bit numbers, bits of a piece) of ``similar_groups``.
 WIDTH, SIMILARITY, LONGS, PIECE_BITS = 5, 0.8, 22, 13
+#: Shingles with the least hashes that tell whether a text can have a near copy, deviations of the Hamming distance that need a closer look, and most keys that go along with tasks.
+LEAST, DEVIATIONS, MOST_KEYS = 20, 4.0, 500_000
 #: The bits of a byte as the low bits of eight bytes.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
@@ -114,14 +116,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits in which fingerprints of two shingle sets of this Jaccard similarity differ, by the angle between sets of one size."""
-    return int(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
+def differing_bits(similarity: float, bits: int, deviations: float = 0.0) -> int:
+    """Bits in which fingerprints of two shingle sets of this Jaccard similarity differ, by the angle between sets of one size, and so many standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(p * bits + deviations * math.sqrt(p * (1 - p) * bits))
 
 
-def wide_simhash(text: bytes, width: int = WIDTH, longs: int = LONGS) -> np.ndarray:
-    """A SimHash of 64 * longs bits: each shingle's hash is drawn out to as many."""
-    hashes = shingle_hashes(text, width)
+def wide_simhash(hashes: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """A SimHash of 64 * longs bits from shingle hashes: each is drawn out to as many."""
     counts = np.zeros(64 * longs, np.int64)
     steps = (np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
     for k in range(0, len(hashes), 255):
@@ -134,74 +136,144 @@ def wide_simhash(text: bytes, width: int = WIDTH, longs: int = LONGS) -> np.ndar
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
 
 
-def piece_keys(fingerprint: np.ndarray, piece_bits: int = PIECE_BITS) -> np.ndarray:
-    """Join keys of a wide fingerprint: each piece of its bits with the next one (the last with the first)."""
+def pieces_of(fingerprint: np.ndarray, piece_bits: int = PIECE_BITS) -> np.ndarray:
+    """A wide fingerprint as numbers of piece_bits bits."""
     bits = np.unpackbits(fingerprint.view(np.uint8), bitorder="little")
     n = len(bits) // piece_bits
-    pieces = bits[: n * piece_bits].reshape(n, piece_bits) @ (1 << np.arange(piece_bits, dtype=np.int64))
-    return pieces << piece_bits | np.roll(pieces, -1)
+    return bits[: n * piece_bits].reshape(n, piece_bits) @ (1 << np.arange(piece_bits, dtype=np.int64))
+
+
+def _normal(text: bytes) -> bytes:
+    return b" ".join(text.lower().split())
+
+
+def _shingle_sets(docs: DataFrame, text_col: str, keys: DataFrame, width: int) -> DataFrame:
+    """(key, shingles): the sorted set of shingle hashes of each text whose key is among keys."""
+    n = keys.count()
+    # Up to MOST_KEYS keys go along as 64-bit prefixes, so other texts are not shuffled.
+    wanted = {r["k"] for r in keys.select(F.substring("key", 1, 8).alias("k")).collect()} if n <= MOST_KEYS else None
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in map(_normal, common.utf8(batch.column(0))):
+                key = xxhash.xxh128_digest(t, 42)
+                if wanted is None or key[:8] in wanted:
+                    out.append((key, np.unique(shingle_hashes(t, width)).view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key binary, shingles array<long>")
+    return common.stored(found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles")))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, longs: int = LONGS, piece_bits: int = PIECE_BITS, pair_limit: int = 16) -> DataFrame:
-    """(doc_id, key, component_id): groups of texts whose wide fingerprints differ as sets of the given similarity do, or less.
-
-    Fingerprints of 64 * longs bits are cut into pieces; texts join on blocks of
-    two neighbouring pieces and are verified by the Hamming distance of the
-    whole. Texts that differ in fewer bits than half the pieces always share a
-    block; a pair at the similarity itself shares one with a chance that rises
-    with the number of pieces and falls with their bits (0.77 for the defaults
-    at 0.8, 0.94 at 0.85, 0.99 at 0.9). A block should have more bits than the
-    number of distinct texts has, so that few texts share one by chance. Equal
-    word sequences collapse first. In a block that over ``pair_limit`` texts
-    share, each is compared with the least of them, and joins again on that
-    block with each of three others, so work stays linear in its members.
+    """(doc_id, text_hash, key, component_id): groups of texts whose sets of shingles have the given Jaccard similarity or more.
+
+    Equal word sequences collapse first. A text goes on if half of its LEAST
+    shingles with the least hashes are among those of another text (a pair at
+    0.8 fails that with a chance of some 0.2 %). Fingerprints of 64 * longs bits
+    are cut into pieces, and texts join on blocks of two pieces, each with the
+    next three; a pair at 0.8 shares a block with a chance of 0.99. Pairs are
+    verified by the Hamming distance of the whole: four deviations below the
+    distance of the similarity they are linked, above four they are not, and
+    between them the exact similarity of the shingle sets decides.
+
+    In a block that over ``pair_limit`` texts share, each is compared with the
+    least of them first. If the links leave the block in several components, the
+    texts outside of the largest are compared with all; if these are over
+    ``pair_limit`` too, the block is cut by each of its texts' other pieces and
+    treated alike, and the last cut compares all pairs that are still apart.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    n_pieces = 64 * longs // piece_bits
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [b" ".join(t.lower().split()) for t in common.utf8(batch.column(1))]
-        found = [wide_simhash(t, width, longs) for t in texts]
-        return {"doc_id": batch.column(0), "key": [xxhash.xxh128_digest(t, 42) for t in texts], "fp": found, "blocks": [piece_keys(x, piece_bits) for x in found]}
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = common.stored(common.arrow_map(rows, run, f"doc_id {kind}, key binary, fp array<long>, blocks array<int>"))
-    first = common.stored(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("blocks").alias("blocks")))
-    n_blocks = 64 * longs // piece_bits
-    keyed = first.select("key", F.posexplode("blocks").alias("i", "block")).select("key", "i", F.xxhash64("i", "block").alias("b"))
-
-    def met(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs within small groups of equal b, and the members of large ones with the least of them."""
-        shared = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
-        found = common.stored(keyed.join(shared, "b"))
-        few = found.where(F.col("n") <= pair_limit)
-        pairs = few.select("b", F.col("key").alias("a")).join(few.select("b", F.col("key").alias("c")), "b").where("a < c").select("a", "c")
-        return pairs, found.where(F.col("n") > pair_limit)
-
-    star = lambda many: many.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("c"))
-    pairs, many = met(keyed)
-    other = lambda d: F.get(F.col("blocks"), (F.col("i") + d) % n_blocks)
-    more = F.explode(F.array(*[F.xxhash64("b", F.lit(d), other(d)) for d in (2, 3, 4)]))
-    again, still = met(many.join(first.select("key", "blocks"), "key").select("key", "i", more.alias("b")))
-    asked = pairs.union(star(many)).union(again).union(star(still)).distinct()
-    fps = first.select("key", "fp")
+        out: dict = {"doc_id": batch.column(0), "text_hash": batch.column(2), "key": [], "fp": [], "pieces": [], "low": []}
+        for t in map(_normal, common.utf8(batch.column(1))):
+            hashes = shingle_hashes(t, width)
+            fp = wide_simhash(hashes, longs)
+            low = np.unique(hashes)[:LEAST]
+            for name, x in (("key", xxhash.xxh128_digest(t, 42)), ("fp", fp), ("pieces", pieces_of(fp, piece_bits).astype(np.int32)), ("low", low.view(np.int64))):
+                out[name].append(x)
+        return out
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    marked = common.stored(common.arrow_map(rows, run, f"doc_id {kind}, text_hash long, key binary, fp array<long>, pieces array<int>, low array<long>"))
+    first = common.stored(marked.groupBy("key").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("fp", "pieces", "low")]))
+    low = first.select("key", F.size("low").alias("n_low"), F.explode("low").alias("h"))
+    shared = low.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    likely = low.join(shared, "h", "left_semi").groupBy("key").agg((2 * F.count(F.lit(1)) >= F.first("n_low")).alias("ok")).where("ok").select("key")
+    nodes = common.stored(first.join(likely, "key", "left_semi").select("key", "fp", "pieces"))
+    fps = nodes.select("key", "fp")
     apart = F.aggregate(F.zip_with("fa", "fc", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = asked.join(fps.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("key").alias("c"), F.col("fp").alias("fc")), "c")
-    edges = both.where(apart <= differing_bits(similarity, 64 * longs)).select("a", F.col("c").alias("b"))
-    roots = common.components(edges).withColumnRenamed("node", "key")
-    rooted = first.select("key", "first_id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sure, most = (differing_bits(similarity, 64 * longs, d) for d in (-DEVIATIONS, DEVIATIONS))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, c, d) of distinct pairs that are near enough to be linked or compared."""
+        both = pairs.distinct().join(fps.select(F.col("key").alias("a"), F.col("fp").alias("fa")), "a").join(fps.select(F.col("key").alias("c"), F.col("fp").alias("fc")), "c")
+        return common.stored(both.select("a", "c", apart.alias("d")).where(F.col("d") <= most))
+
+    def linked(near: DataFrame) -> DataFrame:
+        """(key, root) of what sure links join."""
+        return common.components(near.where(F.col("d") <= sure).select("a", F.col("c").alias("b"))).select(F.col("node").alias("key"), "root")
+
+    def crossing(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of one block in different components."""
+        one, other = left.select("b", F.col("key").alias("x"), F.col("root").alias("rx")), right.select("b", F.col("key").alias("y"), F.col("root").alias("ry"))
+        return one.join(other, "b").where("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("c"))
+
+    piece = lambda d: F.get("pieces", (F.col("i") + d) % n_pieces)
+    keyed = nodes.select("key", "pieces", F.explode(F.sequence(F.lit(0), F.lit(n_pieces - 1))).alias("i")).select("key", "i", F.explode(F.array(*[F.xxhash64("i", F.lit(d), piece(0), piece(d)) for d in (1, 2, 3)])).alias("b")).select("key", "b")
+    near = None
+    for level in range(3):
+        sizes = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
+        found = common.stored(keyed.join(sizes, "b"))
+        few, many = found.where(F.col("n") <= pair_limit), found.where(F.col("n") > pair_limit)
+        pairs = few.select("b", F.col("key").alias("a")).join(few.select("b", F.col("key").alias("c")), "b").where("a < c").select("a", "c")
+        met = verified(pairs.union(many.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("c"))))
+        near = met if near is None else near.union(met)
+        if not many.limit(1).count():
+            break
+        roots = linked(near)
+        rooted = common.stored(many.select("b", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+        parts = rooted.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"))
+        blocks = parts.groupBy("b").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+        mixed = rooted.join(blocks, "b")
+        outside = mixed.where("root <> main")
+        last = level == 2
+        near = near.union(verified(crossing(outside if last else outside.where(F.col("outside") <= pair_limit), mixed)))
+        crowded = mixed.where(F.col("outside") > pair_limit)
+        if last or not crowded.limit(1).count():
+            break
+        keyed = crowded.select("b", "key").join(nodes.select("key", "pieces"), "key").select("key", "b", F.posexplode("pieces").alias("i", "p")).select("key", F.xxhash64("b", "i", "p").alias("b"))
+    roots = common.stored(linked(near))
+    root = lambda x: roots.select(F.col("key").alias(x), F.col("root").alias(f"r{x}"))
+    open_ = near.where(F.col("d") > sure).select("a", "c").distinct().join(root("a"), "a", "left").join(root("c"), "c", "left")
+    asked = common.stored(open_.where(F.coalesce("ra", "a") != F.coalesce("rc", "c")).select("a", "c"))
+    sets = _shingle_sets(docs, text_col, asked.select(F.col("a").alias("key")).union(asked.select(F.col("c").alias("key"))).distinct(), width)
+    side = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}"))
+    both = asked.join(side("a"), "a").join(side("c"), "c")
+    common_ = F.size(F.array_intersect("sa", "sc"))
+    exact = both.where(common_ >= similarity * (F.size("sa") + F.size("sc") - common_)).select("a", F.col("c").alias("b"))
+    ends = common.components(roots.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(exact)).withColumnRenamed("node", "key")
+    rooted = first.select("key", "first_id").join(ends, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "key", "component_id")
+    return marked.select("doc_id", "text_hash", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "text_hash", "key", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """Documents that are the least id of their group of similar texts; columns as in docs.
 
-    Rows that share the kept id (repeated rows) all stay; rows with a null id
+    Repeated rows of the kept document (its id and its text) all stay; a row of
+    the same id and another text goes with its own group. Rows with a null id
     stay only if no row of their group has an id.
     """
     groups = similar_groups(docs, id_col, text_col, **parameters)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_text")).distinct()
+    same_text = F.xxhash64(docs[text_col].cast("string")) == kept["_kept_text"]
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]) & same_text, "left_semi")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 
 import xxhash
 
-from attrilens.llm import fingerprints, quality_rules, secret_scan, simhash_dedup
+from attrilens.llm import fingerprints, quality_rules, secret_scan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -213,13 +213,15 @@ def components(pairs, ids):
     return {i: find(i) for i in ids}
 
 
-def similar(texts):
-    """Component of each text id whose wide fingerprints differ in few enough bits and share two neighbouring pieces."""
-    s = simhash_dedup
-    fps = {i: wide_simhash(t, s.WIDTH, s.LONGS) for i, t in texts.items()}
-    most, n = s.differing_bits(s.SIMILARITY, 64 * s.LONGS), 64 * s.LONGS // s.PIECE_BITS
-    pieces = {i: [fp >> k * s.PIECE_BITS & (1 << s.PIECE_BITS) - 1 for k in range(n)] for i, fp in fps.items()}
-    cut = {i: [(x[k], x[(k + 1) % n]) for k in range(n)] for i, x in pieces.items()}
+def alike(a, b, similarity=0.8, width=5):
+    """Equal word sequences, or sets of shingles of at least this Jaccard similarity."""
+    if words(a) == words(b):
+        return True
+    x, y = set(shingles(a, width)), set(shingles(b, width))
+    return len(x & y) >= similarity * len(x | y) > 0
+
+
+def similar(texts, similarity=0.8):
+    """Component of each text id by all pairs."""
     ids = sorted(texts)
-    pairs = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if words(texts[a]) == words(texts[b]) or (fps[a] ^ fps[b]).bit_count() <= most and any(x == y for x, y in zip(cut[a], cut[b]))]
-    return components(pairs, ids)
+    return components([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if alike(texts[a], texts[b], similarity)], ids)
\ No newline at end of file
