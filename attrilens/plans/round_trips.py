@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..functions import maths
 from ..operators import aggregates, filters, requests, sets, statistics, windows
 from ..sources import providers, scans, scratch, sinks, split_csv
@@ -137,6 +138,20 @@ def vector_files(spark, sf_dir):
     return read("npz").union(read("json"))
 
 
+@query("SELECT 'req_' || o_custkey AS custom_id, 'answer ' || min(o_orderkey % 3) AS llm_output, CAST(200 AS INT) AS http_status FROM orders GROUP BY o_custkey")
+def streamed_ingest(spark, sf_dir):
+    """Three batches of response files with keys in common, the stream stopped and started again between them; the first of a key stays."""
+    own = streaming.state_session(spark)
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("req_"), F.col("o_custkey").cast("string")).alias("custom_id"), (F.col("o_orderkey") % 3).alias("part"))
+    body = F.struct(F.lit(200).alias("status_code"), F.struct(F.concat(F.lit("answer "), F.col("part").cast("string")).alias("output_text")).alias("body"))
+    lines = o.select("part", F.to_json(F.struct("custom_id", body.alias("response"))).alias("value"))
+    source, out, state = (scratch.folder(spark) for _ in range(3))
+    for part in range(3):
+        lines.where(F.col("part") == part).select("value").write.mode("append").text(source)
+        streaming.ingest(streaming.response_stream(own, source), out, state).awaitTermination()
+    return spark.read.parquet(out).select("custom_id", "llm_output", "http_status")
+
+
 @query("SELECT 'run=third' AS run, count(*) AS n FROM nation")
 def latest_run(spark, sf_dir):
     """Each run in a place of its own; the newest is found by time."""

@@ -155,6 +155,43 @@ def test_stream_ingest(spark, tmp_path):
     assert sorted(r["custom_id"] for r in spark.read.parquet(out).collect()) == ["req_1", "req_2"]
 
 
+def test_stream_state_survives_restarts_and_leaves_the_sink_alone(spark, tmp_path):
+    """Batches of one file each, a restart after every other one; state is that of the dedupe operator."""
+    src, out, cp = tmp_path / "in", tmp_path / "out", str(tmp_path / "cp")
+    src.mkdir()
+    own = streaming.state_session(spark)
+    seen, shown = {}, {}
+    for k in range(6):
+        keys = [f"req_{i}" for i in range(3 * k, 3 * k + 9)]
+        lines = [json.dumps({"custom_id": i, "response": {"status_code": 200, "body": {"output_text": f"batch {k}"}}}) for i in keys]
+        (src / f"{k}.jsonl").write_text("\n".join(lines))
+        for i in keys:
+            seen.setdefault(i, f"batch {k}")
+        if k % 2:
+            q = streaming.ingest(streaming.response_stream(own, str(src), max_files=1), str(out), cp)
+            q.awaitTermination()
+            assert [x["operatorName"] for x in q.lastProgress["stateOperators"]] == ["dedupe"]
+            shown |= {r["custom_id"]: r["llm_output"] for r in spark.read.parquet(str(out)).collect()}
+            assert len(shown) == spark.read.parquet(str(out)).count()
+    assert shown == seen
+    assert own.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+def test_stream_state_within_a_watermark(spark, tmp_path):
+    src, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    src.mkdir()
+    own = streaming.state_session(spark)
+    for k, rows in enumerate([["a 10:00", "b 10:01"], ["a 10:05", "c 11:30"], ["a 11:40", "d 11:41"]]):
+        (src / f"{k}.txt").write_text("\n".join(rows))
+        lines = own.readStream.text(str(src)).select(F.substring("value", 1, 1).alias("k"), F.to_timestamp(F.concat(F.lit("2024-01-01 "), F.substring("value", 3, 5))).alias("at"))
+        streaming.ingest(lines, out, cp, keys=("k",), within="20 minutes", time="at").awaitTermination()
+    # The third a comes when its key has been forgotten.
+    assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "a", "b", "c", "d"]
+    with pytest.raises(ValueError, match="go together"):
+        streaming.ingest(lines, out, cp, within="1 hour")
+
+
 def test_reuse_and_expand(spark):
     m = spark.createDataFrame([("a",), ("b",)], "request_id string")
     old = spark.createDataFrame([(0, "a", "x"), (1, "a", "")], "i int, request_id string, llm_output string")
