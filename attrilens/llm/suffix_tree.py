@@ -20,8 +20,11 @@ sends its distinct keys with their counts as packed arrays, one for each range
 of hashes; a range sums what the slices sent and returns the sums to them. So
 there is one row for each slice and range, never more than keys, and no part of
 the tree is sent to the driver or to every task but this: contexts seen
-``hot_count`` times and more (at most 2**20 of them) are spread over all ranges,
-are always states, and their numbers of next symbols are sent to every task.
+``hot_count`` times and more (at most 2**20 of them) are spread over all ranges.
+Each range returns its part of their sizes and numbers of next symbols, and how
+many of their windows have which count and chance; Spark adds these up and takes
+the same divergence test, and which of them are states is sent to every task. So
+``hot_count`` moves work but no score.
 Windows whose last symbol or suffix only one slice asks for are counted there.
 
 Defined results: null and empty texts are the end alone; a row with a null id
@@ -342,7 +345,7 @@ def _joined(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 ASKED = "slice long, part long, contexts binary, runs binary, singles binary, hot binary, hot_hashes binary, wins binary, counts binary, chances binary"
-ANSWERED = "slice long, part long, level int, totals binary, kinds binary, hot binary, hot_kinds binary"
+ANSWERED = "slice long, part long, level int, totals binary, kinds binary, hot binary, hot_parts binary, hot_windows binary"
 
 
 def _merged(rows: pa.Table, level: int, least_gain: float, discount: float) -> list[dict]:
@@ -379,10 +382,44 @@ def _merged(rows: pa.Table, level: int, least_gain: float, discount: float) -> l
     ]
     if len(hot):
         names, at = np.unique(_joined(data["hot_hashes"], np.uint64)[0], return_index=True)
-        out.append({"slice": None, "part": part, "level": level, "hot": names.tobytes(), "hot_kinds": after[context[hot][at]].astype(np.int64).tobytes()})
+        own = context[hot][at]
+        parts = np.stack([after[own], once[own], size[own]]).astype(np.int64)
+        # Windows of spread contexts by context, count and step of chance.
+        named = np.full(n_contexts, -1, np.int64)
+        named[own] = np.arange(len(own))
+        often = many & (named[of] >= 0)
+        windows, n = np.unique(np.stack([named[of[often]], total[often], steps[first][often].astype(np.int64)]), axis=1, return_counts=True)
+        out.append({"slice": None, "part": part, "level": level, "hot": names.tobytes(), "hot_parts": parts.tobytes(), "hot_windows": np.vstack([windows, n]).astype(np.int64).tobytes()})
     return out
 
 
+_HOT = "h long, after long, once long, size long, t long, step int, n long"
+
+
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ranges return of spread contexts as rows: one for each part (t null), and one for each count and step of its windows."""
+    target = pa.schema([("h", pa.int64()), ("after", pa.int64()), ("once", pa.int64()), ("size", pa.int64()), ("t", pa.int64()), ("step", pa.int32()), ("n", pa.int64())])
+    for batch in batches:
+        for r in batch.to_pylist():
+            names = np.frombuffer(r["hot"], np.int64)
+            after, once, size = np.frombuffer(r["hot_parts"], np.int64).reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(after), pa.array(once), pa.array(size), *[pa.nulls(len(names), f.type) for f in list(target)[4:]]], schema=target)
+            own, t, step, n = np.frombuffer(r["hot_windows"], np.int64).reshape(4, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(names[own]), *[pa.nulls(len(own), pa.int64())] * 3, pa.array(t), pa.array(step.astype(np.int32)), pa.array(n)], schema=target)
+
+
+def _hot_states(found: DataFrame, least_gain: float, discount: float) -> DataFrame:
+    """(h, kinds) of the spread contexts by the test that ``_merged`` takes for the others."""
+    rows = found.where("slice is null").select("hot", "hot_parts", "hot_windows").mapInArrow(_hot_rows, _HOT)
+    parts = rows.where("t is null").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("after", "once", "size")])
+    windows = rows.where("t is not null").groupBy("h", "t", "step").agg(F.sum("n").alias("n"))
+    q, others = F.pow(F.lit(2.0), -F.col("step") / STEPS), F.greatest(F.col("size") - 1, F.lit(1))
+    each = F.col("n") * F.col("t") * F.log((F.greatest(F.col("t") - 1 - discount, F.lit(0.0)) + discount * F.col("after") * q) / others / q)
+    gains = windows.join(parts, "h").groupBy("h").agg(F.sum(each).alias("gain"))
+    gain = F.coalesce("gain", F.lit(0.0)) + F.col("once") * F.log(F.greatest(discount * (F.col("after") - 1), F.lit(1e-9)) / others)
+    return parts.join(gains, "h", "left").select("h", F.when((gain >= least_gain) & (F.col("size") > 1), F.col("after")).otherwise(0).alias("kinds"))
+
+
 def _table(rows: list[dict], target: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=target)
 
@@ -476,12 +513,10 @@ def score_documents(docs: DataFrame, held: Column | None = None, id_col: str = "
         wanted = base.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(asking(list(hots)), ASKED)
         found = common.stored(wanted.groupBy("part").applyInArrow(merging(level), ANSWERED))
         # At most 2**20 contexts are that frequent.
-        hot: dict[int, int] = {}
-        for r in found.where("slice is null").select("hot", "hot_kinds").toLocalIterator():
-            for h, n in zip(np.frombuffer(r["hot"], np.uint64).tolist(), np.frombuffer(r["hot_kinds"], np.int64).tolist()):
-                hot[h] = hot.get(h, 0) + n
-        names = np.array(sorted(hot), np.uint64)
-        hots.append((names, np.array([hot[h] for h in names.tolist()], np.int64)))
+        hot = _hot_states(found, least_gain, discount).collect()
+        names = np.array([r["h"] for r in hot], np.int64).view(np.uint64)
+        order = np.argsort(names)
+        hots.append((names[order], np.array([r["kinds"] for r in hot], np.int64)[order]))
         answers = answers.union(found.where("slice is not null").select("slice", "part", "level", "totals", "kinds"))
         # Collections here and in the driver free the shuffles of levels that are done.
         del wanted

@@ -343,7 +343,7 @@ def test_suffix_tree(spark, sf, texts):
     assert sums[0] > sums[1]
 
 
-def brute_tree(texts, train, depth, least, least_gain, discount, hot=1 << 17):
+def brute_tree(texts, train, depth, least, least_gain, discount):
     """The model in plain dictionaries: a function of a sequence and a place in it, the kept states, and the root."""
     lists = [["<s>", *WORD.findall(lower(t)), "</s>"] for t in texts]
     after = {}
@@ -372,13 +372,13 @@ def brute_tree(texts, train, depth, least, least_gain, discount, hot=1 << 17):
         for x, k in n.items():
             p = 2 ** (-round(-suffix_tree.STEPS * math.log2(chance(x, context[1:]))) / suffix_tree.STEPS)
             gain += k * math.log((max(k - 1 - discount, 0) + discount * (len(n) - (k == 1)) * p) / (m - 1) / p) if len(n) > 1 or k > 1 else 0
-        if gain >= least_gain or m >= hot:
+        if gain >= least_gain:
             states.add(context)
     return lists, chance, states
 
 
-def brute_scores(texts, train, depth, least, least_gain, discount, hot):
-    lists, chance, states = brute_tree(texts, train, depth, least, least_gain, discount, hot)
+def brute_scores(texts, train, depth, least, least_gain, discount):
+    lists, chance, states = brute_tree(texts, train, depth, least, least_gain, discount)
     return [sum(math.log10(chance(seq[i], tuple(seq[max(0, i - depth) : i]))) for i in range(1, len(seq))) for seq in lists], states
 
 
@@ -395,7 +395,7 @@ def test_suffix_tree_brute(spark, monkeypatch, depth, least, hot, keys):
         texts.append(" ".join(words))
     texts += [texts[7], texts[8], "", None]
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
-    want, states = brute_scores([t or "" for t in texts], train, depth, least, suffix_tree.LEAST_GAIN, suffix_tree.DISCOUNT, hot)
+    want, states = brute_scores([t or "" for t in texts], train, depth, least, suffix_tree.LEAST_GAIN, suffix_tree.DISCOUNT)
     assert not depth or {len(c) for c in states} == set(range(1, depth + 1))
     monkeypatch.setattr(suffix_tree, "SLICE_DOCS", 30)
     found = suffix_tree.score_documents(documents(spark, texts).repartition(3), depth=depth, least_count=least, hot_count=hot, range_keys=keys)
