@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,3 +30,10 @@ def folder(spark: SparkSession) -> str:
 
     atexit.register(remove)
     return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder."""
+    path = folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -203,7 +203,7 @@ def test_neighbours(spark):
     s = u @ u.T
     np.fill_diagonal(s, -np.inf)
     want = {i: sorted(range(90), key=lambda j: (-round(s[i, j], 9), j))[:4] for i in range(90)}
-    for got in (retrieval.neighbours(df, df, "id", "v", 4, block=32), retrieval.neighbours_small(df, df, "id", "v", 4)):
+    for got in (retrieval.neighbours(df, df, "id", "v", 4, block_bytes=32 * 4 * len(df.first()["v"])), retrieval.neighbours_small(df, df, "id", "v", 4)):
         rows = got.orderBy("query", "rank").collect()
         assert {i: [r["neighbour"] for r in rows if r["query"] == i] for i in range(90)} == want
 
@@ -225,3 +225,41 @@ def test_unit_and_dot(spark):
     df = spark.sql("select array(3f, 4f) a, array(0f, 0f) b")
     row = df.select(maths.unit(F.col("a")), maths.unit(F.col("b")), maths.dot(maths.unit(F.col("a")), maths.unit(F.col("a")))).first()
     assert np.allclose(row[0], [0.6, 0.8]) and row[1] == [0.0, 0.0] and math.isclose(row[2], 1.0)
+
+
+def test_neighbours_skip_pairs_of_blocks(spark):
+    """On clustered vectors most pairs of blocks never meet, and the result is that of all scores."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 12))
+    m = (centres[rng.integers(0, 20, 1500)] + 0.02 * rng.normal(size=(1500, 12))).astype(np.float32)
+    m[700:760] = m[5]  # copies tie
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<float>")
+    met: list = []
+    got = {}
+    for r in retrieval.neighbours(df, df, "id", "v", 5, block_bytes=48 * 25, skipped=met).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"], r["score"]))
+    unit = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    scores = unit @ unit.T
+    np.fill_diagonal(scores, -np.inf)
+    for i in range(1500):
+        want = sorted(range(1500), key=lambda j: (-round(scores[i, j], 12), j))[:5]
+        assert np.allclose([x[2] for x in sorted(got[i])], scores[i, want], atol=1e-12)
+    assert [x[1] for x in sorted(got[5])] == [700, 701, 702, 703, 704]
+    assert met[1] > 1000 and met[0] < 0.5 * met[1]
+
+
+def test_neighbours_of_empty_tables_and_fewer_rows_than_k(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id long, v array<float>")
+    assert retrieval.neighbours(df.limit(0), df, "id", "v", 5).count() == 0
+    assert retrieval.neighbours(df, df.limit(0), "id", "v", 5).count() == 0
+    assert sorted((r["query"], r["neighbour"], r["rank"]) for r in retrieval.neighbours(df, df, "id", "v", 5).collect()) == [(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2)]
+
+
+def test_cosine_bound_holds():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = (rng.normal(size=3) + 0.3 * rng.normal(size=(20, 3)) for _ in range(2))
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+        ca, cb = a.mean(axis=0), b.mean(axis=0)
+        ra, rb = (np.linalg.norm(x - c, axis=1).max() for x, c in ((a, ca), (b, cb)))
+        assert (a @ b.T).max() <= retrieval.cosine_bound(ca, ra, cb[None], np.array([rb]))[0] + 1e-12
