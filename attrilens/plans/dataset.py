@@ -293,17 +293,44 @@ def run_ranks(spark, sf_dir):
     return windows.rank_runs(s, [("a", False), ("b", True)]).select("run", "rank_a", "rank_b", "rank_sum")
 
 
-@query()
-def matched_groups(spark, sf_dir):
-    """20 seeded runs; sequential within a run, so rows only. Tested against a plain matcher."""
+_OTHERS = ["building_male", "machinery_male", "machinery_female"]
+# One step of a run: the nearest author left of each group, by octave of quotes from the reference's own downwards, then of any, then the last.
+_PICK = "coalesce(list_min(list_transform(list_filter(p{i}, lambda x: NOT list_contains(t{i}, x.a) AND x.h >= r.h - o{i} AND x.o <= r.o), lambda x: {{'o': -x.o, 'h': x.h, 'c': x.c, 'a': x.a}})), list_min(list_transform(list_filter(p{i}, lambda x: NOT list_contains(t{i}, x.a) AND x.h >= r.h - o{i}), lambda x: {{'o': 0, 'h': x.h, 'c': x.c, 'a': x.a}})), list_max(list_transform(list_filter(p{i}, lambda x: NOT list_contains(t{i}, x.a)), lambda x: {{'o': 0, 'h': x.h, 'c': x.c, 'a': x.a}})))"
+_EACH = lambda form: ", ".join(form.format(i=i) for i in range(3))
+_MATCHED = f"""WITH RECURSIVE {FAME}, pool AS (SELECT grp, log10_hits AS h, n AS c, CAST(author AS VARCHAR) AS a, CAST(floor(log2(n) + 1e-9) AS BIGINT) AS o FROM famous),
+refs AS (SELECT run, h, c, a, o, row_number() OVER (PARTITION BY run ORDER BY md5(a || ':' || run), a) AS k FROM pool, range(20) x(run) WHERE grp = 'building_female'),
+pools AS (SELECT {", ".join(f"(SELECT list({{'h': h, 'c': c, 'a': a, 'o': o}}) FROM pool WHERE grp = '{g}') AS p{i}" for i, g in enumerate(_OTHERS))}),
+walk AS (SELECT run, 0::BIGINT AS k, 0::BIGINT AS m, false AS ok, {_EACH("0.0::DOUBLE AS o{i}")}, {_EACH("[]::VARCHAR[] AS t{i}")}, {_EACH("NULL::STRUCT(o BIGINT, h DOUBLE, c BIGINT, a VARCHAR) AS x{i}")} FROM range(20) x(run)
+  UNION ALL SELECT run, k, m + CAST(ok AS BIGINT), ok, {_EACH("CASE WHEN ok THEN o{i} + (x{i}.h - h) ELSE o{i} END")}, {_EACH("CASE WHEN ok THEN list_append(t{i}, x{i}.a) ELSE t{i} END")}, {_EACH("x{i}")}
+  FROM (SELECT *, (x0.h - h) * (x0.h - h) + (x1.h - h) * (x1.h - h) + (x2.h - h) * (x2.h - h) < 3.0 AS ok FROM (SELECT s.run, r.k, r.h, m, {_EACH("o{i}")}, {_EACH("t{i}")}, {", ".join(_PICK.format(i=i) + f" AS x{i}" for i in range(3))} FROM walk s JOIN refs r ON r.run = s.run AND r.k = s.k + 1, pools)) WHERE x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL),
+met AS (SELECT w.run, w.m - 1 AS m, r.a, r.h, r.c, least(r.c, x0.c, x1.c, x2.c) AS n, x0, x1, x2 FROM walk w JOIN refs r ON r.run = w.run AND r.k = w.k WHERE w.ok),
+matched AS (SELECT CAST(run AS INT) AS run_id, 'building_female' AS grp, a AS author, h AS log10_hits, c AS count, n AS to_sample, CAST(m AS INT) AS match_idx FROM met{"".join(f" UNION ALL SELECT run, '{g}', x{i}.a, x{i}.h, x{i}.c, n, m FROM met" for i, g in enumerate(_OTHERS))})"""
+
+
+def _matched(spark, sf_dir):
     f = famous(spark, sf_dir).select("grp", "author", "log10_hits", F.col("n").alias("count"))
-    return matching.matched_runs(f, "building_female", ["building_male", "machinery_male", "machinery_female"], runs=20)
+    return matching.matched_runs(f, "building_female", _OTHERS, runs=20)
+
+
+@query(f"{_MATCHED} SELECT run_id, grp, author, round(log10_hits, 6) AS log10_hits, count, to_sample, match_idx FROM matched")
+def matched_groups(spark, sf_dir):
+    """20 seeded runs, sequential within a run; in SQL a recursion over the reference's authors."""
+    return rounded(_matched(spark, sf_dir))
+
+
+_RANK = "rank() OVER (ORDER BY {c} {d}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{k}"
 
 
-@query()
+@query(f"""{_MATCHED}, fames AS (SELECT run_id, grp, count(*) AS n, avg(log10_hits) AS fame FROM matched GROUP BY ALL),
+spread AS (SELECT run_id, max(n) AS authors_per_group, round(avg(fame), 9) AS avg_fame, round(max(fame) - min(fame), 9) AS fame_range FROM fames GROUP BY run_id),
+ref AS (SELECT run_id, match_idx, log10_hits AS ref, to_sample FROM matched WHERE grp = 'building_female'),
+errors AS (SELECT run_id, round(sqrt(avg((log10_hits - ref) ** 2)), 9) AS rms_error FROM matched JOIN ref USING (run_id, match_idx) WHERE grp <> 'building_female' GROUP BY run_id),
+stats AS (SELECT spread.*, quotes_per_group, rms_error, 1.0::DOUBLE AS squared_error_limit FROM spread JOIN (SELECT run_id, CAST(sum(to_sample) AS BIGINT) AS quotes_per_group FROM ref GROUP BY run_id) USING (run_id) JOIN errors USING (run_id)),
+ranked AS (SELECT *, {", ".join(_RANK.format(c=c, d="ASC" if up else "DESC", k=k) for k, (c, up) in enumerate(matching.CRITERIA))} FROM stats)
+SELECT * EXCLUDE ({", ".join(f"r{k}" for k in range(5))}), {", ".join(f"r{k} AS rank_{c}" for k, (c, _) in enumerate(matching.CRITERIA))}, {" + ".join(f"r{k}" for k in range(5))} AS rank_sum FROM ranked""")
 def matcher_runs(spark, sf_dir):
-    """Metrics of each run, best first."""
-    stats = matching.run_stats(matched_groups(spark, sf_dir), "building_female")
+    """Metrics of each run, best first; metrics are rounded before they are ranked, so ties are ties."""
+    stats = rounded(matching.run_stats(_matched(spark, sf_dir), "building_female"), 9)
     return windows.rank_runs(stats, matching.CRITERIA)
 
 
