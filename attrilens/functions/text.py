@@ -1,17 +1,11 @@
-"""Text scalars: cleaning, names, prompts and keys, as column expressions.
-
-``nfkd_words`` is the one Arrow function: Spark has no compatibility
-decomposition. Everything else stays in the JVM.
-"""
+"""Text scalars: cleaning, names, prompts and keys, as column expressions in the JVM."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import unicode_forms
 
 # Ranges of letters that count as Latin, and of Arabic characters (Java regex classes).
 LATIN = r" -~ -ÿĀ-ſƀ-ɏḀ-ỿ"
@@ -124,34 +118,21 @@ def canonicalize_author(c: Column) -> Column:
     return strip(F.regexp_replace(name, r"[-–—]\s*$", ""))
 
 
-@F.pandas_udf(T.StringType())
-def nfkd_words(texts: pd.Series) -> pd.Series:
-    """X4 with compatibility decomposition: combining marks dropped, lower case, other characters as spaces."""
-
-    def one(text):
-        if text is None:
-            return None
-        flat = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch)).lower()
-        return " ".join("".join(ch if ch.isalnum() or ch == "_" else " " for ch in flat).split())
-
-    return texts.map(one)
-
-
 def ascii_words(c: Column) -> Column:
-    """X4 for ASCII text, in the JVM: equal to nfkd_words there."""
+    """X4 for ASCII text: equal to match_words there."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9_]+", " "))
 
 
 def normalize_for_match(c: Column) -> Column:
-    """ASCII text stays in the JVM, other text goes through one Arrow function."""
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), ascii_words(c)).otherwise(nfkd_words(c))
+    """ASCII text the short way, other text through tables of Unicode data; all in the JVM."""
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), ascii_words(c)).otherwise(unicode_forms.match_words(c))
 
 
 def last_name(author: Column, normalise=normalize_for_match) -> Column:
     """Last token in match form; null for one token, under four letters, or a stopword."""
     tokens = F.filter(F.split(author, r"\s+"), lambda t: t != "")
-    last = normalise(F.try_element_at(tokens, F.lit(-1)))
-    return F.when((F.size(tokens) > 1) & (F.length(last) >= 4) & ~last.isin(*LAST_NAME_STOPWORDS), last)
+    last = unicode_forms.let(normalise(F.try_element_at(tokens, F.lit(-1))), lambda x: F.when((F.length(x) >= 4) & ~x.isin(*LAST_NAME_STOPWORDS), x))
+    return F.when(F.size(tokens) > 1, last)
 
 
 # Fixed value: a run of capitalised words or initials.

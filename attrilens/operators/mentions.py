@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.unicode_forms import let
 
 ALIAS, FULL, REVERSED, LAST = 0, 1, 2, 3
 
@@ -24,7 +25,9 @@ def dictionary(authors: DataFrame, author: str, order: str, scope: list[str] | N
     Equal full names: the last author; equal reversed names: the first; equal last names: the longest, then the first.
     """
     scope = scope or []
-    people = authors.select(*scope, F.col(author).alias("author"), F.col(order).alias("_ord"), normalise(F.col(author)).alias("form"), text.last_name(F.col(author), normalise).alias("last"))
+    # The generator makes the forms columns of their own, so they are computed once and not in each place that uses them.
+    forms = F.explode(F.array(F.struct(normalise(F.col(author)).alias("form"), text.last_name(F.col(author), normalise).alias("last")))).alias("x")
+    people = authors.select(*scope, F.col(author).alias("author"), F.col(order).alias("_ord"), forms).select(*scope, "author", "_ord", "x.form", "x.last")
     people = people.where((F.col("form") != "") & ~F.col("form").isin(text.NON_PERSON_AUTHORS))
     full = people.groupBy(*scope, F.col("form").alias("name")).agg(F.max_by("author", "_ord").alias("author")).withColumn("tier", F.lit(FULL))
     turned = people.where(F.col("form").contains(" ")).withColumn("name", F.array_join(F.reverse(F.split("form", " ")), " "))
@@ -96,13 +99,16 @@ def _holds(body: Column, name: Column) -> Column:
 
 def author_matches(body: Column, author: Column, normalise=text.normalize_for_match) -> Column:
     """Whether a text names its own author: in order, reversed, by an alias or by the last name."""
-    b, a = normalise(body), normalise(author)
-    found = _holds(b, a) | (F.contains(a, F.lit(" ")) & _holds(b, F.array_join(F.reverse(F.split(a, " ")), " ")))
-    for canonical, names in text.ALIASES.items():
-        for n in names:
-            found = found | ((a == canonical) & _holds(b, F.lit(" ".join("".join(c if c.isalnum() else " " for c in n).split()))))
-    last = text.last_name(author, normalise)
-    return F.coalesce(found | F.coalesce(_holds(b, last), F.lit(False)), F.lit(False))
+    listed = [(canonical, " ".join("".join(c if c.isalnum() else " " for c in n).split())) for canonical, names in text.ALIASES.items() for n in names]
+
+    def forms(b: Column, a: Column, last: Column) -> Column:
+        found = _holds(b, a) | (F.contains(a, F.lit(" ")) & _holds(b, F.array_join(F.reverse(F.split(a, " ")), " ")))
+        for canonical, name in listed:
+            found = found | ((a == canonical) & _holds(b, F.lit(name)))
+        return F.coalesce(found | F.coalesce(_holds(b, last), F.lit(False)), F.lit(False))
+
+    own = F.struct(normalise(body).alias("b"), normalise(author).alias("a"), text.last_name(author, normalise).alias("last"))
+    return let(own, lambda x: forms(x["b"], x["a"], x["last"]))
 
 
 def live_unit_flags(rows: DataFrame, responses: list[str], author: str, alt: str | None = None) -> DataFrame:

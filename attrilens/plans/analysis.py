@@ -206,7 +206,7 @@ def subgroup_labels(spark, sf_dir):
     return c.select("author", filters.subgroup_label(F.col("race"), F.col("gender"), True).alias("label"), filters.subgroup_label(F.col("race"), F.col("gender"), False).alias("plain"), filters.subgroup_order(F.concat_ws("-", "race", "gender")).alias("ordered"))
 
 
-_WORDS = "trim(regexp_replace(lower({}), '[^a-z0-9_]+', ' ', 'g'), ' ')"
+_WORDS = r"trim(regexp_replace(lower(strip_accents({})), '[^\pL\pN_]+', ' ', 'g'), ' ')"
 _STOP = ", ".join(f"'{w}'" for w in text.LAST_NAME_STOPWORDS)
 _NAMES = f"""names0 AS (
   SELECT item_id, string_split({_WORDS.format("text")}, ' ')[1:3] AS w FROM benchmark
@@ -222,14 +222,14 @@ _NAMES = f"""names0 AS (
 
 
 def _people(spark, sf_dir):
-    words = F.slice(F.split(text.ascii_words(F.col("text")), " "), 1, 3)
+    words = F.slice(F.split(text.normalize_for_match(F.col("text")), " "), 1, 3)
     return table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where(F.size("w") == 3).select("item_id", F.array_join("w", " ").alias("author"))
 
 
 @query(f"WITH {_NAMES} SELECT name, tier, author FROM dict")
 def name_dictionary(spark, sf_dir):
     """The dictionary with its rules for duplicates."""
-    names = mentions.dictionary(_people(spark, sf_dir), "author", "item_id", normalise=text.ascii_words)
+    names = mentions.dictionary(_people(spark, sf_dir), "author", "item_id")
     return names.where(F.col("tier") != mentions.ALIAS)
 
 
@@ -240,8 +240,8 @@ hits AS (SELECT doc_id, d.author, d.tier, p, name FROM runs JOIN dict d USING (n
 SELECT doc_id, arg_min(author, (tier, p, -length(name), author)) AS mentioned FROM hits GROUP BY doc_id""")
 def mentioned_authors(spark, sf_dir):
     """The best mention of each document, by an n-gram hash join."""
-    names = mentions.dictionary(_people(spark, sf_dir), "author", "item_id", normalise=text.ascii_words)
-    return mentions.mentioned_author(table(spark, sf_dir, "documents").select("doc_id", "text"), names, "doc_id", "text", normalise=text.ascii_words)
+    names = mentions.dictionary(_people(spark, sf_dir), "author", "item_id")
+    return mentions.mentioned_author(table(spark, sf_dir, "documents").select("doc_id", "text"), names, "doc_id", "text")
 
 
 @query(f"""WITH {_NAMES}, pick AS (SELECT doc_id, {_WORDS.format("d.text")} AS body, p.author FROM documents d JOIN people p ON p.item_id = d.doc_id % (SELECT count(*) FROM benchmark))
@@ -251,7 +251,7 @@ def author_check(spark, sf_dir):
     """Whether each text names its own author."""
     n = table(spark, sf_dir, "benchmark").count()
     d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("item_id"))
-    return d.join(_people(spark, sf_dir), "item_id").select("doc_id", mentions.author_matches(F.col("text"), F.col("author"), text.ascii_words).alias("correct"))
+    return d.join(_people(spark, sf_dir), "item_id").select("doc_id", mentions.author_matches(F.col("text"), F.col("author")).alias("correct"))
 
 
 @query(f"SELECT conv_id, turn, regexp_matches(text, '{text.NAME_RUN.replace(chr(39), chr(39) * 2)}') AS any_name FROM conversations")
