@@ -181,6 +181,28 @@ def line_fit(rows: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.min(x).alias("x_min"), F.max(x).alias("x_max"), F.avg(y).alias("y_mean"))
 
 
+def densities(rows: DataFrame, value: str, group: str, points: int = 100, factor: float | None = None, bins: int = 1 << 16) -> DataFrame:
+    """(group, place, x, density) of each group's Gaussian kernel density at points places from its least to its greatest value.
+
+    The bandwidth is Scott's: n ** (-1/5) standard deviations, or factor of them.
+    Distinct values are counted first; a group with more than ``bins`` of them is
+    counted in that many bins of its range, each with the mean of its values,
+    which is far below the bandwidth. Each count goes to all points: a row a count
+    and point, summed before the shuffle. Groups of one value have no density.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x")).where("not isnan(_x)")
+    stats = known.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.stddev("_x").alias("_sd"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.approx_count_distinct("_x").alias("_kinds"))
+    width = (F.lit(factor) if factor else F.pow("_n", F.lit(-0.2))) * F.col("_sd")
+    stats = stats.withColumn("_h", width).where("_n > 1 and _sd > 0")
+    bin_ = F.when(F.col("_kinds") > bins, F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)))
+    # A row a group on the smaller side.
+    counts = known.join(stats, "_g").groupBy("_g", F.coalesce(bin_.cast("double"), "_x").alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.avg("_x").alias("_m"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("place")
+    spread = counts.join(stats, "_g").select("*", at).withColumn("x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("place") / (points - 1))
+    kernel = F.col("_c") * F.exp(-F.pow((F.col("x") - F.col("_m")) / F.col("_h"), F.lit(2)) / 2) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    return spread.groupBy(F.col("_g").alias(group), "place").agg(F.first("x").alias("x"), F.sum(kernel).alias("density"))
+
+
 def exact_quantiles(rows: DataFrame, column: str, probabilities: list[float]) -> list[float]:
     """Exact quantiles with linear interpolation, as a few numbers on the driver.
 

@@ -279,6 +279,14 @@ def line_fits(spark, sf_dir):
     return d.select("race", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"), *[F.round(c, 6).alias(c) for c in ("r", "x_min", "x_max", "y_mean")])
 
 
+@query(f"""WITH {FAME}, s AS (SELECT grp, count(*) AS n, pow(count(*), -0.2) * stddev(log10_hits) AS h, min(log10_hits) AS lo, max(log10_hits) AS hi FROM famous GROUP BY grp),
+p AS (SELECT *, lo + (hi - lo) * place / 99 AS x FROM s, range(100) r(place))
+SELECT grp, CAST(place AS INT) AS place, round(x, 6) AS x, round((SELECT sum(exp(-1.0 * pow((p.x - f.log10_hits) / h, 2) / 2)) FROM famous f WHERE f.grp = p.grp) / (n * h * sqrt(2 * pi())), 6) AS density FROM p""")
+def fame_densities(spark, sf_dir):
+    """The curves of the violins, 100 points a subgroup."""
+    return rounded(statistics.densities(famous(spark, sf_dir), "log10_hits", "grp"))
+
+
 @query(f"WITH {FAME}, g AS (SELECT race, avg(log10_hits) AS m FROM famous GROUP BY race) SELECT a.race AS race_a, b.race AS race_b, round(a.m - b.m, 6) AS difference FROM g a JOIN g b ON a.race < b.race")
 def subgroup_pairs(spark, sf_dir):
     """J21"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..functions import maths
 from ..operators import aggregates, filters, requests, sets, statistics, windows
-from ..sources import providers, scans, scratch, sinks, split_csv
+from ..sources import providers, result_store, scans, scratch, sinks, split_csv
 from ..sources.vector_files import VectorFiles
 from .registry import CUSTOMERS, FAME, customers, famous, query, table
 
@@ -152,6 +152,36 @@ def streamed_ingest(spark, sf_dir):
     return spark.read.parquet(out).select("custom_id", "llm_output", "http_status")
 
 
+@query("SELECT o_orderpriority AS prompt_type, o_orderstatus AS status, count(*) AS n, round(avg(o_totalprice), 4) AS mean, false AS first_there, true AS second_there, false AS other_version_there FROM orders GROUP BY ALL")
+def cached_metrics(spark, sf_dir):
+    """Metrics kept under a key of their source files and version: computed once, loaded after, computed again for another version."""
+    base = scratch.folder(spark)
+
+    def metrics():
+        return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("prompt_type"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+    def get(version):
+        key = result_store.source_key(spark, [f"{sf_dir}/orders.parquet"], dataset="orders", cache_version=version)
+        return result_store.load_or_compute(spark, base, "orders", key, metrics, {"cache_version": version})
+
+    there = {f"{name}_there": F.lit(get(version)[1]) for name, version in (("first", 1), ("second", 1), ("other_version", 2))}
+    return get(1)[0].withColumns(there)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer")
+def appended_once(spark, sf_dir):
+    """K3: two jobs append overlapping work to one table, the second while the first still computes; each key stands once."""
+    base = scratch.folder(spark)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+
+    def first(todo):
+        result_store.append_once(c.where("c_custkey % 3 <> 1"), base, ["c_custkey"], lambda rows: rows)
+        return todo
+
+    result_store.append_once(c.where("c_custkey % 3 <> 2"), base, ["c_custkey"], first)
+    return result_store.appended(spark, base)
+
+
 @query("SELECT 'run=third' AS run, count(*) AS n FROM nation")
 def latest_run(spark, sf_dir):
     """Each run in a place of its own; the newest is found by time."""

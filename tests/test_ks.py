@@ -94,3 +94,23 @@ def test_pairs_against_plain(spark, buckets):
 def test_pairs_of_an_empty_table(spark):
     df = spark.createDataFrame([], "g string, x double")
     assert statistics.ks_pairs(df, "g", ["x"], ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("bins,tolerance", [(1 << 16, 1e-9), (200, 1e-3)])
+def test_densities_against_direct_sums(spark, bins, tolerance):
+    rng = random.Random(4)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(400)], "b": [rng.choice([1.0, 2.0, 2.5]) for _ in range(50)], "same": [3.0] * 5, "one": [1.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), (None, 1.0), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {}
+    for r in statistics.densities(df, "x", "g", points=40, bins=bins).collect():
+        got.setdefault(r["g"], {})[r["place"]] = (r["x"], r["density"])
+    assert set(got) == {"a", "b"}
+    for g, curve in got.items():
+        vs = groups[g]
+        mean = sum(vs) / len(vs)
+        h = len(vs) ** -0.2 * math.sqrt(sum((v - mean) ** 2 for v in vs) / (len(vs) - 1))
+        assert sorted(curve) == list(range(40))
+        for k, (x, d) in curve.items():
+            assert math.isclose(x, min(vs) + (max(vs) - min(vs)) * k / 39, abs_tol=1e-12)
+            assert math.isclose(d, sum(math.exp(-(((x - v) / h) ** 2) / 2) for v in vs) / (len(vs) * h * math.sqrt(2 * math.pi)), rel_tol=tolerance)
