@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import scratch
 from .windows import average_ranks, running_total
 
 
@@ -25,8 +26,9 @@ def pearson(rows: DataFrame, x: str, y: str, keys: list[str] | None = None) -> D
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """A10: Pearson over average ranks."""
-    known = both_known(rows, x, y).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    return pearson(average_ranks(average_ranks(known, "x", "rx"), "y", "ry"), "rx", "ry")
+    # Ranks take several passes, over two numbers a row and not over what made them.
+    known = scratch.stored(both_known(rows, x, y).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    return pearson(average_ranks(scratch.stored(average_ranks(known, "x", "rx")), "y", "ry"), "rx", "ry")
 
 
 def correlation_scopes(rows: DataFrame, x: str, y: str, author: str, subgroup: str, order: str) -> DataFrame:

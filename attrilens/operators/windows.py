@@ -47,11 +47,22 @@ def average_ranks(rows: DataFrame, column: str, alias: str) -> DataFrame:
     """W9 for large tables: ranks from counts of distinct values, joined back.
 
     Values are sorted by range and numbered from partition totals, so no task sees all rows.
+    A value that over a partition's share of the rows have would meet them all in one task of
+    the join: there are fewer such values than partitions, so their ranks are sent to the rows.
     """
+    spark = rows.sparkSession
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, column, "_n", "_upto")
-    ranks = ranked.select(column, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(alias))
-    return rows.join(ranks, column)
+    ranked = running_total(counts, column, "_n", "_upto").withColumn(alias, F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2)
+    share = counts.agg(F.sum("_n")).first()[0]
+    frequent = ranked.where(F.col("_n") > F.lit(share or 0) / parts).select(column, alias)
+    values = {r[column]: r[alias] for r in frequent.collect()}  # fewer than parts
+    if not values:
+        return rows.join(ranked.select(column, alias), column)
+    known = spark.createDataFrame(list(values.items()), frequent.schema)
+    hot = rows.join(F.broadcast(known), column)
+    rest = rows.join(F.broadcast(known.select(column)), column, "left_anti").where(F.col(column).isNotNull())
+    return hot.unionByName(rest.join(ranked.select(column, alias), column))
 
 
 def running_total(rows: DataFrame, order: str, value: str, alias: str) -> DataFrame:
