@@ -44,7 +44,7 @@ def average_rank(x: str, keys: list[str] | None = None, ascending: bool = True)
 
 
 def average_ranks(rows: DataFrame, column: str, alias: str) -> DataFrame:
-    """W9 for large tables: ranks from counts of distinct values, joined back.
+    """W9 for large tables: ranks from counts of distinct values, joined back; rows without a value go.
 
     Values are sorted by range and numbered from partition totals, so no task sees all rows.
     A value that over a partition's share of the rows have would meet them all in one task of
@@ -52,6 +52,7 @@ def average_ranks(rows: DataFrame, column: str, alias: str) -> DataFrame:
     """
     spark = rows.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.where(F.col(column).isNotNull())
     counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(counts, column, "_n", "_upto").withColumn(alias, F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2)
     share = counts.agg(F.sum("_n")).first()[0]
@@ -61,7 +62,7 @@ def average_ranks(rows: DataFrame, column: str, alias: str) -> DataFrame:
         return rows.join(ranked.select(column, alias), column)
     known = spark.createDataFrame(list(values.items()), frequent.schema)
     hot = rows.join(F.broadcast(known), column)
-    rest = rows.join(F.broadcast(known.select(column)), column, "left_anti").where(F.col(column).isNotNull())
+    rest = rows.join(F.broadcast(known.select(column)), column, "left_anti")
     return hot.unionByName(rest.join(ranked.select(column, alias), column))
 
 

@@ -263,3 +263,13 @@ def test_cosine_bound_holds():
         ca, cb = a.mean(axis=0), b.mean(axis=0)
         ra, rb = (np.linalg.norm(x - c, axis=1).max() for x, c in ((a, ca), (b, cb)))
         assert (a @ b.T).max() <= retrieval.cosine_bound(ca, ra, cb[None], np.array([rb]))[0] + 1e-12
+
+
+def test_average_ranks_with_a_frequent_value(spark):
+    values = [5.0] * 60 + [float(v) for v in range(40)] + [7.0] * 30 + [None, None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double").repartition(5)
+    known = pd.Series([v for v in values if v is not None]).rank()
+    got = {r["i"]: r["r"] for r in windows.average_ranks(df, "x", "r").collect()}
+    assert got == {i: known[i] for i, v in enumerate(values) if v is not None}
+    plan = windows.average_ranks(df, "x", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan
