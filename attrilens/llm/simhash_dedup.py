@@ -226,7 +226,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     piece = lambda d: F.get("pieces", (F.col("i") + d) % n_pieces)
     keyed = nodes.select("key", "pieces", F.explode(F.sequence(F.lit(0), F.lit(n_pieces - 1))).alias("i")).select("key", "i", F.explode(F.array(*[F.xxhash64("i", F.lit(d), piece(0), piece(d)) for d in (1, 2, 3)])).alias("b")).select("key", "b")
-    near = None
+    near = roots = None
     for level in range(3):
         sizes = keyed.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).where("n > 1")
         found = common.stored(keyed.join(sizes, "b"))
@@ -236,7 +236,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         near = met if near is None else near.union(met)
         if not many.limit(1).count():
             break
-        roots = linked(near)
+        roots = common.stored(linked(near))
         rooted = common.stored(many.select("b", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
         parts = rooted.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"))
         blocks = parts.groupBy("b").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
@@ -248,16 +248,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if last or not crowded.limit(1).count():
             break
         keyed = crowded.select("b", "key").join(nodes.select("key", "pieces"), "key").select("key", "b", F.posexplode("pieces").alias("i", "p")).select("key", F.xxhash64("b", "i", "p").alias("b"))
-    roots = common.stored(linked(near))
-    root = lambda x: roots.select(F.col("key").alias(x), F.col("root").alias(f"r{x}"))
-    open_ = near.where(F.col("d") > sure).select("a", "c").distinct().join(root("a"), "a", "left").join(root("c"), "c", "left")
-    asked = common.stored(open_.where(F.coalesce("ra", "a") != F.coalesce("rc", "c")).select("a", "c"))
+    open_ = near.where(F.col("d") > sure).select("a", "c").distinct()
+    if roots is not None:
+        # What sure links join already needs no closer look.
+        root = lambda x: roots.select(F.col("key").alias(x), F.col("root").alias(f"r{x}"))
+        open_ = open_.join(root("a"), "a", "left").join(root("c"), "c", "left").where(F.coalesce("ra", "a") != F.coalesce("rc", "c")).select("a", "c")
+    asked = common.stored(open_)
     sets = _shingle_sets(docs, text_col, asked.select(F.col("a").alias("key")).union(asked.select(F.col("c").alias("key"))).distinct(), width)
     side = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}"))
     both = asked.join(side("a"), "a").join(side("c"), "c")
     common_ = F.size(F.array_intersect("sa", "sc"))
     exact = both.where(common_ >= similarity * (F.size("sa") + F.size("sc") - common_)).select("a", F.col("c").alias("b"))
-    ends = common.components(roots.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).union(exact)).withColumnRenamed("node", "key")
+    ends = common.components(near.where(F.col("d") <= sure).select("a", F.col("c").alias("b")).union(exact)).withColumnRenamed("node", "key")
     rooted = first.select("key", "first_id").join(ends, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.select("doc_id", "text_hash", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "text_hash", "key", "component_id")
