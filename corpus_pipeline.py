@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from attrilens.llm import common, line_dedup, packing, quality_rules, secret_scan, simhash_dedup
 
 
+#: Most bytes of the rows that a task hands to Python at once.
+BATCH_BYTES = "16m"
+
+
+def _small_batches(docs: DataFrame) -> DataFrame:
+    """docs; tasks of the session hand rows to Python in small batches, as one executor runs all stages one after the other."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def _resized(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns, with n_chars following the text."""
     return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else docs[c] for c in columns])
@@ -20,7 +30,7 @@ def _resized(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.filter_documents(docs)
+    return quality_rules.filter_documents(_small_batches(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
-    return simhash_dedup.keep_one(docs, width=5, similarity=0.8)
+    return simhash_dedup.keep_one(_small_batches(docs), width=5, similarity=0.8)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(_small_batches(docs))
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near-duplicates", near_duplicates), ("secret scans", secrets), ("packing", packed)]
