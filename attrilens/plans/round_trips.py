@@ -287,11 +287,16 @@ def validated_labels(spark, sf_dir):
     return found.select("author", "second_race", "second_gender", told("race"), told("gender"))
 
 
-@query("SELECT CAST(s AS INTEGER) AS status, CAST(a AS INTEGER) AS attempt, CASE WHEN s = 404 THEN NULL ELSE least(60.0, 2.0 ** a * CASE WHEN s IN (403, 429) THEN 4 WHEN s = 503 THEN 2 ELSE 1 END) END AS wait FROM (VALUES (403), (404), (429), (500), (503)) x(s), range(6) y(a)")
+@query("SELECT user_id, count(*) AS calls, count(*) FILTER (WHERE s = 404) AS final, coalesce(sum(CASE WHEN s <> 404 THEN least(60.0, 2.0 ** a * CASE WHEN s IN (403, 429) THEN 4 WHEN s = 503 THEN 2 ELSE 1 END) END), 0.0) AS seconds FROM (SELECT user_id, [403, 404, 429, 500, 503][1 + event_id % 5] AS s, event_id // 5 % 6 AS a FROM events) GROUP BY user_id")
 def retry_waits(spark, sf_dir):
-    """Seconds before each further attempt, by status; null if there is none. Jitter is left out."""
-    rows = [(s, a, providers.retry_wait(providers.StatusError(s), a, jitter=0.0)) for s in (403, 404, 429, 500, 503) for a in range(6)]
-    return spark.createDataFrame(rows, "status int, attempt int, wait double")
+    """Events as failed calls: by user how many are final, and the seconds until the others' next attempts; jitter is left out."""
+    statuses = (403, 404, 429, 500, 503)
+    rows = [(s, a, providers.retry_wait(providers.StatusError(s), a, jitter=0.0)) for s in statuses for a in range(6)]
+    waits = spark.createDataFrame(rows, "status int, attempt long, wait double")  # 30 rows
+    key = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("user_id", F.get(F.array(*[F.lit(s) for s in statuses]), (key % 5).cast("int")).alias("status"), (F.floor(key / 5) % 6).alias("attempt"))
+    found = e.join(F.broadcast(waits), ["status", "attempt"])
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("wait").isNull()).alias("final"), F.coalesce(F.sum("wait"), F.lit(0.0)).alias("seconds"))
 
 
 @query("SELECT sha256(text) AS hash, CAST(length(text) AS DOUBLE) AS first, 2 AS size FROM (SELECT DISTINCT trim(text) AS text FROM conversations WHERE role <> 'user') WHERE sha256(text) NOT IN (SELECT sha256(trim(text)) FROM conversations WHERE role = 'user')")
