@@ -118,12 +118,16 @@ def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
     """
     kind = queries.schema[key].dataType.simpleString()
     n_corpus, dim = corpus.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
-    per_block = max(1, min(block_bytes // (4 * max(1, dim)), -(-max(1, n_corpus) // max(1, int(queries.sparkSession.sparkContext.defaultParallelism**0.5)))))
-    pivots = _pivots(corpus, vector, -(-n_corpus // per_block), dim)
+    fitting = max(1, block_bytes // (4 * max(1, dim)))
+    # A corpus of one block has no pairs to skip; its queries still make a block for each task.
+    single = n_corpus <= fitting
+    per_block = max(1, min(fitting, -(-max(1, n_corpus) // queries.sparkSession.sparkContext.defaultParallelism)))
+    pivots = _pivots(corpus, vector, 1 if single else -(-n_corpus // fitting), dim)
     if not len(pivots):
         return queries.sparkSession.createDataFrame([], f"query {kind}, neighbour {kind}, score double, rank int")
-    right = scratch.stored(_blocks(_in_cells(corpus, key, vector, pivots), per_block))
-    asked = scratch.stored(_in_cells(queries, key, vector, pivots))
+    keep = (lambda df: df) if single else scratch.stored
+    right = keep(_blocks(_in_cells(corpus, key, vector, pivots), fitting))
+    asked = keep(_in_cells(queries, key, vector, pivots))
 
     def score(batches):
         for batch in batches:
@@ -148,7 +152,9 @@ def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
         return pairs.select("q", "c").mapInArrow(score, f"query {kind}, neighbour {kind}, score double")
 
     blocks = _blocks(asked, per_block)
-    near = scratch.stored(_best(scored(blocks.select("cell", F.col("rows").alias("q")).join(right.select("cell", F.col("rows").alias("c")), "cell")), k))
+    near = keep(_best(scored(blocks.select("cell", F.col("rows").alias("q")).join(right.select("cell", F.col("rows").alias("c")), "cell")), k))
+    if single:
+        return near
     # The k-th best of each query so far; none where fewer were found.
     kth = near.where(F.col("rank") == k).select(F.col("query").alias("key"), "score").groupBy("key").agg(F.min("score").alias("score"))
     parts = blocks.select("cell", "part", "centre", "radius", F.explode("rows.key").alias("key")).join(kth, "key", "left")
