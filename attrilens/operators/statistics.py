@@ -73,14 +73,16 @@ def ks_statistic(rows: DataFrame, value: str, group: str, a: str, b: str) -> Dat
     totals = known.agg(F.count_if("first").alias("na"), F.count_if(~F.col("first")).alias("nb"), F.avg(F.when(F.col("first"), F.col("x"))).alias("ma"), F.avg(F.when(~F.col("first"), F.col("x"))).alias("mb")).first()
     na, nb = totals["na"], totals["nb"]
     if not na or not nb:
-        return known.agg(F.lit(None).cast("double").alias("ks"), F.lit(None).cast("double").alias("mean_difference"), F.lit(na).alias("n_a"), F.lit(nb).alias("n_b"))
+        return known.agg(F.lit(None).cast("double").alias("ks"), F.lit(None).cast("double").alias("mean_difference"), F.lit(na).cast("long").alias("n_a"), F.lit(nb).cast("long").alias("n_b"))
     step = F.sum(F.when(F.col("first"), 1.0 / na).otherwise(-1.0 / nb)).alias("step")
     gaps = running_total(known.groupBy("x").agg(step), "x", "step", "gap")
-    return gaps.agg(F.max(F.abs("gap")).alias("ks"), F.lit(totals["ma"] - totals["mb"]).alias("mean_difference"), F.lit(na).alias("n_a"), F.lit(nb).alias("n_b"))
+    return gaps.agg(F.max(F.abs("gap")).alias("ks"), F.lit(totals["ma"] - totals["mb"]).alias("mean_difference"), F.lit(na).cast("long").alias("n_a"), F.lit(nb).cast("long").alias("n_b"))
 
 
 def ks_p_value(d: Column, na: Column, nb: Column, terms: int = 100) -> Column:
     """Asymptotic p of the two-sample statistic."""
+    # As doubles: the product of two counts may pass the range of whole numbers.
+    na, nb = na.cast("double"), nb.cast("double")
     e = F.sqrt(na * nb / (na + nb))
     t = d * (e + 0.12 + 0.11 / e)
     # The lambdas take t as an argument: a column named inside one would be looked up among new aliases first.

@@ -69,6 +69,15 @@ def test_p_beside_a_rounded_column_of_its_input(spark):
     assert beside == row.select(p).first()[0]
 
 
+def test_p_of_counts_with_a_large_product(spark):
+    sizes = spark.range(1).select(F.lit(0.005).alias("ks"), F.lit(180_000).alias("n_a"), F.lit(170_000).alias("n_b"))
+    e = math.sqrt(180_000 * 170_000 / 350_000)
+    t = 0.005 * (e + 0.12 + 0.11 / e)
+    want = sum(2 * (-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))
+    got = sizes.select(statistics.ks_p_value(F.col("ks"), F.col("n_a"), F.col("n_b"))).first()[0]
+    assert math.isclose(got, want, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("buckets", [256, 7, 1])
 def test_pairs_against_plain(spark, buckets):
     rng = random.Random(11)
