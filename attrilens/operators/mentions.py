@@ -78,7 +78,8 @@ def _hits(texts: DataFrame, names: DataFrame, key: str, body: str, scope: list[s
         listed = [r["first"] for r in firsts.limit(LISTED_WORDS + 1).collect()]
         firsts = listed if 0 < len(listed) <= LISTED_WORDS else firsts
     runs = word_runs(texts, key, body, longest or 1, scope, normalise, firsts)
-    return runs.join(F.broadcast(names) if small else names, [*scope, "name"])
+    # Without the hint a dictionary over a small file would be broadcast by the file's size.
+    return runs.join(F.broadcast(names) if small else names.hint("merge"), [*scope, "name"])
 
 
 def mentioned_author(texts: DataFrame, names: DataFrame, key: str, body: str, scope: list[str] | None = None, normalise=text.normalize_for_match) -> DataFrame:

@@ -27,6 +27,16 @@ def test_duplicate_names(spark):
     assert found(spark, ["Ann Leeson", "ann  leeson"], ["ann leeson", "leeson ann"]) == {0: "ann  leeson", 1: "Ann Leeson"}
 
 
+def test_large_dictionary_is_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(mentions, "BROADCAST_NAMES", 0)
+    a = spark.createDataFrame([(0, "Ann Leeson")], "i int, author string")
+    t = spark.createDataFrame([(0, "by ann leeson")], "k int, body string")
+    hits = mentions.mentioned_author(t, mentions.dictionary(a, "author", "i"), "k", "body")
+    assert hits.collect() == [(0, "Ann Leeson")]
+    # The join of runs and names, not those inside of the dictionary.
+    assert "SortMergeJoin" in hits._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" not in hits._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_own_author(spark):
     rows = [("by Ann Leeson", "Ann Leeson"), ("Leeson Ann", "Ann Leeson"), ("leesons", "Ann Leeson"), ("mr leeson", "Ann Leeson"), ("mlk jr", "Martin Luther King Jr"), ("king", "Al King"), (None, "Ann Leeson"), ("x", "")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b string, a string")
