@@ -139,9 +139,14 @@ def last_name(author: Column, normalise=normalize_for_match) -> Column:
 NAME_RUN = r"\b([A-Z][a-z]+|[A-Z]\.)(?:[-'][A-Z][a-z]+)?(?:\s+([A-Z][a-z]+|[A-Z]\.)(?:[-'][A-Z][a-z]+)?)+\b"
 
 
+# The same with ASCII borders and white space spelled out; Java's own \b counts letters of all scripts.
+_ASCII_BORDER = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+_NAME_RUN_JAVA = NAME_RUN.replace(r"\b", _ASCII_BORDER).replace(r"\s", r"[\t\n\f\r ]")
+
+
 def mentions_any_name(c: Column) -> Column:
     """Two capitalised words or initials in a row."""
-    return F.coalesce(c.rlike(NAME_RUN), F.lit(False))
+    return F.coalesce(c.rlike(_NAME_RUN_JAVA), F.lit(False))
 
 
 def no_answer(c: Column) -> Column:

@@ -257,7 +257,8 @@ def author_check(spark, sf_dir):
 @query(f"SELECT conv_id, turn, regexp_matches(text, '{text.NAME_RUN.replace(chr(39), chr(39) * 2)}') AS any_name FROM conversations")
 def any_name_mentioned(spark, sf_dir):
     """X6"""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.mentions_any_name(F.col("text")).alias("any_name"))
+    found = F.when(F.col("text").isNotNull(), text.mentions_any_name(F.col("text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("any_name"))
 
 
 @query("SELECT c_custkey, c_custkey % 6 IN (0, 1, 2, 3) AS full_hit, c_custkey % 6 = 5 AS other_hit FROM customer")

@@ -70,3 +70,13 @@ def test_score(spark):
     df = spark.createDataFrame([("Ann Leeson", "It is Ann Leeson."), ("Ann Leeson", "By Jane Doe."), ("Ann Leeson", "unknown author")], "author string, out string")
     assert [r["outcome"] for r in mentions.score_responses(df, "author", "out").collect()] == ["correct", "wrong", "none"]
     assert text.NO_ANSWER
+
+
+def test_any_name_has_ascii_borders_as_in_sql(spark):
+    import duckdb
+
+    bodies = ["de. Y. Esboboci\u00f3n los", "\u00e9Ann Lee", "Ann Lee\u00e9", "Ann\x0bLee", "Ann\n Lee", "xAnn Lee", "Ann Leex", "Ann L.", "Ann L.x", "A. B.\u00e9", "Ann-Lee Kim's", "Ann\u00a0Lee", "", None]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    got = [r[0] for r in df.orderBy("i").select(text.mentions_any_name(F.col("b"))).collect()]
+    want = [bool(duckdb.execute("SELECT regexp_matches(?, ?)", [b, text.NAME_RUN]).fetchone()[0]) for b in bodies]
+    assert got == want
