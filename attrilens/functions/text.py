@@ -86,24 +86,39 @@ def _tail_size(tokens: Column) -> Column:
 
 def clean_author(raw: Column) -> Column:
     """Struct of the cleaned name and of what was split off it (sorted, distinct, joined by '; ')."""
-    name = cell(raw)
-    name = F.regexp_replace(name, r"^[\"'` ]+|[\"'` ]+$", "")
-    name = F.regexp_replace(name, r"^[-–—~]+\s*", "")
-    parts = F.split(name, r"(?i)\s+(?:aka|a\.k\.a\.)\s+")
-    name = F.when(F.size(parts) > 1, strip(parts[0])).otherwise(name)
-    also = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), strip)
-    inner = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)")), strip)
-    bare = F.when(name.rlike(r"\([^)]*\)"), strip(F.regexp_replace(name, r"\s*\([^)]*\)", ""))).otherwise(name)
+    # Each step is a column of one lambda, as the steps name what is before them more than once.
+    let = unicode_forms.let
     dash = r"\s+[-–—]\s+"
-    sides = F.split(bare, dash, 2)
-    left = F.when(F.size(sides) > 1, strip(sides[0])).otherwise(bare)
-    right = F.when(F.size(sides) > 1, F.array(strip(F.get(sides, F.lit(1))))).otherwise(F.array().cast("array<string>"))
-    tokens = F.filter(F.split(left, r"\s+"), lambda t: t != "")
-    tail = _tail_size(tokens)
-    left = F.when(tail >= 3, F.array_join(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - tail, F.lit(0))), " ")).otherwise(left)
-    final = F.regexp_replace(F.regexp_replace(left, r"\s+", " "), r"^[ ,;]+|[ ,;]+$", "")
-    alt = F.array_join(F.array_sort(F.array_distinct(F.filter(F.concat(also, inner, right), lambda x: x != ""))), "; ")
-    return F.struct(final.alias("name"), alt.alias("alt"))
+
+    def bare(name: Column) -> Column:
+        name = F.regexp_replace(name, r"^[\"'` ]+|[\"'` ]+$", "")
+        return F.split(F.regexp_replace(name, r"^[-–—~]+\s*", ""), r"(?i)\s+(?:aka|a\.k\.a\.)\s+")
+
+    def bracketed(parts: Column) -> Column:
+        also = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), strip)
+        return let(F.when(F.size(parts) > 1, strip(parts[0])).otherwise(parts[0]), lambda name: F.struct(name.alias("name"), F.concat(also, F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)")), strip)).alias("alt")))
+
+    def sided(x: Column) -> Column:
+        name = x["name"]
+        out = F.when(name.rlike(r"\([^)]*\)"), strip(F.regexp_replace(name, r"\s*\([^)]*\)", ""))).otherwise(name)
+        return F.struct(F.split(out, dash, 2).alias("sides"), out.alias("bare"), x["alt"].alias("alt"))
+
+    def cut(x: Column) -> Column:
+        two = F.size(x["sides"]) > 1
+        left = F.when(two, strip(x["sides"][0])).otherwise(x["bare"])
+        right = F.when(two, F.array(strip(F.get(x["sides"], F.lit(1))))).otherwise(F.array().cast("array<string>"))
+        return F.struct(left.alias("left"), F.concat(x["alt"], right).alias("alt"))
+
+    def tailed(x: Column) -> Column:
+        tokens = F.filter(F.split(x["left"], r"\s+"), lambda t: t != "")
+        return let(tokens, lambda t: let(_tail_size(t), lambda tail: F.when(tail >= 3, F.array_join(F.slice(t, F.lit(1), F.greatest(F.size(t) - tail, F.lit(0))), " ")).otherwise(x["left"])))
+
+    def final(x: Column) -> Column:
+        name = F.regexp_replace(F.regexp_replace(tailed(x), r"\s+", " "), r"^[ ,;]+|[ ,;]+$", "")
+        alt = F.array_join(F.array_sort(F.array_distinct(F.filter(x["alt"], lambda a: a != ""))), "; ")
+        return F.struct(name.alias("name"), alt.alias("alt"))
+
+    return let(let(let(let(bare(cell(raw)), bracketed), sided), cut), final)
 
 
 def canonicalize_author(c: Column) -> Column:

@@ -106,3 +106,9 @@ def test_labels(spark):
 def test_choice(spark):
     options = F.array(F.lit("White"), F.lit("Black"))
     assert column(spark, ["a", " B", "black", "C", "", None], lambda c: text.decode_choice(c, options)) == ["White", "Black", "Black", None, None, None]
+
+
+def test_clean_author_has_each_step_once_in_the_plan(spark):
+    df = spark.createDataFrame([("x",)], "a string").select(text.clean_author(F.col("a")).alias("x")).select("x.name", "x.alt")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") <= 16
