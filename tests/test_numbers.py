@@ -273,3 +273,31 @@ def test_average_ranks_with_a_frequent_value(spark):
     assert got == {i: known[i] for i, v in enumerate(values) if v is not None}
     plan = windows.average_ranks(df, "x", "r")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan
+
+
+def test_matcher_streams_the_reference_and_packs_the_others():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 20_000
+    side = lambda k: pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array([k] * n, pa.int32()), pa.array([j / n for j in range(n)]), pa.array([1 + j % 3 for j in range(n)]), pa.array([f"author {j:08}" for j in range(n)])], names=["run_id", "side", "f", "c", "a"])
+
+    def batches():
+        for k in range(3):
+            b = side(k)
+            yield from (b.slice(at, 500) for at in range(0, n, 500))
+
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in matching._matcher("r", ["a", "b"], 1.0, 500)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3 * n
+    assert peak < 2 * n * 80 + 3_000_000
+
+
+def test_matcher_goes_on_after_a_run_that_ends_early(spark):
+    rows = [("r", f"r{i}", 3.0, 1) for i in range(5)] + [("a", "a0", 3.0, 1), ("a", "a1", 3.0, 1)]
+    df = spark.createDataFrame(rows, "grp string, author string, log10_hits double, count long").repartition(1)
+    got = matching.matched_runs(df, "r", ["a"], runs=4).groupBy("run_id").count().collect()
+    assert sorted((r["run_id"], r["count"]) for r in got) == [(k, 4) for k in range(4)]
