@@ -91,8 +91,9 @@ def _in_full(c: Column, several: dict[int, str]) -> Column:
 def match_words(c: Column) -> Column:
     """Words in match form, joined by one space: accents and other marks dropped, compatible forms plain, lower case."""
     (old, new), several, (upper, lower), words = _tables()
-    flat = let(F.translate(c, old, new), lambda x: F.when(x.rlike(f"[{_class(sorted(several))}]"), _in_full(x, several)).otherwise(x))
+    flat = let(F.translate(c, old, new), lambda x: F.when(x.rlike(f"[[^\\x00-\\x7F]&&[{_class(sorted(several))}]]"), _in_full(x, several)).otherwise(x))
     # The lower case of one letter depends on its place.
     low = let(F.translate(flat, upper, lower), lambda x: F.when(F.contains(x, F.lit("Σ")), F.lower(x)).otherwise(x))
-    # ASCII first: the ranges beyond are many.
-    return F.trim(F.regexp_replace(low, rf"(?:[\x00-\x7F&&[^a-z0-9_]]|[^\x00-\x7F{words}])+", " "))
+    # Java tests a long class range by range, so it is asked only about characters that short classes leave open.
+    other = rf"[[\x00-\x7F&&[^a-z0-9_]][\p{{P}}\p{{Z}}\p{{S}}&&[^_]][[^\x00-\x7F\p{{L}}\p{{N}}]&&[^{words}]]]+"
+    return F.trim(F.regexp_replace(low, other, " "))

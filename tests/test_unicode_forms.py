@@ -31,3 +31,9 @@ def test_mixed_texts(spark):
 def test_no_python_in_the_plan(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet").select(text.normalize_for_match(F.col("text")))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_runs_between_words(spark):
+    """A run of blanks is one step of the pattern, not one of its stack."""
+    body = "\u00e9a" + " " * 300_000 + "b\u00f1"
+    assert spark.createDataFrame([(body,)], "s string").select(match_words(F.col("s"))).first()[0] == "ea bn"
