@@ -37,6 +37,13 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 #: Most bytes of a block's vectors, most pivots and most of their bytes, and summaries compared in one step.
 BLOCK_BYTES, PIVOTS, PIVOT_BYTES, SUMMARIES = 4 << 20, 1024, 8 << 20, 1024
+#: Most bytes of the scores of a tile, of which a task holds a few copies.
+TILE_BYTES = 16 << 20
+
+
+def tile_rows(columns: int, tile: int) -> int:
+    """Queries that meet so many vectors at once."""
+    return max(1, min(tile, TILE_BYTES // (8 * max(1, columns))))
 
 
 def _unit_rows(lists: pa.Array) -> np.ndarray:
@@ -137,9 +144,10 @@ def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
                 places: dict = {}
                 for j, x in enumerate(keys.to_pylist() if exclude_self else ()):
                     places.setdefault(x, []).append(j)
-                for at in range(0, len(qs), tile):
-                    s = qs[at : at + tile] @ cs.T
-                    own = [(i, j) for i, x in enumerate(queried.slice(at, tile).to_pylist()) for j in places.get(x, ())]
+                step = tile_rows(len(cs), tile)
+                for at in range(0, len(qs), step):
+                    s = qs[at : at + step] @ cs.T
+                    own = [(i, j) for i, x in enumerate(queried.slice(at, step).to_pylist()) for j in places.get(x, ())]
                     if own:
                         s[tuple(zip(*own))] = -np.inf
                     n = min(k, s.shape[1])

@@ -301,3 +301,9 @@ def test_matcher_goes_on_after_a_run_that_ends_early(spark):
     df = spark.createDataFrame(rows, "grp string, author string, log10_hits double, count long").repartition(1)
     got = matching.matched_runs(df, "r", ["a"], runs=4).groupBy("run_id").count().collect()
     assert sorted((r["run_id"], r["count"]) for r in got) == [(k, 4) for k in range(4)]
+
+
+def test_tiles_of_scores_are_bounded_in_bytes():
+    for columns in (1, 64, 16_384, 1 << 24):
+        rows = retrieval.tile_rows(columns, 1024)
+        assert 1 <= rows <= 1024 and (rows == 1 or rows * columns * 8 <= retrieval.TILE_BYTES)
