@@ -19,12 +19,14 @@ then for the windows (a context and the next symbol) of each level, a slice
 sends its distinct keys with their counts as packed arrays, one for each range
 of hashes; a range sums what the slices sent and returns the sums to them. So
 there is one row for each slice and range, never more than keys, and no part of
-the tree is sent to the driver or to every task but this: contexts seen
-``hot_count`` times and more (at most 2**20 of them) are spread over all ranges.
-Each range returns its part of their sizes and numbers of next symbols, and how
-many of their windows have which count and chance; Spark adds these up and takes
-the same divergence test, and which of them are states is sent to every task. So
-``hot_count`` moves work but no score.
+the tree is sent to the driver or to every task but this: a context seen over
+``hot_count`` times (at most 2**20 are) is spread over as many ranges as its
+count holds ``hot_count``, so that these parts grow with the corpus and not with
+contexts times ranges. Each range returns one row for its part: its share of the
+size and the number of next symbols, and packed how many of its windows have
+which count and chance. Spark adds the shares up, each part's gain is taken with
+the sums, and the gains are added up for the same divergence test; which of these
+contexts are states is sent to every task. So ``hot_count`` moves work but no score.
 Windows whose last symbol or suffix only one slice asks for are counted there.
 
 Defined results: null and empty texts are the end alone; a row with a null id
@@ -54,7 +56,7 @@ DEPTH, LEAST_COUNT, LEAST_GAIN, DISCOUNT = 3, 2, 2.0, 0.75
 SLICE_DOCS, SLICE_BYTES = 4096, 8 << 20
 #: Keys that a range of hashes sums up at a time, on average.
 RANGE_KEYS = 1 << 20
-#: A context seen so often is spread over all ranges; more often if there could be over 2**20 of them.
+#: A context seen more often is spread, one range for each such count; more often if there could be over 2**20 of them.
 HOT_COUNT, MOST_HOT = 1 << 17, 1 << 20
 #: Chances are sent in steps of this share of a bit, windows and contexts by so many bytes beside their range, words by so many.
 STEPS, KEY_BYTES, WORD_BYTES = 6, 5, 6
@@ -120,9 +122,9 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
+def _range(keys: np.ndarray, ranges: int | np.ndarray) -> np.ndarray:
     """The range of each 64-bit key, rising with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(32)) * np.asarray(ranges, np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
 def _sorted_set(keys: np.ndarray) -> np.ndarray:
@@ -274,14 +276,16 @@ class Slice:
         self.seen = np.bincount(self.back[self.trained[at]], minlength=len(kinds))
         new = np.append(True, of[1:] != of[:-1]) if len(of) else np.zeros(0, bool)
         self.run, self.contexts = np.cumsum(new) - 1, of[new]
-        self.hot = self.context_sizes[self.contexts] >= self.model.hot_count
+        # How many ranges, from its own on, a context is spread over.
+        spans = np.minimum(-(-self.context_sizes[self.contexts] // self.model.hot_count), self.model.ranges)
+        self.hot = spans > 1
         # Local windows that are seen once count for their context only.
         self.sent = np.flatnonzero(~local | (self.seen > 1))
         self.singles = np.bincount(self.run[local & (self.seen == 1)], minlength=len(self.contexts))
         home = _range(self.context_hashes[self.contexts], self.model.ranges)
         to = home[self.run[self.sent]]
         spread = self.hot[self.run[self.sent]]
-        to[spread] = _range(self.window_hashes(self.sent[spread]), self.model.ranges)
+        to[spread] = (to[spread] + _range(self.window_hashes(self.sent[spread]), spans[self.run[self.sent[spread]]])) % self.model.ranges
         size = max(1, len(self.contexts))
         pairs = to * size + self.run[self.sent]
         pairs, order = _ordered(pairs, self.model.ranges * size)
@@ -345,7 +349,7 @@ def _joined(parts: list[bytes], kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 ASKED = "slice long, part long, contexts binary, runs binary, singles binary, hot binary, hot_hashes binary, wins binary, counts binary, chances binary"
-ANSWERED = "slice long, part long, level int, totals binary, kinds binary, hot binary, hot_parts binary, hot_windows binary"
+ANSWERED = "slice long, part long, level int, totals binary, kinds binary, hot long, after long, once long, size long, times binary, steps binary, windows binary"
 
 
 def _merged(rows: pa.Table, level: int, least_gain: float, discount: float) -> list[dict]:
@@ -383,41 +387,42 @@ def _merged(rows: pa.Table, level: int, least_gain: float, discount: float) -> l
     if len(hot):
         names, at = np.unique(_joined(data["hot_hashes"], np.uint64)[0], return_index=True)
         own = context[hot][at]
-        parts = np.stack([after[own], once[own], size[own]]).astype(np.int64)
         # Windows of spread contexts by context, count and step of chance.
         named = np.full(n_contexts, -1, np.int64)
         named[own] = np.arange(len(own))
         often = many & (named[of] >= 0)
         windows, n = np.unique(np.stack([named[of[often]], total[often], steps[first][often].astype(np.int64)]), axis=1, return_counts=True)
-        out.append({"slice": None, "part": part, "level": level, "hot": names.tobytes(), "hot_parts": parts.tobytes(), "hot_windows": np.vstack([windows, n]).astype(np.int64).tobytes()})
+        cuts = np.searchsorted(windows[0], np.arange(len(own) + 1)).tolist()
+        for h, c, a, b in zip(names.view(np.int64).tolist(), own.tolist(), cuts, cuts[1:]):
+            packed = {"times": _short(windows[1, a:b]), "steps": windows[2, a:b].astype(np.uint8).tobytes(), "windows": _short(n[a:b])}
+            out.append({"slice": None, "part": part, "level": level, "hot": h, "after": int(after[c]), "once": int(once[c]), "size": int(size[c]), **packed})
     return out
 
 
-_HOT = "h long, after long, once long, size long, t long, step int, n long"
+def _part_gains(discount: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function: what the windows of each part of a spread context gain, given the context's size and number of next symbols."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gains = []
+            for times, steps, windows, after, size in zip(*[batch.column(c).to_pylist() for c in ("times", "steps", "windows", "after", "size")]):
+                t, n, others = _counts([times]), _counts([windows]), max(size - 1, 1)
+                q = 2.0 ** (-np.frombuffer(steps, np.uint8).astype(np.float64) / STEPS)
+                gains.append(float((n * t * np.log((np.maximum(t - 1 - discount, 0) + discount * after * q) / others / q)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("hot"), pa.array(gains, pa.float64())], names=["hot", "gain"])
 
-def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What ranges return of spread contexts as rows: one for each part (t null), and one for each count and step of its windows."""
-    target = pa.schema([("h", pa.int64()), ("after", pa.int64()), ("once", pa.int64()), ("size", pa.int64()), ("t", pa.int64()), ("step", pa.int32()), ("n", pa.int64())])
-    for batch in batches:
-        for r in batch.to_pylist():
-            names = np.frombuffer(r["hot"], np.int64)
-            after, once, size = np.frombuffer(r["hot_parts"], np.int64).reshape(3, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(after), pa.array(once), pa.array(size), *[pa.nulls(len(names), f.type) for f in list(target)[4:]]], schema=target)
-            own, t, step, n = np.frombuffer(r["hot_windows"], np.int64).reshape(4, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(names[own]), *[pa.nulls(len(own), pa.int64())] * 3, pa.array(t), pa.array(step.astype(np.int32)), pa.array(n)], schema=target)
+    return run
 
 
 def _hot_states(found: DataFrame, least_gain: float, discount: float) -> DataFrame:
     """(h, kinds) of the spread contexts by the test that ``_merged`` takes for the others."""
-    rows = found.where("slice is null").select("hot", "hot_parts", "hot_windows").mapInArrow(_hot_rows, _HOT)
-    parts = rows.where("t is null").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("after", "once", "size")])
-    windows = rows.where("t is not null").groupBy("h", "t", "step").agg(F.sum("n").alias("n"))
-    q, others = F.pow(F.lit(2.0), -F.col("step") / STEPS), F.greatest(F.col("size") - 1, F.lit(1))
-    each = F.col("n") * F.col("t") * F.log((F.greatest(F.col("t") - 1 - discount, F.lit(0.0)) + discount * F.col("after") * q) / others / q)
-    gains = windows.join(parts, "h").groupBy("h").agg(F.sum(each).alias("gain"))
-    gain = F.coalesce("gain", F.lit(0.0)) + F.col("once") * F.log(F.greatest(discount * (F.col("after") - 1), F.lit(1e-9)) / others)
-    return parts.join(gains, "h", "left").select("h", F.when((gain >= least_gain) & (F.col("size") > 1), F.col("after")).otherwise(0).alias("kinds"))
+    rows = found.where("hot is not null")
+    sums = rows.groupBy("hot").agg(*[F.sum(c).alias(c) for c in ("after", "once", "size")])
+    parts = rows.select("hot", "times", "steps", "windows").join(sums.select("hot", "after", "size"), "hot")
+    gains = parts.mapInArrow(_part_gains(discount), "hot long, gain double").groupBy("hot").agg(F.sum("gain").alias("gain"))
+    others = F.greatest(F.col("size") - 1, F.lit(1))
+    gain = F.col("gain") + F.col("once") * F.log(F.greatest(discount * (F.col("after") - 1), F.lit(1e-9)) / others)
+    return sums.join(gains, "hot").select(F.col("hot").alias("h"), F.when((gain >= least_gain) & (F.col("size") > 1), F.col("after")).otherwise(0).alias("kinds"))
 
 
 def _table(rows: list[dict], target: pa.Schema) -> pa.Table:
@@ -512,7 +517,7 @@ def score_documents(docs: DataFrame, held: Column | None = None, id_col: str = "
     for level in range(1, depth + 1):
         wanted = base.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(asking(list(hots)), ASKED)
         found = common.stored(wanted.groupBy("part").applyInArrow(merging(level), ANSWERED))
-        # At most 2**20 contexts are that frequent.
+        # At most 2**20 contexts are that frequent; a row for each.
         hot = _hot_states(found, least_gain, discount).collect()
         names = np.array([r["h"] for r in hot], np.int64).view(np.uint64)
         order = np.argsort(names)

@@ -403,6 +403,21 @@ def test_suffix_tree_brute(spark, monkeypatch, depth, least, hot, keys):
     assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("copies", [1, 4])
+def test_suffix_tree_parts_of_spread_contexts(spark, copies):
+    """The parts of spread contexts grow with the tokens, not with contexts times ranges."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(40 * rng.random() ** 2)}" for _ in range(60)) for _ in range(50)] * copies
+    docs = documents(spark, texts).coalesce(1).select("doc_id", F.lit(False).alias("held"), "text")
+    row = suffix_tree._sliced(docs, "bigint").first().asDict()
+    hashes, counts = suffix_tree._word_keys(row["hashes"]), suffix_tree._counts([row["trained"]])
+    model = suffix_tree.Model(row["tokens"] + len(texts), len(hashes) + 1, len(texts), 2, 2.0, 0.75, 50, -(-row["tokens"] // 50))
+    s = suffix_tree.Slice(row, counts[np.argsort(hashes)] << 1, model)
+    s.ask()
+    parts = sum(len(x["hot"]) // 4 for x in s.asked())
+    assert 0 < parts <= 2 * model.n_all / model.hot_count
+
+
 def test_suffix_tree_is_a_distribution():
     """Chances of all symbols and of one unknown word sum to one after every state."""
     texts = ["a b a b a c", "a b a b d", "b a c a b"] * 30 + ["x y"]
