@@ -74,3 +74,11 @@ def test_same_rows_whatever_the_splits(spark, sf, tmp_path):
     spark.createDataFrame([("doc_id,text",)], "value string").union(lines).coalesce(1).write.text(str(tmp_path / "t"))
     got = {r["doc_id"]: r["text"] for r in split_csv.read(spark, str(tmp_path / "t"), 20_000).collect()}
     assert got == {str(r["doc_id"]): r["text"] or None for r in docs.collect()}
+
+
+def test_tasks_do_not_grow_with_splits(spark, tmp_path):
+    """Hundreds of small splits are read by a few tasks, whole and in order, also where quotes are open at the end after a carriage return."""
+    data = b"id,text\n" + b"".join(b'%d,"a ""b""\n\xff, c%s"\n' % (k, b"\n" * (k % 9)) for k in range(400)) + b'x,"open\r\ny\r\n'
+    found = split_csv.records(spark, write(tmp_path / "f", data), 20)
+    assert [r["fields"] for r in found.orderBy("path", "block", "no").collect()] == plain(data)
+    assert found.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
