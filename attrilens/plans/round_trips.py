@@ -55,12 +55,12 @@ def split_csv_rows(spark, sf_dir):
     """Texts with line ends, quotes, NUL and bad bytes in quoted fields, from files cut into splits of 256 KB."""
     bad = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\n\x00\""), F.unhex(F.lit("FF")).cast("string"), F.lit(","))).otherwise("\x00")
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), bad).alias("text"), "lang", F.length("text").alias("n_chars"))
-    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
-    line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted, F.col("lang"), F.coalesce(F.col("n_chars").cast("string"), F.lit("")))
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in (F.col("doc_id").cast("string"), quoted("text"), quoted("lang"), F.col("n_chars").cast("string"))])
     path = scratch.folder(spark)
     d.select(line.alias("value")).write.text(path)
     found = split_csv.read(spark, path, split_bytes=1 << 18, columns=["doc_id", "text", "lang", "n_chars"])
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.md5("text").alias("text_md5"), F.col("n_chars").cast("long").alias("n_chars"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
 _CACHE = "cache AS (SELECT CAST(o_custkey AS VARCHAR) AS author, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN o_orderkey || '.7' WHEN 2 THEN 'none' ELSE CAST(o_orderkey AS VARCHAR) END AS google_hits, CASE WHEN o_orderstatus = 'P' THEN 'false' WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'true' END AS success, o_orderkey AS line FROM orders)"

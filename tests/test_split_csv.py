@@ -4,9 +4,11 @@ import csv
 import io
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from attrilens.plans.queries import ORACLE_SQL, QUERIES
 from attrilens.sources import split_csv
 
 
@@ -82,3 +84,12 @@ def test_tasks_do_not_grow_with_splits(spark, tmp_path):
     found = split_csv.records(spark, write(tmp_path / "f", data), 20)
     assert [r["fields"] for r in found.orderBy("path", "block", "no").collect()] == plain(data)
     assert found.rdd.getNumPartitions() <= 5 * spark.sparkContext.defaultParallelism
+
+
+def test_rows_with_blanks_equal_sql(spark, tmp_path):
+    """Null and empty texts, null languages and ones with commas and quotes."""
+    rows = [(1, "en", ""), (2, "en", None), (3, None, "a\nb"), (4, 'e,"n', 'x"'), (5, "en", "plain\r"), (7, "de", None), (14, None, "")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["split_csv_rows"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    sql = ORACLE_SQL["split_csv_rows"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == duckdb.connect().execute(f"{sql} ORDER BY doc_id").fetchall()
